@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ SLICE_BYTES = 2 << 20
 def scratch_base(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in local tests, a temporary folder is set.
+    Only where the setting is missing, as in local tests, a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or _local_base()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _local_base() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

@@ -58,21 +58,22 @@ def _key(dim: str) -> Column:
     return (F.col(dim) * (1 << BITS[1]) + F.col("t")) * TEXT + F.col("r")
 
 
-def _choose(nodes: dict[int, Node], pick) -> Column:
-    """``pick(node)`` of the row's node, as a column; nodes are no more than shards."""
-    pairs = [x for i, n in nodes.items() for x in (F.lit(i), pick(n))]
-    return F.create_map(*pairs)[F.col("node")]
+def _params(rows: DataFrame, nodes: dict[int, Node], low: dict, high: dict, step: dict) -> DataFrame:
+    """A table of at most as many rows as there are shards, which is the bound of its broadcast."""
+    values = ", ".join(f"({i}, {DIMS.index(n.dim)}, {low[i]}L, {high[i]}L, {step[i]}L)" for i, n in nodes.items())
+    return F.broadcast(rows.sparkSession.sql(f"select * from values {values} as p(node, dim, lo, hi, st)"))
 
 
-def _place(tree: list[tuple[dict[int, Node], int]]) -> Column:
-    """The node of a row after all splits made so far."""
-    node = F.lit(0)
-    for nodes in tree:
-        step = node
-        for i, n in nodes.items():
-            step = F.when(node == i, F.when(_key(n.dim) < n.cut, 2 * i + 1).otherwise(2 * i + 2)).otherwise(step)
-        node = step
-    return node
+def _place(tree: list[dict[int, Node]]) -> Column:
+    """The node of a row after all splits made so far: one comparison for each inner node, nested as the tree is."""
+
+    def at(i: int, depth: int) -> Column:
+        n = tree[depth].get(i) if depth < len(tree) else None
+        if n is None:
+            return F.lit(i)
+        return F.when(_key(n.dim) < n.cut, at(2 * i + 1, depth + 1)).otherwise(at(2 * i + 2, depth + 1))
+
+    return at(0, 0)
 
 
 def _split(rows: DataFrame, nodes: dict[int, Node], tolerance: float) -> None:
@@ -93,11 +94,9 @@ def _split(rows: DataFrame, nodes: dict[int, Node], tolerance: float) -> None:
         step = {i: max(1, -(-(high[i] - low[i]) // BINS)) for i in todo}
         if any(s >= TEXT for s in step.values()):  # whole groups of equal texts, as long as that is fine enough
             step = {i: -(-s // TEXT) * TEXT if s >= TEXT else s for i, s in step.items()}
-        key = F.coalesce(*[F.when(F.col("node") == i, _key(n.dim)) for i, n in at.items()])
-        inside = rows.where(F.col("node").isin([*todo])).withColumn("key", key)
-        lo, st = (_choose(at, lambda n, m=m: F.lit(m[n.first])) for m in ({nodes[i].first: low[i] for i in todo}, {nodes[i].first: step[i] for i in todo}))
-        hi = _choose(at, lambda n: F.lit({nodes[i].first: high[i] for i in todo}[n.first]))
-        got = inside.where((F.col("key") >= lo) & (F.col("key") < hi)).groupBy("node", F.floor((F.col("key") - lo) / st).cast("int").alias("bin")).agg(F.sum("size").alias("w")).collect()
+        key = (F.when(F.col("dim") == 0, F.col("d0")).when(F.col("dim") == 1, F.col("d1")).otherwise(F.col("d2")) * (1 << BITS[1]) + F.col("t")) * TEXT + F.col("r")
+        inside = rows.join(_params(rows, at, low, high, step), "node").select("node", "lo", "hi", "st", "size", key.alias("key"))
+        got = inside.where("key >= lo and key < hi").groupBy("node", F.expr("cast((key - lo) div st as int)").alias("bin")).agg(F.sum("size").alias("w")).collect()
         for i in list(todo):
             bins = sorted((x.bin, float(x.w)) for x in got if x.node == i)
             for b, w in bins:
