@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, ngram_join, packing, sharding, substring_dedup, token_store, toxicity, url_filters
+from docquarry.llm import decontaminate, embedding_dedup, ngram_join, packing, pseudo_likelihood, sharding, substring_dedup, token_store, toxicity, url_filters
 from docquarry.llm.common import table
 
 
@@ -81,6 +81,14 @@ FROM named n LEFT JOIN per USING (page_id)
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -102,6 +110,8 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op7_sharding": op7_sharding,
     "op8_token_store": op8_token_store,
     "op9_decontaminate": op9_decontaminate,
