@@ -71,7 +71,7 @@ rules AS (
   FROM keys),
 cand AS (
   SELECT DISTINCT page_id, day, unnest(list_concat(
-    [array_to_string(list_slice(string_split(h, '.'), i, NULL), '.') FOR i IN generate_series(1, greatest(1, len(string_split(h, '.')) - 1))],
+    [array_to_string(list_slice(string_split(h, '.'), i, len(string_split(h, '.'))), '.') FOR i IN generate_series(1, greatest(1, len(string_split(h, '.')) - 1))],
     CASE WHEN p = '' THEN [] ELSE [h || '/' || array_to_string(list_slice(string_split(p, '/'), 1, i), '/') FOR i IN generate_series(1, len(string_split(p, '/')))] END)) AS key
   FROM named WHERE h <> ''),
 hits AS (SELECT c.page_id, r.list, r.valid_from FROM cand c JOIN rules r ON c.key = r.key AND c.day >= r.valid_from AND c.day < r.valid_to),

@@ -131,7 +131,7 @@ def _spans(every: int, least: int):
     def run(frames):
         for f in frames:
             out = []
-            for doc_id, text, places, owners in zip(f.doc_id, f.text, f.places, f.owners, strict=True):
+            for doc_id, text, places, owners in zip(f.doc_id, f.text, f.dq_places, f.dq_owners, strict=True):
                 raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 starts, ends, units, _, _ = chunks(raw, np.array([0, len(raw)]), every)
                 spans, first = [], set()
@@ -167,9 +167,10 @@ def _keyed(batches):
 
 
 def _matched(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
-    found = _found(docs, every, buckets)
+    """``docs`` with dq_places and dq_owners of each row's copied chunks; rows that repeat share them."""
+    found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), F.col("places").alias("dq_places"), F.col("owners").alias("dq_owners"))
     keyed = docs.mapInArrow(_keyed, _with_key(docs))
-    return keyed.join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))) == found.doc) & (F.col("dq_text_key") == found.key), "left")
+    return keyed.join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))) == F.col("dq_doc")) & (F.col("dq_text_key") == F.col("dq_key")), "left")
 
 
 def _with_key(docs: DataFrame):
@@ -185,7 +186,7 @@ def passages(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | No
     ``first_docs`` are those documents. ``least`` counts whole chunks, so a passage of 50 words, which loses a part of a
     chunk at both of its ends, is found. Null and empty texts have no chunks; what repeats within one document stays.
     """
-    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "places", "owners")
+    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "dq_places", "dq_owners")
     return matched.mapInPandas(_spans(every, least), "doc_id long, n_bytes long, n_chunks long, span_starts array<long>, span_ends array<long>, first_docs array<long>")
 
 
@@ -200,7 +201,7 @@ def cut(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None =
     def run(frames):
         for f in frames:
             texts, keep = [], []
-            for s in spans(iter([f[["doc_id", "text", "places", "owners"]]])):
+            for s in spans(iter([f[["doc_id", "text", "dq_places", "dq_owners"]]])):
                 for text, starts, ends in zip(f.text, s.span_starts, s.span_ends, strict=True):
                     raw, left, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
                     for a, b in zip(starts, ends, strict=True):
@@ -215,4 +216,4 @@ def cut(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None =
             out["text"] = texts
             yield out[np.array(keep, bool)] if len(out) else out
 
-    return _matched(docs, every, buckets).select(*names, "places", "owners").mapInPandas(run, schema)
+    return _matched(docs, every, buckets).select(*names, "dq_places", "dq_owners").mapInPandas(run, schema)
