@@ -59,8 +59,8 @@ def bm25_topk_filtered(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '')) AS s FROM documents),
-q AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '')) AS s FROM benchmark),
+WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS s FROM documents),
+q AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS s FROM benchmark),
 dt AS (SELECT doc_id, len(s) AS nd, unnest(s) AS t FROM d), qt AS (SELECT qid, len(s) AS nq, unnest(s) AS t FROM q),
 b AS (SELECT qid, doc_id, nq, nd, count(*) AS common FROM dt JOIN qt USING (t) GROUP BY ALL),
 r AS (SELECT qid, doc_id, common / (nq + nd - common) AS score FROM b),
@@ -175,23 +175,23 @@ def chapter_batches(spark, sf_dir):
     return chunks.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
 
 
-K = F.get_json_object("props", "$.k").cast("long")
+K = "cast(get_json_object(props, '$.k') as bigint)"
 KSQL = "CAST(props->>'$.k' AS BIGINT)"
 
 
 @query(f"SELECT event_type AS model, count(*) AS calls, sum({KSQL}) AS tokens, round(avg(value), 4) AS avg_ms FROM events GROUP BY 1")
 def token_stats_by_model(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum(K).alias("tokens"), F.round(F.avg("value"), 4).alias("avg_ms"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum(F.expr(K)).alias("tokens"), F.round(F.avg("value"), 4).alias("avg_ms"))
 
 
 @query(f"SELECT count(*) AS calls, sum({KSQL}) AS tokens, round(sum(value), 2) AS total FROM events")
 def token_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("calls"), F.sum(K).alias("tokens"), F.round(F.sum("value"), 2).alias("total"))
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("calls"), F.sum(F.expr(K)).alias("tokens"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query(f"SELECT event_id, user_id, event_type, {KSQL} AS k FROM events ORDER BY ts DESC, event_id LIMIT 50")
 def recent_requests(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "event_type", K.alias("k"))
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "event_type", F.expr(K).alias("k"))
 
 
 @query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, left(arg_min(text, turn) FILTER (role = 'user'), 200) AS preview FROM conversations GROUP BY conv_id")
