@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ints, text_slices
+from docquarry.llm.common import ints, save, text_slices
 
 WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’"
@@ -27,6 +27,13 @@ ADDRESS = {"you", "your", "youre", "u", "tu", "vous", "du", "dich", "ihr", "tú"
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "addressed", "density")
 
 
+def _by_length(parts) -> list[tuple[int, set[str]]]:
+    out: dict[int, set[str]] = {}
+    for x in parts:
+        out.setdefault(len(x), set()).add(x)
+    return sorted(out.items())
+
+
 class Lexicon:
     """A trie of words and stems, searched with at most one edit for words of five letters or more."""
 
@@ -38,12 +45,15 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = w
         self.words, self.stems = set(words), tuple(stems)
+        self.starts = _by_length(stems)
         long = [w for w in words if len(w) >= 5]
         # of two halves of an entry one edit leaves one whole: other words cannot match
-        heads, tails = {w[: len(w) // 2] for w in long}, {w[len(w) // 2 :] for w in long}
-        self.maybe = re.compile("^(?:%s)|(?:%s)$" % tuple("|".join(map(re.escape, sorted(x))) for x in (heads, tails))) if long else None
+        self.heads, self.tails = _by_length({w[: len(w) // 2] for w in long}), _by_length({w[len(w) // 2 :] for w in long})
         self.known: dict[str, int] = {}
 
+    def may_match(self, word: str) -> bool:
+        return any(word[:n] in x for n, x in self.heads) or any(word[-n:] in x for n, x in self.tails)
+
     def within(self, word: str, edits: int) -> bool:
         """Whether the automaton of ``word`` accepts an entry of the trie."""
 
@@ -67,10 +77,10 @@ class Lexicon:
         if got is None:
             if word in self.words:
                 got = 1
-            elif self.stems and word.startswith(self.stems):
+            elif any(word[:n] in x for n, x in self.starts):
                 got = 2
             else:
-                got = 3 if 4 <= len(word) <= 40 and self.maybe and self.maybe.search(word) and self.within(word, 1) else 0
+                got = 3 if 4 <= len(word) <= 40 and self.may_match(word) and self.within(word, 1) else 0
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = got
@@ -103,13 +113,16 @@ def _in_fold(folds: int, held: int):
 def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, most: int = 2000) -> Lexicon:
     """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents.
 
-    Counts of documents are taken over all rows; only entries with ``least`` toxic documents, at most ``most`` of
+    Counts of documents are taken over all rows, equal texts once; only entries with ``least`` toxic documents and at least
+    one in 200 of them, at most ``most`` of
     each sort (those with the highest odds), reach the driver.
     """
+    train = save(train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"), "labelled")
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Lexicon([], [])
+    least = max(least, math.ceil(0.005 * n1))
     words = train.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w")).where("length(w) between 3 and 60")
     ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5) * ((n0 + 1) / (n1 + 1))
 
