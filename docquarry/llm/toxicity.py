@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,30 +47,45 @@ class Lexicon:
             node[""] = w
         self.words, self.stems = set(words), tuple(stems)
         self.starts = _by_length(stems)
-        long = [w for w in words if len(w) >= 5]
-        # of two halves of an entry one edit leaves one whole: other words cannot match
-        self.heads, self.tails = _by_length({w[: len(w) // 2] for w in long}), _by_length({w[len(w) // 2 :] for w in long})
+        # of two halves of an entry one edit leaves one whole, at its end of a word one letter longer or shorter at most
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        for w in words:
+            if len(w) >= 5:
+                self.heads.setdefault(len(w), set()).add(w[: len(w) // 2])
+                self.tails.setdefault(len(w), set()).add(w[len(w) // 2 :])
         self.known: dict[str, int] = {}
 
     def may_match(self, word: str) -> bool:
-        return any(word[:n] in x for n, x in self.heads) or any(word[-n:] in x for n, x in self.tails)
+        for n in range(len(word) - 1, len(word) + 2):
+            if n in self.heads and (word[: n // 2] in self.heads[n] or word[n // 2 - n :] in self.tails[n]):
+                return True
+        return False
 
     def within(self, word: str, edits: int) -> bool:
-        """Whether the automaton of ``word`` accepts an entry of the trie."""
+        """Whether the automaton of ``word`` accepts an entry of the trie.
+
+        Its states are bits: bit i of ``reached[e]`` says that i letters of the word were read with at most e edits.
+        """
+        last = 1 << len(word)
+        letters: dict[str, int] = {}
+        for i, c in enumerate(word):
+            letters[c] = letters.get(c, 0) | 1 << i
 
-        def walk(node: dict, row: list[int]) -> bool:
-            if "" in node and row[-1] <= edits and len(node[""]) >= 5:
+        def walk(node: dict, reached: list[int]) -> bool:
+            if reached[-1] & last and len(node.get("", "")) >= 5:
                 return True
             for c, below in node.items():
                 if c:
-                    new = [row[0] + 1]
-                    for i, x in enumerate(word):
-                        new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                    if min(new) <= edits and walk(below, new):
+                    same = letters.get(c, 0)
+                    new = [(reached[0] & same) << 1]
+                    for e in range(1, edits + 1):
+                        new.append((reached[e] & same) << 1 | reached[e - 1] | reached[e - 1] << 1 | new[e - 1] << 1)
+                    if new[-1] and walk(below, new):
                         return True
             return False
 
-        return walk(self.trie, list(range(len(word) + 1)))
+        return walk(self.trie, [(2 << e) - 1 for e in range(edits + 1)])
 
     def kind(self, word: str) -> int:
         """0 none, 1 exact, 2 stem, 3 within one edit."""
@@ -106,6 +122,12 @@ class Lexicon:
         return np.append(np.log1p(out[:5]), 10 * out[:3].sum() / n)
 
 
+@lru_cache(maxsize=2)
+def _lexicon(words: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
+    """One lexicon for all tasks of a worker, with the words it has looked up."""
+    return Lexicon(list(words), list(stems))
+
+
 def _in_fold(folds: int, held: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held
 
@@ -144,7 +166,7 @@ def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, most: in
 def _score(shared):
     def run(batches):
         words, stems, weights = shared.value
-        lexicon = Lexicon(words, stems)
+        lexicon = _lexicon(tuple(words), tuple(stems))
         for batch in batches:
             ids, text = ints(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
             for at, rows, _, _ in text_slices(batch, "text"):
