@@ -9,9 +9,13 @@ from itertools import chain
 
 import numpy as np
 
+from docquarry.llm import textkit
 
 #: White space of several characters, within which a cut could change the ids.
 WIDE = re.compile(r" \s")
+SPACE = 32
+#: Pieces that one call encodes as one text.
+JOINED = 2000
 
 
 class Encoder:
@@ -28,42 +32,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
         self.most = most
 
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = tuple(got.ids)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if WIDE.search(text):
-            return _careful(text)
-        head, *rest = text.split(" ")
-        if rest and rest[-1] == "":
-            return [head, *[f" {x}" for x in rest[:-1]], " "]
-        return [head, *[f" {x}" for x in rest]]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Keep the ids of new pieces; those that begin with a space and hold more are encoded in one go and told apart by offset."""
+        texts = [p.decode() for p in pieces]
+        joined = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " "]
+        alone = [i for i, x in enumerate(texts) if len(x) <= 1 or x[0] != " "]
+        for i, got in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            self.known[pieces[i]] = tuple(got.ids)
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            got = self.tokenizer.encode("".join([texts[i] for i in part]), add_special_tokens=False)
+            # the first token of a piece is the first that ends after its space
+            ends = np.fromiter((o[1] for o in got.offsets), np.int64, len(got.offsets))
+            begin = np.cumsum([0, *[len(texts[i]) for i in part[:-1]]])
+            cut = [*np.searchsorted(ends, begin, "right").tolist(), len(ends)]
+            ids = got.ids
+            for i, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                self.known[pieces[i]] = tuple(ids[a:b])
+
+    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in order, and how many each piece has; equal pieces are looked up once."""
+        hashes = textkit.word_hashes(data, starts, ends)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not _equal(data, starts, ends, first[which]):
+            first = which = np.arange(len(starts))
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) > self.most:
+            self.known.clear()
+        if new := [p for p in pieces if p not in self.known]:
+            self._learn(new)
+        found = [self.known[p] for p in pieces]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
+        begin = np.cumsum(count) - count
+        n = count[which]
+        return flat[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, followed by ``end``."""
-        out, known = [], self.known
-        for at in range(0, len(texts), 256):
-            cut = [self.pieces(x) for x in texts[at : at + 256]]
-            if len(known) > self.most:
-                known.clear()
-            if new := {p for c in cut for p in c if p not in known}:
-                self._learn(list(new))
-            for c in cut:
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.uint32)
-                out.append(ids if end is None else np.append(ids, np.uint32(end)))
-        return out
+        tail = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
+        cuts = [_careful(x) if WIDE.search(x) else None for x in texts]
+        raw = [x.encode() for x in texts]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        text_ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        border = data == SPACE
+        for i, cut in enumerate(cuts):
+            if cut is not None:
+                border[text_ends[i] - sizes[i] : text_ends[i]] = False
+                places = np.cumsum([0, *[len(p.encode()) for p in cut[:-1]]])
+                border[text_ends[i] - sizes[i] + places] = True
+        border[(text_ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(border)
+        if not len(starts):
+            return [tail] * len(texts)
+        ids, n = self._of_pieces(data, starts, np.append(starts[1:], len(data)))
+        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, text_ends)]
+        return [np.append(part, tail) for part in np.split(ids, upto[:-1])]
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every piece has the bytes of piece ``other`` of it."""
+    size = ends - starts
+    if not np.array_equal(size, size[other]):
+        return False
+    return np.array_equal(data, data[np.repeat(starts[other] - starts, size) + np.arange(len(data))])
 
 
 def _careful(text: str) -> list[str]:
     """Cut only where a space stands between two characters that are no white space."""
     import regex
 
-    return regex.split(r"(?V1)(?<=[^\s\p{C}\p{Z}])(?= [^\s\p{C}\p{Z}])", text)
+    return [x for x in regex.split(r"(?V1)(?<=[^\s\p{C}\p{Z}])(?= [^\s\p{C}\p{Z}])", text) if x]
 
 
 @lru_cache(maxsize=4)
