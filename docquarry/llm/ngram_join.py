@@ -5,14 +5,19 @@ two sets of Jaccard similarity t or more are at most (1 - t) / (1 + t) * (|A| +
 
 1. *Rings.* The empty set is the first pivot, D(A, {}) = |A|. Sizes fall into rings; by the
    triangle inequality a set can only reach the ring below, and boundary sets are replicated there.
-2. *Cells.* Every ring cuts the shingle space into more cells than a linked pair can differ in, so
-   such a pair has equal traces in some cell; the region of (ring, cell, trace) holds both.
-   Sets with so many empty cells that only those may agree also join the regions of the
-   shingles in their prefix (the least hashes).
-3. *Voronoi regions.* Regions that share sets are merged. One that holds more than ``most``
-   sets picks document pivots; every set goes to its nearest pivot and, within the window
-   d(x, p) <= d(x, nearest) + 2 (1 - t) of the Jaccard distance, to the others. Regions that
-   are still too large are cut again; one that no longer shrinks is joined in tiles.
+2. *Cells or prefixes.* From similarity 0.85 on, every ring cuts the shingle space into more cells than a
+   linked pair can differ in, so such a pair has equal traces in some cell; the region of (ring, cell, trace) holds both.
+   Sets with so many empty cells that only those may agree also join the regions of their prefix.
+   Below, traces would be too short to tell texts apart, and prefixes are used alone: all shingles have one order, known frequent ones last. Of two linked sets the first
+   |A| - ceil(t |A|) + 1 shingles have one in common; the region of (ring, shingle) holds both. Any order
+   is exact; this one keeps passages that many documents share out of the prefixes.
+3. *Voronoi regions.* Regions that share sets are merged. One that holds more than ``most`` sets
+   picks document pivots, and those that are linked with one another form one group. What lies in
+   the ball of radius r = 1 - t around a pivot is linked with it at once. Every set goes to its nearest group and,
+   within the window d(x, p) <= d(x, nearest) + 2 r of the Jaccard distance, to others; sets farther than
+   3 r from all pivots, with the boundary sets down to 2 r, form the region outside. A ball member stays only
+   if the nearest set out of the ball can reach it. Regions that are still too large are cut again;
+   one that no longer shrinks is joined in tiles.
 4. *Join.* A breadth-first search within a region compares every reached set with all that are
    not yet reached, so that a group of near copies costs one pass, not all pairs.
 
@@ -35,22 +40,16 @@ from docquarry.llm import textkit
 from docquarry.llm.common import components, ints, save, shuffle_width, text_slices
 
 RING = 1.5
+#: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
+CELLS_FROM = 0.85
 
 
-def _cap(t: float, size: float) -> int:
-    """The most elements that two linked sets may differ in if the smaller has at most ``size``."""
-    return math.floor((1 - t) / t * size + 1e-9)
-
-
-def _rings(t: float, longest: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(least size, most size, cells, differences at most) of every ring."""
-    out, low = [], 1
-    while low < longest:
-        high = max(low, math.ceil(low * max(RING, 1 / t)) - 1)
-        d = _cap(t, high)
-        out.append((low, high, d + max(1, math.ceil(d / 4)), d))
-        low = high + 1
-    return out
+def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
+    """The least size of every ring; a ring spans a factor of 1 / t or more."""
+    lows = [1]
+    while lows[-1] < longest:
+        lows.append(max(lows[-1], math.ceil(lows[-1] * max(RING, 1 / t)) - 1) + 1)
+    return np.array(lows)
 
 
 def _profile(n: int):
@@ -70,18 +69,63 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_profile(n), "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _keys(sets: np.ndarray, begin: np.ndarray, t: float, rings: list) -> tuple[np.ndarray, np.ndarray]:
-    """All region keys of the sets, and the number of the set that each belongs to."""
+def _frequent(n: int):
+    """Shingles that two documents of a slice or more hold, with their number."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in text_slices(batch, "text", 8 << 20):
+                value, count = np.unique(textkit.shingle_sets(data, offs, n)[0], return_counts=True)
+                many = count > 1
+                if many.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(count[many])], ["value", "n"])
+
+    return run
+
+
+def frequent(docs: DataFrame, n: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` shingles (16 bytes each) with the highest counts, ascending by hash, and their counts.
+
+    They only order the shingles: a list that is cut or incomplete costs time, not links.
+    """
+    counted = docs.select("text").mapInArrow(_frequent(n), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "value").limit(most).toArrow()
+    value = top.column("value").to_numpy().view(np.uint64)
+    order = np.argsort(value)
+    return value[order], top.column("n").to_numpy()[order]
+
+
+def _prefix_keys(sets: np.ndarray, begin: np.ndarray, t: float, lows: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Region keys by prefixes of the sets, and the number of the set that each belongs to."""
+    size = np.diff(begin)
+    of = np.repeat(np.arange(len(size)), size)
+    count = np.zeros(len(sets), np.int64)
+    if len(hot[0]) and len(sets):
+        place = np.minimum(np.searchsorted(hot[0], sets), len(hot[0]) - 1)
+        count = np.where(hot[0][place] == sets, hot[1][place], 0)
+    order = np.lexsort((sets, count, of))
+    prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+    taken = np.arange(len(sets)) - begin[:-1][of] < prefix[of]
+    value, of = sets[order][taken], of[taken]
+    own = np.searchsorted(lows, size, "right") - 1
+    down = (own > 0) & (np.ceil(size * t - 1e-9) < lows[np.maximum(own, 0)])
+    also = down[of]
+    ring = np.concatenate([own[of], own[of[also]] - 1]).astype(np.uint64)
+    return textkit.mix(np.concatenate([value, value[also]]) + textkit.STEP[55] * (ring + np.uint64(1))), np.concatenate([of, of[also]])
+
+
+def _cell_keys(sets: np.ndarray, begin: np.ndarray, t: float, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Region keys by cells of the shingle space, and the number of the set that each belongs to."""
     size = np.diff(begin)
-    lows = np.array([r[0] for r in rings])
+    diff_most = np.floor((1 - t) / t * (np.append(lows[1:], lows[-1] * 2) - 1) + 1e-9).astype(np.int64)
     own = np.searchsorted(lows, size, "right") - 1
     down = (own > 0) & (np.ceil(size * t - 1e-9) < lows[np.maximum(own, 0)])
     which = np.concatenate([np.flatnonzero(size > 0), np.flatnonzero((size > 0) & down)])
     ring = np.concatenate([own[size > 0], own[(size > 0) & down] - 1])
     if not len(which):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    cells = np.array([r[2] for r in rings])[ring]
-    diff = np.array([r[3] for r in rings])[ring]
+    diff = diff_most[ring]
+    cells = diff + np.maximum(1, -(-diff // 4))
     n = size[which]
     first = np.cumsum(n) - n
     value = sets[np.repeat(begin[:-1][which] - first, n) + np.arange(int(n.sum()))]
@@ -97,14 +141,14 @@ def _keys(sets: np.ndarray, begin: np.ndarray, t: float, rings: list) -> tuple[n
     prefixes, owners = [], []
     for i in np.flatnonzero(cells - full >= cells - diff):
         k = n[i] - math.ceil(t * n[i] - 1e-9) + 1
-        prefixes.append(textkit.mix(value[first[i] : first[i] + k] + textkit.STEP[55] * np.uint64(ring[i] + 1)))
+        prefixes.append(textkit.mix(value[first[i] : first[i] + k] + textkit.STEP[55:56] * np.uint64(ring[i] + 1)))
         owners.append(np.full(k, which[i]))
     return np.concatenate([keys, *prefixes]), np.concatenate([owner, *owners])
 
 
-def _scatter(n: int, t: float, buckets: int):
+def _scatter(n: int, t: float, buckets: int, shared):
     """Region keys, packed by bucket of the key: 8 bytes a key and 4 a reference instead of a row each."""
-    rings = _rings(t)
+    lows = _rings(t)
 
     def run(batches):
         for batch in batches:
@@ -117,7 +161,7 @@ def _scatter(n: int, t: float, buckets: int):
                 keep = np.zeros(rows, bool)  # one of equal sets is enough: the digests join the others
                 keep[np.unique(np.stack([one, two]), axis=1, return_index=True)[1]] = True
                 keep &= known[at : at + rows]
-                keys, owner = _keys(sets, begin, t, rings)
+                keys, owner = _cell_keys(sets, begin, t, lows) if t >= CELLS_FROM else _prefix_keys(sets, begin, t, lows, shared.value)
                 live = keep[owner]
                 keys, owner = keys[live], owner[live]
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
@@ -239,57 +283,98 @@ def _join_regions(rows: DataFrame, n: int, t: float) -> DataFrame:
     return dealt.select("region", "tile", "side", "doc_id", "text").mapInPandas(_join(n, t), "a long, b long")
 
 
-def _distances(n: int, t: float, prefix: str):
-    """Voronoi cells: the sub-regions of every set whose nearest pivot, or window, they are."""
+def _groups(pivots: list[np.ndarray], t: float) -> np.ndarray:
+    """The group of every pivot: those connected by links among the pivots have the same."""
+    group = np.arange(len(pivots))
+    for a, b in search(pivots, t):
+        group[group == group[b]] = group[a]
+    return group
+
+
+def _voronoi(n: int, t: float):
+    """Links with the pivots of a region, and the regions of the next level that its sets go to.
+
+    Runs of (region, salt) begin with the pivots (kind 0). Rows with ``pivot`` are links, the others have a region.
+    """
+    r = 1 - t
+
+    def place(region: str, pivots: list[np.ndarray], pivot_ids: list[int], rows: pd.DataFrame) -> pd.DataFrame:
+        members = _sets_of(rows.text, n)
+        size = np.array([len(x) for x in members])
+        flat, begin = np.concatenate(members), np.cumsum(size) - size
+        far = np.empty((len(pivots), len(members)))
+        for k, p in enumerate(pivots):
+            both = np.add.reduceat(np.isin(flat, p).astype(np.int64), begin)
+            far[k] = 1 - both / (size + len(p) - both)
+        group = _groups(pivots, t)
+        names = np.unique(group)
+        near = np.stack([far[group == g].min(axis=0) for g in names])
+        least = near.min(axis=0)
+        ids, texts, seen, held = (rows[c].to_numpy() for c in ("doc_id", "text", "closed", "held"))
+        out = []
+        for k, x in zip(*np.nonzero(far <= r + 1e-9), strict=True):
+            out.append((None, ids[x], None, None, None, pivot_ids[k], None))
+        for k in range(len(pivots)):  # linked pivots are linked with one another, too
+            first = int(np.flatnonzero(group == group[k])[0])
+            if first != k:
+                out.append((None, pivot_ids[k], None, None, None, pivot_ids[first], None))
+        for g, x in zip(*np.nonzero((near <= least + 2 * r + 1e-9) & (least <= 3 * r + 1e-9)), strict=True):
+            inside = near[g, x] <= r + 1e-9
+            out.append((f"{region}.{names[g]}", ids[x], texts[x], bool(inside or seen[x]), None if inside else near[g, x], None, held[x]))
+            if inside:
+                out[-1] = (*out[-1][:4], -near[g, x], *out[-1][5:])
+        for x in np.flatnonzero(least > 2 * r - 1e-9):
+            out.append((f"{region}.out", ids[x], texts[x], bool(seen[x]), 9.0, None, held[x]))
+        return pd.DataFrame(out, columns=["region", "doc_id", "text", "closed", "d", "pivot", "was"]).astype({"doc_id": "Int64", "pivot": "Int64", "was": "Int64"})
 
     def run(frames):
+        key, pivots, ids = None, [], []
         for f in frames:
-            pivots = [(_sets_of(pd.Series(list(p)), n) if p is not None else []) for p in f.pivots]
-            out = []
-            for mine, others, region, doc_id, text in zip(_sets_of(f.text, n), pivots, f.region, f.doc_id, f.text, strict=True):
-                far = []
-                for p in others:
-                    both = len(np.intersect1d(mine, p, assume_unique=True))
-                    far.append(1 - both / (len(mine) + len(p) - both))
-                for k in np.flatnonzero(np.array(far) <= min(far) + 2 * (1 - t) + 1e-9):
-                    out.append((f"{region}{prefix}{k}", doc_id, text))
-            yield pd.DataFrame(out, columns=["region", "doc_id", "text"])
+            for k, g in f.groupby(["region", "salt"], sort=False):
+                if k != key:
+                    key, pivots, ids = k, [], []
+                is_pivot = g.kind == 0
+                pivots += _sets_of(g.text[is_pivot], n)
+                ids += g.doc_id[is_pivot].tolist()
+                if not is_pivot.all():
+                    yield place(k[0], pivots, ids, g[~is_pivot])
 
     return run
 
 
-def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8, depth: int = 3) -> DataFrame:
+def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8, depth: int = 4) -> DataFrame:
     """Links of all regions ``found`` (region, doc_id, text), cutting those of more than ``most`` documents."""
-    spark = found.sparkSession
-    links = None
+    width = shuffle_width(found.sparkSession)
+    found = found.select("region", "doc_id", "text", F.lit(False).alias("closed"), F.lit(None).cast("long").alias("was"))
+    links = []
     for level in range(depth + 1):
-        sizes = found.groupBy("region").agg(F.count("*").alias("held"))
-        if level:
-            sizes = sizes.join(parents, F.expr("regexp_replace(region, '[.][0-9]+$', '')") == F.col("parent")).select("region", "held", "was")
-        else:
-            sizes = sizes.withColumn("was", F.lit(None).cast("long"))
-        large = save(sizes.where(F.col("held") > most), "regions")
+        large = save(found.groupBy("region").agg(F.count("*").alias("held"), F.max("was").alias("was")).where(F.col("held") > most), "regions")
         small = found.join(large, "region", "left_anti").select("region", F.lit(0).alias("tile"), F.lit(0).alias("side"), "doc_id", "text")
-        if not large.take(1):
-            part = _join_regions(small, n, t)
-            return part if links is None else links.unionByName(part)
-        stuck = F.lit(True) if level == depth else F.col("held") > 0.9 * F.col("was")
-        tiles = large.where(F.coalesce(stuck, F.lit(False))).select("region", F.ceil(F.col("held") * 2 / most).cast("int").alias("k"))
-        block = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-        blocks = found.join(tiles, "region").withColumn("block", block)
+        stuck = F.lit(level == depth) | F.coalesce(F.col("held") > 0.9 * F.col("was"), F.lit(False))
+        tiles = large.where(stuck).select("region", F.ceil(F.col("held") * 2 / most).cast("int").alias("k"))
+        blocks = found.join(tiles, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
         blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         blocks = blocks.select(F.concat_ws("/", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), (F.col("block") != F.col("other")).cast("int").alias("tile"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "text")
-        part = save(_join_regions(small.unionByName(blocks), n, t), "links")
-        links = part if links is None else links.unionByName(part)
-        cut = large.join(tiles, "region", "left_anti")
+        links.append(save(_join_regions(small.unionByName(blocks), n, t), "links"))
+        cut = large.where(~stuck).select("region", "held", F.ceil(F.col("held") / 500).cast("int").alias("salts"))
         if not cut.take(1):
-            return links
-        parents = cut.select(F.col("region").alias("parent"), F.col("held").alias("was"))
-        rows = found.join(cut.select("region"), "region", "left_semi")
-        # pivots: the documents of the least salted hash, found by a bounded aggregate that combines before the shuffle
-        picked = rows.select("region", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(pivots)).alias("slot"), F.struct(F.xxhash64("doc_id", F.lit(level + 99)).alias("h"), F.col("text").alias("x")).alias("s")).groupBy("region", "slot").agg(F.min("s").alias("s")).groupBy("region").agg(F.collect_list("s.x").alias("pivots"))
-        found = save(rows.join(picked, "region").select("region", "doc_id", "text", "pivots").mapInPandas(_distances(n, t, "."), "region string, doc_id long, text string"), "voronoi")
-    return links
+            break
+        rows = found.drop("was").join(cut, "region")
+        # pivots: sets outside of earlier balls first, then by hash; a bounded aggregate that combines before the shuffle
+        first = F.struct("closed", F.xxhash64("doc_id", F.lit(level + 99)).alias("h"), "doc_id", "text").alias("s")
+        picked = rows.select("region", "salts", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(pivots)).alias("slot"), first).groupBy("region", "salts", "slot").agg(F.min("s").alias("s"))
+        dealt = picked.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "s.doc_id", "s.text", F.lit(False).alias("closed"), F.lit(0).cast("long").alias("held"))
+        dealt = dealt.unionByName(rows.select("region", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text", "closed", "held"))
+        dealt = dealt.repartition(width, "region", "salt").sortWithinPartitions("region", "salt", "kind", "doc_id")
+        placed = save(dealt.mapInPandas(_voronoi(n, t), "region string, doc_id long, text string, closed boolean, d double, pivot long, was long"), "voronoi")
+        links.append(placed.where("pivot is not null and pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+        # d of ball members is negative; the nearest other set decides which of them can have a link out of the ball
+        reach = placed.where("pivot is null and d > 0").groupBy("region").agg(F.min("d").alias("nearest"))
+        found = placed.where("pivot is null").join(reach, "region").where((F.col("d") > 0) | (-F.col("d") >= F.col("nearest") - (1 - t) - 1e-9)).select("region", "doc_id", "text", "closed", "was")
+    out = links[0]
+    for part in links[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets: int | None = None) -> DataFrame:
@@ -305,7 +390,8 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
     sets = save(profiles(docs, n), "sets")
     with_words = sets.where("n_shingles > 0")
     rep = save(with_words.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
-    packed = docs.mapInArrow(_scatter(n, t, buckets), "p int, keys binary, refs binary, docs binary")
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, n)) if t < CELLS_FROM else None
+    packed = docs.mapInArrow(_scatter(n, t, buckets, hot), "p int, keys binary, refs binary, docs binary")
     near = save(packed.repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p").mapInArrow(_gather, "a long, b long").distinct(), "near")
     to_rep = with_words.join(rep, ["d1", "d2"]).select("doc_id", "rep").where("doc_id is not null").distinct()
     ends = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
