@@ -26,7 +26,7 @@ class Encoder:
     and their ids are kept. ``encode_special_tokens`` makes the strings of special tokens in a text ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,6 +110,6 @@ def _careful(text: str) -> list[str]:
     return [x for x in regex.split(r"(?V1)(?<=[^\s\p{C}\p{Z}])(?= [^\s\p{C}\p{Z}])", text) if x]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -25,6 +25,8 @@ QUOTES = "\"'“”„«»‘’"
 #: Fixed cues of reported speech and of address.
 REPORTS = {"said", "says", "called", "quoted", "wrote", "dit", "sagte", "dijo", "word", "term"}
 ADDRESS = {"you", "your", "youre", "u", "tu", "vous", "du", "dich", "ihr", "tú", "usted"}
+#: Looked-up words that a worker keeps.
+KNOWN_WORDS = 100_000
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "addressed", "density")
 
 
@@ -97,7 +99,7 @@ class Lexicon:
                 got = 2
             else:
                 got = 3 if 4 <= len(word) <= 40 and self.may_match(word) and self.within(word, 1) else 0
-            if len(self.known) > 500_000:
+            if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -122,7 +124,7 @@ class Lexicon:
         return np.append(np.log1p(out[:5]), 10 * out[:3].sum() / n)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _lexicon(words: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
     """One lexicon for all tasks of a worker, with the words it has looked up."""
     return Lexicon(list(words), list(stems))
