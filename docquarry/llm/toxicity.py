@@ -91,17 +91,17 @@ class Lexicon:
 
     def kind(self, word: str) -> int:
         """0 none, 1 exact, 2 stem, 3 within one edit."""
-        got = self.known.get(word)
+        if word in self.words:
+            return 1
+        if any(word[:n] in x for n, x in self.starts):
+            return 2
+        if not 4 <= len(word) <= 40 or not self.may_match(word):
+            return 0
+        got = self.known.get(word)  # only what the automaton was run for is kept
         if got is None:
-            if word in self.words:
-                got = 1
-            elif any(word[:n] in x for n, x in self.starts):
-                got = 2
-            else:
-                got = 3 if 4 <= len(word) <= 40 and self.may_match(word) and self.within(word, 1) else 0
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-            self.known[word] = got
+            got = self.known[word] = 3 if self.within(word, 1) else 0
         return got
 
     def features(self, text: str) -> np.ndarray:
