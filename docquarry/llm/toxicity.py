@@ -26,7 +26,7 @@ QUOTES = "\"'“”„«»‘’"
 REPORTS = {"said", "says", "called", "quoted", "wrote", "dit", "sagte", "dijo", "word", "term"}
 ADDRESS = {"you", "your", "youre", "u", "tu", "vous", "du", "dich", "ihr", "tú", "usted"}
 #: Looked-up words that a worker keeps.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 250_000
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "addressed", "density")
 
 
