@@ -100,6 +100,26 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def test_embedding_dedup_finds_lone_pairs_beside_a_group_of_copies(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(rng.standard_normal((1000, 64)))
+    side = rng.standard_normal((1000, 64))
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    hot = unit(rng.standard_normal((1, 64))) + 0.01 * rng.standard_normal((40, 64))
+    x = np.vstack([one, 0.932 * one + np.sqrt(1 - 0.932**2) * side, np.repeat(hot, 100, axis=0)])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), most=32).collect()}
+    found = sum(got[i].n_links == 1 and got[1000 + i].component_id == i for i in range(1000))
+    assert found >= 985 and all(got[i].n_links == 3999 for i in range(2000, 6000))
+
+
+def test_audit_does_not_weigh_by_copies(spark):
+    sample = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 39) for i in range(40)], "node long, true long")
+    counts = spark.createDataFrame([(i, 1, 1) for i in range(30)] + [(100 + i, 10**6, 39) for i in range(40)], "node long, n long, m long")
+    assert embedding_dedup.audit(sample, counts) == 0.75
+
+
 def test_pseudo_likelihood_prefers_the_corpus(spark):
     line = "the cat sat on the mat and looked at the dog "
     docs = spark.createDataFrame([(i, line * 30) for i in range(60)] + [(100, " ".join(sorted(prose(1, 300).split()))), (101, ""), (102, None)], "doc_id long, text string")
