@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import chunks, graph, metrics, retrieval
+from docquarry.operators import chunks, graph, history, metrics, retrieval
 from docquarry.sources.files import html_text
 from docquarry.streaming import windows
 
@@ -210,6 +210,18 @@ def history_context(spark, sf_dir):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("history"))
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+old AS (SELECT conv_id, string_agg(left(coalesce(text, ''), 60), '；' ORDER BY n DESC) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS q FROM r WHERE n > 8 AND role = 'user') WHERE q <= 5 GROUP BY 1),
+lines AS (SELECT conv_id, total, string_agg('- ' || CASE WHEN role = 'user' THEN '学生' ELSE '答疑老师' END || ': ' || left(coalesce(text, ''), CASE WHEN total <= 6 THEN 300 ELSE 200 END), chr(10) ORDER BY n DESC) AS body
+  FROM r WHERE n <= CASE WHEN total <= 6 THEN 6 WHEN total <= 12 THEN 10 ELSE 8 END GROUP BY ALL),
+whole AS (SELECT conv_id, total, CASE WHEN total <= 6 THEN '【对话历史】' || chr(10) WHEN total <= 12 THEN '【对话历史（最近 10 轮，共 ' || total || ' 轮）】' || chr(10)
+  ELSE '【对话历史（共 ' || total || ' 轮，早期已摘要）】' || chr(10) || '【历史摘要】' || coalesce('之前讨论过：' || topics, '（之前的对话）') || chr(10) END || body AS history FROM lines LEFT JOIN old USING (conv_id))
+SELECT conv_id, total, CASE WHEN length(history) > 4000 THEN left(history, 4000) || chr(10) || '...（历史已截断）' ELSE history END AS history FROM whole""")
+def history_tier(spark, sf_dir):
+    """The whole rule of the reference, by tiers of the session's size; ``history_context`` is its six messages only."""
+    return history.build_context(table(spark, sf_dir, "conversations"))
+
+
 @query("SELECT event_id, substr(sha256(lower(trim(event_type))), 1, 16) AS query_hash, epoch(TIMESTAMP '2024-01-08' - ts) < 3 * 86400 AS fresh FROM events WHERE ts <= TIMESTAMP '2024-01-08'")
 def cache_ttl_hits(spark, sf_dir):
     age = F.expr("cast(timestamp '2024-01-08' as double) - cast(cast(ts as timestamp) as double)")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
-from docquarry.operators import chunks, graph
+from docquarry.operators import chunks, graph, history
 from docquarry.plans.queries import QUERIES, SQL
 from docquarry.streaming import windows
 
@@ -37,6 +37,32 @@ def test_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(connect().execute(SQL[name]).df())
 
 
+def reference_context(session: list) -> str:
+    """The rule of the reference, one session at a time."""
+    line = lambda m, n: f"- {'学生' if m[0] == 'user' else '答疑老师'}: {m[1][:n]}"
+    total = len(session)
+    if total <= 6:
+        return "\n".join(["【对话历史】", *(line(m, 300) for m in session)])
+    if total <= 12:
+        return "\n".join([f"【对话历史（最近 10 轮，共 {total} 轮）】", *(line(m, 200) for m in session[-10:])])
+    asked = [m[1][:60] for m in session[:-8] if m[0] == "user"][-5:]
+    summary = "之前讨论过：" + "；".join(asked) if asked else "（之前的对话）"
+    return "\n".join([f"【对话历史（共 {total} 轮，早期已摘要）】", f"【历史摘要】{summary}", *(line(m, 200) for m in session[-8:])])
+
+
+def test_history_tiers_equal_the_reference(spark):
+    sessions = {n: [("user" if i % 3 == 0 else "assistant", f"{i} " + "é文x" * 150) for i in range(n)] for n in (1, 6, 7, 10, 11, 12, 13, 14, 40)}
+    sessions[100] = [("assistant", "a")] * 9 + [("user", "b")] * 8
+    sessions[101] = [("user", "")] + [("assistant", "a")] * 12
+    data = pd.DataFrame([(c, i, *m) for c, s in sessions.items() for i, m in enumerate(s)], columns=["conv_id", "turn", "role", "text"])
+    want = {c: reference_context(s) for c, s in sessions.items()}
+    got = history.build_context(spark.createDataFrame(data)).collect()
+    assert {r.conv_id: r.history for r in got} == want and all(r.total == len(sessions[r.conv_id]) for r in got)
+    con = duckdb.connect()
+    con.register("conversations", data)
+    assert dict(con.execute(f"SELECT conv_id, history FROM ({SQL['history_tier']})").fetchall()) == want
+
+
 def test_chunks_lose_nothing():
     text = "One sentence here. " * 200 + "x" * 2000
     got = chunks.chunk_text(text, 300, 0)
