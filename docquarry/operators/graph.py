@@ -30,6 +30,16 @@ def two_hop(relations: DataFrame, seeds: DataFrame, first: int = 5, second: int
     return one.select("id", F.lit(1).alias("hop")).unionByName(two.select("id", F.lit(2).alias("hop")))
 
 
+def two_hop_by_seed(relations: DataFrame, seeds: DataFrame, first: int = 5, second: int = 3) -> DataFrame:
+    """(seed, id, hop): what ``two_hop`` finds from each of ``seeds(id)`` by itself."""
+    both = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(relations.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).where("a <> b").distinct()
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b")))
+    one = ranked.where(F.col("n") <= first).join(seeds.select(F.col("id").alias("a")).distinct(), "a").select(F.col("a").alias("seed"), F.col("b").alias("id"))
+    near = ranked.where(F.col("n") <= second).select("a", "b")
+    two = one.select("seed", F.col("id").alias("a")).join(near, "a").select("seed", F.col("b").alias("id")).where("id <> seed").distinct().join(one, ["seed", "id"], "left_anti")
+    return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
+
+
 def cascade_delete(concepts: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Concepts without ``gone(id)``, and relations without those that touch them."""
     left = concepts.join(gone, "id", "left_anti")

@@ -275,6 +275,15 @@ def two_hop(spark, sf_dir):
     return graph.two_hop(_graph(spark, sf_dir)[1], spark.range(1, 4))
 
 
+@query(f"""WITH {CONCEPTS}, b AS (SELECT source_id AS a, target_id AS b FROM rel WHERE source_id <> target_id UNION SELECT target_id, source_id FROM rel WHERE source_id <> target_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM b), one AS (SELECT a AS seed, b AS id FROM k WHERE n <= 5 AND a IN (SELECT id FROM concepts WHERE id % 20 = 0))
+SELECT seed, id, 1 AS hop FROM one UNION ALL SELECT seed, id, 2 FROM (SELECT one.seed, k.b AS id FROM one JOIN k ON k.a = one.id AND k.n <= 3 WHERE k.b <> one.seed EXCEPT SELECT seed, id FROM one)""")
+def two_hop_by_seed(spark, sf_dir):
+    """From every concept whose id is divisible by 20; ``two_hop`` takes the seeds 1, 2 and 3 together."""
+    c, r = _graph(spark, sf_dir)
+    return graph.two_hop_by_seed(r, c.where("id % 20 = 0").select("id"))
+
+
 @query(f"WITH {CONCEPTS}, gone AS (SELECT id FROM concepts WHERE doc = (SELECT min(doc) FROM concepts)) SELECT source_id, target_id FROM rel WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
 def cascade_delete(spark, sf_dir):
     c, r = _graph(spark, sf_dir)

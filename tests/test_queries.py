@@ -77,6 +77,12 @@ def test_limiter_counts_accepted_calls_only(spark):
     assert got == [True, True, False, True, True, False]
 
 
+def test_two_hops_tell_seeds_apart(spark):
+    relations = spark.createDataFrame([(20, 1), (1, 40), (40, 2), (2, 3), (20, 20)], "source_id long, target_id long")
+    got = graph.two_hop_by_seed(relations, spark.createDataFrame([(20,), (40,), (60,)], "id long")).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 1), (20, 40, 2), (40, 1, 1), (40, 2, 1), (40, 3, 2), (40, 20, 2)]
+
+
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
