@@ -158,9 +158,9 @@ def _scatter(n: int, t: float, buckets: int, shared):
             for at, rows, data, offs in text_slices(batch, "text", 8 << 20):
                 sets, begin = textkit.shingle_sets(data, offs, n)
                 one, two = textkit.set_digests(sets, begin)
-                keep = np.zeros(rows, bool)  # one of equal sets is enough: the digests join the others
-                keep[np.unique(np.stack([one, two]), axis=1, return_index=True)[1]] = True
-                keep &= known[at : at + rows]
+                keep, named = np.zeros(rows, bool), np.flatnonzero(known[at : at + rows])
+                if len(named):  # one of equal sets is enough, of the rows with an id: the digests join the others
+                    keep[named[np.unique(np.stack([one, two])[:, named], axis=1, return_index=True)[1]]] = True
                 keys, owner = _cell_keys(sets, begin, t, lows) if t >= CELLS_FROM else _prefix_keys(sets, begin, t, lows, shared.value)
                 live = keep[owner]
                 keys, owner = keys[live], owner[live]

@@ -56,6 +56,14 @@ def test_ngram_join_equals_brute_force(docs):
     assert all(r.n_shingles == len(sets[r.doc_id]) for r in got)
 
 
+def test_ngram_join_links_a_set_whose_first_row_has_no_id(spark):
+    base = prose(2, 400).split()
+    text, near = " ".join(base), " ".join([*base[:399], "zz"])
+    rows = spark.createDataFrame([(None, text), (5, text), (6, near)], "doc_id long, text string").coalesce(1)
+    for n, t in ((3, 0.9), (5, 0.8)):
+        assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join.join(rows, n, t).collect()) == [(0, 5), (5, 5), (6, 5)]
+
+
 def test_substring_dedup_finds_the_shared_passage_only(docs):
     got = {r.doc_id: r for r in substring_dedup.passages(docs).where("doc_id is not null").collect()}
     assert list(got[7].first_docs) == [3] and len(got[7].span_starts) == 1
