@@ -49,24 +49,23 @@ class Packer:
             self.count[level + length] += 1
 
     def level(self, length: int) -> int:
-        """The level h with the least change of the sum of squares when an open sequence goes from h to h + length."""
-        c = self.count[: self.size - length + 1]
-        after = self.count[length:].copy()
-        after[-1] = -1  # a full sequence leaves the sum: no square is added
-        change = 2 * after + 1 - 2 * c + 1
-        change[-1] = 1 - 2 * c[-1]
-        change[1:][c[1:] == 0] = np.iinfo(np.int64).max
-        change[0] = 2 * self.count[length] + 1  # a new sequence takes nothing away
-        least = np.flatnonzero(change == change.min())
-        return int(least[-1])
-
-    def finish(self) -> None:
-        """Fill open sequences, the fullest first, with cut pieces of the emptiest."""
-        left = [(level, held) for level in sorted(self.open, reverse=True) for held in self.open[level]]
-        self.open, self.count[:] = {}, 0
-        low = len(left) - 1
-        high = 0
-        while high < low:
+        """The level h with the least change of the sum of squares when an open sequence goes from h to h + length.
+
+        A new sequence (level 0) takes nothing away, a full one leaves the sum. Of equal changes the highest level counts.
+        """
+        c = self.count
+        used = np.flatnonzero(c[1 : self.size - length + 1]) + 1
+        change = 2 * (c[used + length] - c[used]) + 2
+        if len(used) and used[-1] + length == self.size:
+            change[-1] = 1 - 2 * c[used[-1]]
+        best = change.min(initial=np.iinfo(np.int64).max)
+        return int(used[np.flatnonzero(change == best)[-1]]) if best <= 2 * c[length] + 1 else 0
+
+    def shrink(self, most: int) -> None:
+        """Fill the fullest open sequences with cut pieces of the emptiest until ``most`` are open."""
+        left = [[level, held] for level in sorted(self.open, reverse=True) for held in self.open[level]]
+        high, low = 0, len(left) - 1
+        while high < low and low - high + 1 > most:
             room = self.size - left[high][0]
             while room and high < low:
                 doc, start, length = left[low][1].pop()
@@ -75,15 +74,24 @@ class Packer:
                 room -= take
                 if take < length:
                     left[low][1].append((doc, start + take, length - take))
-                left[low] = (left[low][0] - take, left[low][1])
+                left[low][0] -= take
                 if not left[low][0]:
                     low -= 1
-            left[high] = (self.size - room, left[high][1])
+            left[high][0] = self.size - room
             if not room:
                 self.done.append(left[high][1])
                 high += 1
-        if high == low and left[high][0]:
-            self._powers(left[high][1])
+        self.open, self.count[:] = {}, 0
+        for level, held in left[high : low + 1]:
+            self.open.setdefault(level, []).append(held)
+            self.count[level] += 1
+
+    def finish(self) -> None:
+        """Close all open sequences; only the last one is not full, and is cut into powers of two."""
+        self.shrink(1)
+        for held in [held for level in self.open.values() for held in level]:
+            self._powers(held)
+        self.open, self.count[:] = {}, 0
 
     def _powers(self, pieces: list) -> None:
         total = sum(p[2] for p in pieces)
@@ -109,7 +117,7 @@ def _pack(path: str, end: int, size: int, window: int):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
-        packer, held, ids, base = Packer(size), {}, [], 0
+        packer, held, base = Packer(size), {}, 0
 
         def flush():
             """Sequences that are full leave; only their documents' ids in open ones stay."""
@@ -131,15 +139,14 @@ def _pack(path: str, end: int, size: int, window: int):
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            text = batch.column(batch.schema.get_field_index("text"))
-            for at, rows, _, _ in text_slices(batch, "text"):
-                texts = [x or "" for x in text.slice(at, rows).to_pylist()]
-                for doc_id, tokens in zip(ids.slice(at, rows).to_pylist(), encoder(path).encode(texts, end), strict=True):
-                    held[base] = (doc_id, tokens)
-                    packer.place((base, 0, len(tokens)))
+            for at, rows, data, offs in text_slices(batch, "text", 4 << 20):
+                flat, begin = encoder(path).encode(data, offs, end)
+                for doc_id, a, b in zip(ids.slice(at, rows).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    held[base] = (doc_id, flat[a:b].copy())
+                    packer.place((base, 0, b - a))
                     base += 1
-                if sum(map(len, packer.open.values())) > window:  # open sequences are bounded
-                    packer.finish()
+                if sum(map(len, packer.open.values())) > window:  # their ids are held in memory
+                    packer.shrink(window // 2)
                 yield flush()
         packer.finish()
         yield flush()
@@ -153,7 +160,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, window
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every
     document, null and empty texts too, ends with id ``end`` and so has a piece. Rows with the
     same id, or none, are documents of their own. An empty table gives no rows.
-    ``window`` bounds the open sequences of a task; beyond it they are filled up and closed.
+    ``window`` bounds the memory of a task: where more sequences are open, the fullest are filled up with cut pieces
+    of the emptiest until half as many are; no id is lost, and the placing goes on by the levels that stay open.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, end, size, window), schema)

@@ -61,23 +61,36 @@ class EliasFano:
         part = int.from_bytes(self.lows[first // 8 : (first + self.low + 7) // 8].tobytes(), "little") >> first % 8
         return (at - i) << self.low | part & (1 << self.low) - 1
 
-    def all(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)) << self.low
-        if self.low:
-            bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low))
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """``select`` of many places at once."""
+        word, seen = (x[i // SAMPLE].astype(np.int64) for x in self.samples)
+        ones = np.bitwise_count(self.high).astype(np.int64)
+        while len(on := np.flatnonzero(seen + ones[word] <= i)):
+            seen[on] += ones[word[on]]
+            word[on] += 1
+        out = np.zeros(len(i), np.int64)
+        lows = np.concatenate([self.lows, np.zeros(8, np.uint8)])
+        view = np.ndarray((len(lows) - 7,), "<u8", lows, strides=(1,))
+        for a in range(0, len(i), 1 << 16):  # 64 bytes for each place in a block
+            b = slice(a, a + (1 << 16))
+            bits = np.unpackbits(self.high[word[b]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            at = word[b] * 64 + (np.cumsum(bits, axis=1, dtype=np.int64) > (i[b] - seen[b])[:, None]).argmax(axis=1)
+            first = i[b] * self.low
+            part = (view[first // 8] >> (first % 8).astype(np.uint64)).astype(np.int64) & ((1 << self.low) - 1)
+            out[b] = (at - i[b]) << self.low | part
         return out
 
 
-def write_file(ids: list[np.ndarray], doc_ids: list[int | None], width: int, first: int = 0) -> bytes:
-    """The bytes of a file with these documents."""
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    index = EliasFano.encode(ends)
-    flat = np.concatenate(ids).astype("<u2" if width == 2 else "<u4") if ids else np.zeros(0, "<u2")
+def write_file(ids: list[np.ndarray], counts: list[int], doc_ids: list[int | None], width: int, first: int = 0) -> bytes:
+    """The bytes of a file with these documents: joined ids, how many each document has, and its id."""
+    index = EliasFano.encode(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"token id {flat.max()} does not fit into {width} bytes")
+    flat = flat.astype(f"<u{width}")
     known = np.array([d is not None for d in doc_ids], bool)
     parts = [index.high.tobytes(), index.samples.tobytes(), index.lows.tobytes(), np.packbits(known).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), flat.tobytes()]
-    return MAGIC + struct.pack("<6q", len(ids), len(flat), width, index.low, len(index.high), first) + b"".join(parts)
+    return MAGIC + struct.pack("<6q", len(doc_ids), len(flat), width, index.low, len(index.high), first) + b"".join(parts)
 
 
 class TokenFile:
@@ -109,42 +122,45 @@ class TokenFile:
         return self.ids[self.index.select(i) : self.index.select(i + 1)]
 
 
-def _encode(path: str, end: int, width: int, most: int):
+def _encode(path: str, end: int, width: int | None, most: int):
     def run(batches):
         from pyspark import TaskContext
 
         part, file, first = TaskContext.get().partitionId(), 0, 0
-        ids, docs, held = [], [], 0
+        ids, counts, docs, held = [], [], [], 0
+        encode = encoder(path)
+        size = width or (2 if max(encode.vocabulary, end + 1) <= 1 << 16 else 4)
 
         def close():
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([file]), pa.array([first]), pa.array([held]), pa.array([write_file(ids, docs, width, first)], pa.binary())], ["part", "file", "first", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([file]), pa.array([first]), pa.array([held]), pa.array([write_file(ids, counts, docs, size, first)], pa.binary())], ["part", "file", "first", "n_tokens", "data"])
 
         for batch in batches:
-            col, text = batch.column(0), batch.column(1)
-            for at, rows, _, _ in text_slices(batch, "text"):
-                texts = [x or "" for x in text.slice(at, rows).to_pylist()]
-                for d, x in zip(col.slice(at, rows).to_pylist(), encoder(path).encode(texts, end), strict=True):
-                    ids.append(x)
-                    docs.append(d)
-                    held += len(x)
-                    if held >= most:
-                        yield close()
-                        ids, docs, file, first, held = [], [], file + 1, first + held, 0
-        if ids:
+            for at, rows, data, offs in text_slices(batch, "text", 4 << 20):
+                flat, begin = encode.encode(data, offs, end)
+                ids.append(flat)
+                counts += np.diff(begin).tolist()
+                docs += batch.column(0).slice(at, rows).to_pylist()
+                held += len(flat)
+                if held >= most:
+                    yield close()
+                    ids, counts, docs, file, first, held = [], [], [], file + 1, first + held, 0
+        if docs:
             yield close()
 
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, end: int = 2, width: int = 2, most: int = 2_000_000) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` in ascending order of doc_id into token files of about ``most`` tokens.
+def write(docs: DataFrame, tokenizer: str, end: int = 2, width: int | None = None, most: int = 2_000_000) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` in ascending order of doc_id into token files of ``most`` tokens or somewhat more.
 
     The files are rows (part, file, first, n_tokens, data) of a table in the shared folder, so that Spark's
-    committer makes each appear once, whatever executor is lost. Null ids come first; null texts are empty.
-    ``width``: 2 bytes for vocabularies under 65536 ids, else 4.
+    committer makes each appear once, whatever executor is lost. Null ids come first; null texts are empty; rows of
+    one id are in the order of a hash of their text, and repeated rows are documents of their own. An empty table
+    gives no files. ``width``: bytes of an id, by default 2 for vocabularies up to 65,536 ids, else 4.
     """
     spark = docs.sparkSession
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ranged = keyed.repartitionByRange(shuffle_width(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return save(ranged.mapInArrow(_encode(tokenizer, end, width, most), "part long, file long, first long, n_tokens long, data binary"), "tokens")
 
 
@@ -153,7 +169,7 @@ def _read(bases: dict[int, int]):
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = TokenFile(data.as_py())
-                cut = f.index.all()
+                cut = f.index.select_many(np.arange(f.n + 1))
                 flat = f.ids.astype("<u4")
                 crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(cut[:-1] + f.first + bases[part]), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -2,10 +2,6 @@
 
 import random
 
-import pytest
-
-from docquarry.llm.queries import tokenizer
-from docquarry.llm.tokens import Encoder
 from docquarry.llm.toxicity import Lexicon
 
 
@@ -31,12 +27,3 @@ def test_automaton_equals_edit_distance():
         assert near > 1 or lexicon.may_match(w)
 
 
-TEXTS = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \n b", "é ü", "\n", " \ta", "x <s> </s> y", "don't  1234 ", "a b" * 3000, " 日本 語", "a b c", "a​ b", "' s a's", "a\r\n b"]
-
-
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_plain_encoding(name):
-    encoder = Encoder(tokenizer(name))
-    want = [x.ids + [2] for x in encoder.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
-    assert [x.tolist() for x in encoder.encode(TEXTS, 2)] == want
-    assert [x.tolist() for x in encoder.encode(TEXTS * 2, 2)] == want * 2
