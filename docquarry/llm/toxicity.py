@@ -1,7 +1,7 @@
 """Toxicity by Levenshtein automata over a lexicon trie.
 
 The lexicon is learnt: words, and stems that begin many words, which stand far more often in toxic than in other
-labelled documents, counted over all of the labelled training rows. It is kept as a trie. Every distinct word is run
+labelled documents. It is kept as a trie. Every distinct word is run
 against the trie by a Levenshtein automaton (its state is the row of least edit counts, a branch dies when no
 entry below it can be reached), so that misspelled terms are found too. Each occurrence gets a context window that tells
 quotation from abuse. Logistic regression turns the counts into a score; it sees nothing but the text.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,10 @@ QUOTES = "\"'“”„«»‘’"
 #: Fixed cues of reported speech and of address.
 REPORTS = {"said", "says", "called", "quoted", "wrote", "dit", "sagte", "dijo", "word", "term"}
 ADDRESS = {"you", "your", "youre", "u", "tu", "vous", "du", "dich", "ihr", "tú", "usted"}
-#: Looked-up words that a worker keeps.
+#: Words without a match that a worker keeps.
 KNOWN_WORDS = 250_000
+#: Letters of words that may be entries, and of stems.
+WORD_SIZES, STEM_SIZES = (3, 60), range(4, 9)
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "addressed", "density")
 
 
@@ -56,7 +59,9 @@ class Lexicon:
             if len(w) >= 5:
                 self.heads.setdefault(len(w), set()).add(w[: len(w) // 2])
                 self.tails.setdefault(len(w), set()).add(w[len(w) // 2 :])
-        self.known: dict[str, int] = {}
+        self.matched: dict[str, int] = {}
+        self.hits: set[str] = set()
+        self.clean: set[str] = set()
 
     def may_match(self, word: str) -> bool:
         for n in range(len(word) - 1, len(word) + 2):
@@ -95,21 +100,30 @@ class Lexicon:
             return 1
         if any(word[:n] in x for n, x in self.starts):
             return 2
-        if not 4 <= len(word) <= 40 or not self.may_match(word):
-            return 0
-        got = self.known.get(word)  # only what the automaton was run for is kept
-        if got is None:
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            got = self.known[word] = 3 if self.within(word, 1) else 0
-        return got
+        return 3 if 4 <= len(word) <= WORD_SIZES[1] + 1 and self.may_match(word) and self.within(word, 1) else 0
+
+    def matches(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that match; each is looked up once, as long as it is kept."""
+        if len(self.clean) > KNOWN_WORDS:
+            self.clean = set()
+        if len(self.matched) > KNOWN_WORDS:
+            self.matched, self.hits = {}, set()
+        new = words - self.clean
+        for w in new - self.hits:
+            if k := self.kind(w):
+                self.matched[w] = k
+                self.hits.add(w)
+            else:
+                self.clean.add(w)
+        return new & self.hits
 
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         low = text.lower()
-        found = {w: k for w in set(WORD.findall(low)) if (k := self.kind(w))}
-        if not found:
+        hits = self.matches(set(WORD.findall(low)))
+        if not hits:
             return out
+        found = {w: self.matched[w] for w in hits}
         n = 0
         for m in WORD.finditer(low):
             n += 1
@@ -134,30 +148,47 @@ def _in_fold(folds: int, held: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held
 
 
-def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, most: int = 2000) -> Lexicon:
-    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents.
+def _entries(text: str) -> set[tuple[int, str]]:
+    """The words (0, word) and stems (1, stem) of a text."""
+    words = set(WORD.findall(text.lower()))
+    found = {(0, w) for w in words if WORD_SIZES[0] <= len(w) <= WORD_SIZES[1]}
+    return found | {(1, w[:k]) for w in words for k in STEM_SIZES if len(w) > k}
 
-    Counts of documents are taken over all rows, equal texts once; only entries with ``least`` toxic documents and at least
-    one in 200 of them, at most ``most`` of
-    each sort (those with the highest odds), reach the driver.
+
+def _count(shared):
+    """Documents of each slice that hold an entry; with ``shared``, of its entries only."""
+
+    def run(batches):
+        only = shared.value if shared else None
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            for at, rows, _, _ in text_slices(batch, "text", 8 << 20):
+                seen: Counter = Counter()
+                for t in text.slice(at, rows).to_pylist():
+                    found = _entries(t or "")
+                    seen.update(found if only is None else found & only)
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
+
+    return run
+
+
+def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, share: float = 0.005) -> Lexicon:
+    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents; equal texts count once.
+
+    An entry needs ``least`` toxic documents and the ``share`` of them. So there are at most 1 / ``share`` times as
+    many candidates as a toxic document has entries on average, and only these and their counts reach the driver.
     """
-    train = save(train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"), "labelled")
+    train = save(train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "distinct")
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Lexicon([], [])
-    least = max(least, math.ceil(0.005 * n1))
-    words = train.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w")).where("length(w) between 3 and 60")
-    ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5) * ((n0 + 1) / (n1 + 1))
-
-    def best(keys: DataFrame) -> list[str]:
-        counted = keys.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        kept = counted.where((F.col("t") >= least) & (ratio >= odds)).orderBy(ratio.desc(), "w").limit(most)
-        return [r.w for r in kept.select("w").collect()]
-
-    found = best(words)
-    per_doc = train.select("toxic", F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.when(F.length(w) > k, F.substring(w, F.lit(1), k)))))).alias("p"))
-    stems = best(per_doc.select("toxic", F.explode("p").alias("w")).where("w is not null"))
+    counts = lambda toxic, shared: train.where(F.col("toxic") == toxic).select("text").mapInArrow(_count(shared), "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n"))
+    bad = {(r.kind, r.w): r.n for r in counts(1, None).where(F.col("n") >= max(least, math.ceil(share * n1))).collect()}
+    fine = {(r.kind, r.w): r.n for r in counts(0, train.sparkSession.sparkContext.broadcast(set(bad))).collect()}
+    ratio = {e: (t + 0.5) / (fine.get(e, 0) + 0.5) * ((n0 + 1) / (n1 + 1)) for e, t in bad.items()}
+    found, stems = (sorted(w for (k, w), r in ratio.items() if k == kind and r >= odds) for kind in (0, 1))
     shortest: list[str] = []
     for s in sorted(stems, key=lambda x: (len(x), x)):
         if not s.startswith(tuple(shortest)) and not any(w.startswith(s) for w in found if len(w) - len(s) <= 1):
@@ -165,17 +196,19 @@ def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, most: in
     return Lexicon(found, shortest)
 
 
-def _score(shared):
+def _score(shared, first: str = "doc_id"):
+    """The column ``first``, the score and the features of each row."""
+
     def run(batches):
         words, stems, weights = shared.value
         lexicon = _lexicon(tuple(words), tuple(stems))
         for batch in batches:
-            ids, text = ints(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
+            ids, text = ints(batch, first), batch.column(batch.schema.get_field_index("text"))
             for at, rows, _, _ in text_slices(batch, "text"):
                 x = np.stack([lexicon.features(t or "") for t in text.slice(at, rows).to_pylist()])
                 z = x @ weights[1:] + weights[0]
                 cols = [pa.array(x[:, i]) for i in range(len(FEATURES))]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), *cols], ["doc_id", "score", *FEATURES])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), *cols], [first, "score", *FEATURES])
 
     return run
 
@@ -223,19 +256,21 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: int = 50_000) -> Model:
-    """Learn from the labelled rows outside of the held-out fold, crc32(doc_id as text) mod ``folds`` = ``held``.
+    """Learn from labelled rows outside of the held-out fold, crc32(doc_id as text) mod ``folds`` = ``held``.
 
-    The lexicon counts all such rows. The regression takes at most ``most`` of them (least hashes of the id first).
-    Labels that are null or not 0 or 1 are left out; of contradicting labels of one id the toxic one counts.
-    Without labels of both kinds the model scores all documents by the share of toxic labels.
+    The lexicon and the regression take at most ``most`` labelled ids (least hashes first), which bounds what is
+    broadcast (the ids), shuffled (their texts) and collected (their features), whatever the size of ``docs``.
+    Labels that are null or not 0 or 1 are left out; of contradicting labels of one id the toxic one counts, of several
+    rows of one id the least text. Without labels of both kinds the model scores all documents by the share of toxic labels.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~_in_fold(folds, held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~_in_fold(folds, held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = save(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     lexicon = learn_lexicon(rows)
     words, stems = sorted(lexicon.words), list(lexicon.stems)
     shared = docs.sparkSession.sparkContext.broadcast((words, stems, np.zeros(len(FEATURES) + 1)))
-    sample = rows.join(known.orderBy(F.xxhash64("doc_id")).limit(most).select("doc_id"), "doc_id", "left_semi")
-    got = sample.select("doc_id", "text").mapInArrow(_score(shared), SCHEMA).join(known, "doc_id").select("toxic", *FEATURES).collect()
+    got = rows.select("toxic", "text").mapInArrow(_score(shared, "toxic"), SCHEMA.replace("doc_id", "toxic")).select("toxic", *FEATURES).collect()
     if not got:
         return Model(words, stems, np.zeros(len(FEATURES) + 1))
     table = np.array([tuple(r) for r in got], float)
