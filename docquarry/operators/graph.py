@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def search(concepts: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Concepts whose name or description contains the query, or is contained in it, without regard to case."""
+def search(concepts: DataFrame, query: str, limit: int = 10, compat: bool = False) -> DataFrame:
+    """Concepts whose name or description contains the query, or is contained in it, without regard to case.
+
+    With ``compat`` an empty description is contained in every query, as in the reference.
+    """
     q = F.lower(F.lit(query))
     name, text = F.lower("name"), F.lower("description")
-    inside = (text != "") & q.contains(text)
+    inside = q.contains(text) if compat else (text != "") & q.contains(text)
     return concepts.where(name.contains(q) | text.contains(q) | q.contains(name) | inside).orderBy("name", "id").limit(limit)
 
 

@@ -1,35 +1,16 @@
-"""The registered queries over the test tables, each with the SQL it must equal."""
+"""Queries of retrieval, evaluation, chunks, sessions and the concept graph."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators import chunks, graph, history, metrics, retrieval
+from docquarry.plans.registry import query, table
 from docquarry.sources.files import html_text
 from docquarry.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _bench(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

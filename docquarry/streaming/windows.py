@@ -15,6 +15,18 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sliding(events: DataFrame, width: str = "1 hour", every: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts by type in windows of ``width`` that begin every ``every``; works on a stream as on a table."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", width, every), "event_type").agg(F.count("*").alias("n"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events of a user with less than ``gap`` between them, as one session each; works on a stream as on a table."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(F.count("*").alias("n"))
+
+
 def limit_calls(calls: DataFrame, most: int, seconds: float) -> DataFrame:
     """``calls(user_id, event_id, at)`` with ``accepted``: fewer than ``most`` accepted calls in the last ``seconds``.
 

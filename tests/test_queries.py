@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from docquarry.operators import chunks, graph, history
-from docquarry.plans.queries import QUERIES, SQL
+from docquarry.plans.catalog import QUERIES, SQL
 from docquarry.streaming import windows
 
 SF = "/root/testdata/sf0.001"
