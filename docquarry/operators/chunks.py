@@ -2,54 +2,63 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 
-SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
+SIZE, OVERLAP = 800, 150
 
 
-def sentences_packed(text: str, size: int, overlap: int) -> list[str]:
-    """Sentences joined up to ``size`` characters; the last ``overlap`` characters open the next chunk.
+def _fold(parts: Column, step) -> Column:
+    """Fold pieces into chunks: ``step(open, piece)`` says whether the piece joins, and what is open then; nothing open is ''."""
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
+
+    def merge(state: Column, piece: Column) -> Column:
+        joins, now = step(state["open"], piece)
+        done = F.when(joins | (state["open"] == ""), state["out"]).otherwise(F.array_append(state["out"], state["open"]))
+        return F.struct(done.alias("out"), now.alias("open"))
+
+    return F.aggregate(parts, empty, merge, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], s["open"])))
 
-    A sentence over ``size`` is cut hard, so that no text is lost.
-    """
-    out, now = [], ""
-    for s in filter(None, (x.strip() for x in SENTENCE.split(text))):
-        for piece in (s[i : i + size] for i in range(0, len(s), size)):
-            if now and len(now) + len(piece) + 1 > size:
-                out.append(now)
-                now = now[-overlap:] if overlap else ""
-            now = f"{now} {piece}".strip()
-    return [*out, now] if now else out
 
+def _pieces(text: Column, border: str) -> Column:
+    return F.filter(F.transform(F.split(text, border), T.strip), lambda x: x != "")
 
-def chunk_text(text: str | None, size: int = 800, overlap: int = 150) -> list[str]:
-    """Paragraphs packed up to ``size``; a pack of more than 1.2 times that is split by sentences."""
-    packs, now = [], ""
-    for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n", text or ""))):
-        if now and len(now) + len(p) + 2 > size:
-            packs.append(now)
-            now = p
-        else:
-            now = f"{now}\n\n{p}" if now else p
-    packs += [now] if now else []
-    return [c for p in packs for c in (sentences_packed(p, size, overlap) if len(p) > 1.2 * size else [p])]
 
+def paragraphs(text: Column, size: int = SIZE) -> Column:
+    """Paragraphs joined by blank lines while they fit into ``size`` characters."""
 
-def chunk(docs: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
-    """One row per chunk of ``docs(doc_id, text)``: doc_id, chunk_id, position, text."""
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        joins = (open_ != "") & (F.length(open_) + F.length(x) + 2 <= size)
+        return joins, F.when(joins, F.concat(open_, F.lit("\n\n"), x)).otherwise(x)
 
-    def run(frames):
-        for f in frames:
-            rows = [(d, f"{d}_{i}", i, c) for d, t in zip(f.doc_id, f.text, strict=True) for i, c in enumerate(chunk_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "position", "text"])
+    return _fold(_pieces(F.coalesce(text, F.lit("")), r"(?U)\n\s*\n"), step)
+
+
+def sentences(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Sentences joined by spaces while both have ``size`` characters; a longer chunk hands its last ``overlap`` characters on.
+
+    A sentence over ``size`` stays whole, also where it is the first of a chunk (there the reference loses it).
+    """
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id string, position int, text string")
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        joins = (open_ == "") | (F.length(open_) + F.length(x) <= size)
+        carried = F.when(F.length(open_) > overlap, F.concat(F.right(open_, F.lit(overlap)), F.lit(" "), x)).otherwise(x)
+        return joins, F.when(open_ == "", x).when(joins, T.strip(F.concat(open_, F.lit(" "), x))).otherwise(carried)
+
+    return _fold(_pieces(text, r"(?U)(?<=[。！？.!?])\s*"), step)
+
+
+def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """One row per chunk of ``docs(doc_id, text, file, chapter)``: doc_id, chunk_id, position, text.
+
+    Packs of paragraphs over 1.2 times ``size`` are split by sentences. Ids are the file, the chapter's slug and the position.
+    """
+    packs = F.transform(paragraphs(F.col("text"), size), lambda p: F.when(F.length(p) <= 1.2 * size, F.array(p)).otherwise(sentences(p, size, overlap)))
+    rows = docs.select("doc_id", F.concat("file", T.chapter_slug(F.col("chapter"))).alias("base"), F.posexplode(F.flatten(packs)).alias("position", "text"))
+    return rows.select("doc_id", F.concat_ws("_", "base", "position").alias("chunk_id"), "position", "text")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -64,9 +73,31 @@ def new_only(batch: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """``base``, then ``base``_v1, _v2 ... in ``order``."""
+    """``base``, then ``base``_v1, _v2 ... in ``order``, skipping ids that are in use.
+
+    Only where a base itself looks like another one's later id (``x_v1`` beside ``x``) do both meet in one group, which goes
+    row by row; all others are numbered by rank.
+    """
+    root = F.regexp_replace(base, r"(_v\d+)+$", "")
+    mixed = rows.where(root != F.col(base)).select(root.alias("root")).distinct()
+    keyed = rows.withColumn("root", root)
     n = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
-    return rows.withColumn("unique_id", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_v"), n.cast("string"))))
+    plain = keyed.join(mixed, "root", "left_anti").withColumn("unique_id", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_v"), n.cast("string"))))
+
+    def number(group: pd.DataFrame) -> pd.DataFrame:
+        used, last, out = set(), {}, []
+        for b in group.sort_values(order)[base]:
+            k, name = last.get(b, 0), b
+            while name in used:
+                k += 1
+                name = f"{b}_v{k}"
+            last[b] = k
+            used.add(name)
+            out.append(name)
+        return group.sort_values(order).assign(unique_id=out)
+
+    odd = keyed.join(mixed, "root", "left_semi")
+    return plain.unionByName(odd.groupBy("root").applyInPandas(number, plain.schema)).drop("root")
 
 
 def batches(rows: DataFrame, run: str, order: str, size: int) -> DataFrame:

@@ -21,3 +21,10 @@ def per_query(queries: DataFrame, qrels: DataFrame, run: DataFrame, k: int = 10)
 def report(each: DataFrame) -> DataFrame:
     """Means over all queries by ``strategy``."""
     return each.groupBy("strategy").agg(F.count("*").alias("num_queries"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall", "precision", "ndcg", "mrr", "ap")])
+
+
+def summary(queries: DataFrame, qrels: DataFrame, run: DataFrame, k: int = 10) -> DataFrame:
+    """Means over all ``queries``, the number of those without a run, and NDCG over those that have grades."""
+    each = per_query(queries, qrels, run, k).join(run.select("qid").distinct().withColumn("has_run", F.lit(True)), "qid", "left").join(qrels.select("qid").distinct().withColumn("has_grades", F.lit(True)), "qid", "left")
+    means = [F.round(F.avg(m), 4).alias(m) for m in ("recall", "precision", "mrr", "ap")]
+    return each.agg(F.count("*").alias("num_queries"), F.count_if(F.col("has_run").isNull()).alias("empty_results"), F.count("has_grades").alias("graded"), *means, F.round(F.avg(F.when(F.col("has_grades"), F.col("ndcg"))), 4).alias("ndcg"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +46,49 @@ def jaccard(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(both.select("qid", "doc_id", (F.col("both") / (F.col("nq") + F.col("nd") - F.col("both"))).alias("score")), k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 20_000) -> DataFrame:
+def _nearest(shared, k: int):
+    """The ``k`` nearest rows of each batch for every query of the block, by cosine rounded to 6 digits, ties by id."""
+
+    def run(frames):
+        qids, q = shared.value
+        for f in frames:
+            f = f[f.embedding.notna()].sort_values("vec_id")
+            if not len(f) or not len(qids):
+                continue
+            x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
+            norm = np.linalg.norm(x, axis=1)
+            ids = f.vec_id.to_numpy()
+            for at in range(0, len(qids), 256):
+                part = q[at : at + 256]
+                scale = np.linalg.norm(part, axis=1)[:, None] * norm[None]
+                sim = np.divide(part @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 5_000) -> DataFrame:
     """Exact cosine top-k of ``queries(qid, q)`` over ``vectors(vec_id, embedding)``.
 
-    The query block is broadcast if it has at most ``most`` rows; a larger set is joined by blocks of queries.
+    Blocks of at most ``most`` queries are broadcast one after the other; each batch of vectors gives no more than ``k``
+    rows for a query, so what is shuffled does not grow with the square of anything. Null vectors match nothing, a
+    zero vector has cosine 0 with all.
     """
-    blocks = -(-queries.count() // most)
-    if blocks <= 1:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
-    return top_k(pairs.select("qid", "vec_id", T.cosine(F.col("q"), F.col("embedding")).alias("score")), k, "vec_id")
+    spark, parts = vectors.sparkSession, []
+    asked = queries.where("qid is not null and q is not null").select("qid", "q")
+    blocks = max(1, -(-asked.count() // most))
+    for b in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
+        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
+        parts.append(vectors.select("vec_id", "embedding").mapInPandas(_nearest(shared, k), "qid long, vec_id long, score double"))
+    return top_k(reduce(DataFrame.unionByName, parts), k, "vec_id")
+
+
+def last_of_ties(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
+    """As ``top_k``, but of equal scores the last item comes first, as a reversed ascending sort gives them."""
+    w = Window.partitionBy("qid").orderBy(F.round("score", 6).desc(), F.col(item).desc())
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = 10, item: str = "vec_id") -> DataFrame:

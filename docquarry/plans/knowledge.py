@@ -125,3 +125,64 @@ def concept_search_compat(spark, sf_dir):
     """As the reference has it, where an empty description is contained in every query."""
     c = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_name as name", "if(p_partkey % 2 = 0, '', 'zz') as description")
     return graph.search(c, "size", 25, compat=True).select("id")
+
+
+def _propagated(rounds: int) -> str:
+    """SQL of so many rounds of label propagation over the relations."""
+    steps = ["e AS (SELECT source_id AS a, target_id AS b FROM rel WHERE source_id <> target_id UNION SELECT target_id, source_id FROM rel WHERE source_id <> target_id)", "l0 AS (SELECT DISTINCT a AS id, a AS c FROM e)"]
+    for i in range(rounds):
+        steps.append(f"l{i + 1} AS (SELECT a AS id, c FROM (SELECT e.a, l.c, count(*) AS n FROM e JOIN l{i} l ON l.id = e.b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, c) = 1)")
+    return ", ".join(steps)
+
+
+RELATED = "rel AS (SELECT DISTINCT a.l_partkey AS source_id, b.l_partkey AS target_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+@query(f"WITH {RELATED}, {_propagated(3)} SELECT id, c AS community FROM l3")
+def concept_communities(spark, sf_dir):
+    return graph.communities(_graph(spark, sf_dir)[1], 3)
+
+
+TIERS = f"""WITH {RELATED}, {_propagated(2)},
+k AS (SELECT p_partkey AS id, p_name AS name, p_partkey // 4 AS chunk_id, [p_partkey // 4 + 1, p_size] AS related FROM part),
+m AS (SELECT s_suppkey AS qid, p_partkey AS id, 1 - (s_suppkey * 7 + p_partkey * 13) % 101 / 101 AS sim FROM part, supplier WHERE (s_suppkey + p_partkey) % 9 = 0),
+r AS (SELECT m.*, name, chunk_id, related, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, id) AS place FROM m JOIN k USING (id) WHERE sim > 0.1),
+top AS (SELECT * FROM r WHERE place <= 8), five AS (SELECT * FROM r WHERE place <= 5),
+t1 AS (SELECT qid, chunk_id, 1 AS tier, 0 AS ord, max(sim) AS score FROM r GROUP BY qid, chunk_id),
+t2 AS (SELECT qid, unnest(related) AS chunk_id, 2 AS tier, place AS ord, sim * 0.5 AS score FROM r WHERE place <= 15),
+t3 AS (SELECT f.qid, k.chunk_id, 3 AS tier, place AS ord, 0.3 AS score FROM five f JOIN k USING (name) WHERE NOT EXISTS (SELECT 1 FROM five g WHERE g.qid = f.qid AND g.id = k.id)),
+ten AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY id) AS n FROM l2 QUALIFY n <= 10),
+ent AS (SELECT qid, c, min(place) AS place, arg_min(sim, place) AS sim FROM top JOIN l2 USING (id) GROUP BY ALL),
+f4 AS (SELECT ent.qid, ten.id, place, sim, n FROM ent JOIN ten USING (c) WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.qid = ent.qid AND top.id = ten.id)),
+seen AS (SELECT qid, id FROM top UNION SELECT qid, id FROM f4),
+t4 AS (SELECT qid, chunk_id, 4 AS tier, place * 100 + n AS ord, sim * 0.6 AS score FROM f4 JOIN k USING (id)),
+near AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM e),
+f5 AS (SELECT qid, near.b AS id, place, n, sim FROM top JOIN near ON near.a = top.id AND n <= 5 WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.qid = top.qid AND seen.id = near.b) QUALIFY row_number() OVER (PARTITION BY qid, near.b ORDER BY place, n) = 1),
+t5 AS (SELECT qid, chunk_id, 5 AS tier, place * 100 + n AS ord, sim * 0.4 AS score FROM f5 JOIN k USING (id)),
+reached AS (SELECT * FROM seen UNION SELECT qid, id FROM f5),
+seeds AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS place FROM reached WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.qid = reached.qid AND top.id = reached.id) QUALIFY place <= 5),
+f6 AS (SELECT qid, near.b AS id, place, n FROM seeds JOIN near ON near.a = seeds.id AND n <= 3 WHERE NOT EXISTS (SELECT 1 FROM reached WHERE reached.qid = seeds.qid AND reached.id = near.b) QUALIFY row_number() OVER (PARTITION BY qid, near.b ORDER BY place, n) = 1),
+t6 AS (SELECT qid, chunk_id, 6 AS tier, place * 100 + n AS ord, 0.12 AS score FROM f6 JOIN k USING (id)),
+one AS (SELECT * FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5 UNION ALL SELECT * FROM t6) QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY tier, ord, score) = 1)
+SELECT qid, chunk_id, tier, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM one QUALIFY rank <= 40"""
+
+
+@query(TIERS)
+def graph_tiers(spark, sf_dir):
+    """Each supplier asks; similarities are made up from the keys, four parts share a chunk."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_name as name", "p_partkey div 4 as chunk_id", "array(p_partkey div 4 + 1, cast(p_size as long)) as related")
+    asks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("qid"), F.pmod(-F.col("s_suppkey"), F.lit(9)).alias("rest"))
+    matches = parts.select("id", (F.col("id") % 9).alias("rest")).join(asks, "rest").selectExpr("qid", "id", "1 - (qid * 7 + id * 13) % 101 / 101 as sim")
+    relations = _graph(spark, sf_dir)[1]
+    got = graph.tiers(matches, parts, relations, graph.communities(relations, 2), 40)
+    return got.select("qid", "chunk_id", "tier", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT l_orderkey AS plan, l_linenumber AS id, (l_partkey % 8)::INT AS dep FROM lineitem WHERE l_orderkey % 3 = 0),
+d AS (SELECT plan, id, min(dep) AS dep FROM t GROUP BY ALL), e AS (SELECT a.plan, a.id, b.id AS dep FROM d a JOIN d b ON a.plan = b.plan AND b.id = a.dep),
+lv(plan, id, n) AS (SELECT plan, id, 0 FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.plan = d.plan AND e.id = d.id) UNION ALL SELECT e.plan, e.id, n + 1 FROM lv JOIN e ON e.plan = lv.plan AND e.dep = lv.id)
+SELECT d.plan, d.id, coalesce(n, (SELECT max(n) + 1 FROM lv x WHERE x.plan = d.plan), 0) AS round FROM d LEFT JOIN lv USING (plan, id)""")
+def topo_rounds(spark, sf_dir):
+    """Lines of an order as tasks, each waiting for at most one other; cycles come last."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("id")).agg(F.array(F.min(F.col("l_partkey") % 8).cast("int")).alias("depends_on"))
+    return graph.topological_rounds(rows)

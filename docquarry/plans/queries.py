@@ -146,9 +146,21 @@ def unique_chunk_ids(spark, sf_dir):
     return chunks.unique_ids(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("base")), "base", "doc_id").select("doc_id", "unique_id")
 
 
-@query()
+CHUNKS = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '_Ch12' ELSE '' END AS slug, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ps FROM documents),
+k AS (SELECT doc_id, slug, list_reduce(list_transform(ps, lambda p: {'out': []::VARCHAR[], 'cur': p}), lambda a, x: CASE WHEN a.cur <> '' AND len(a.cur) + len(x.cur) + 2 <= 800 THEN {'out': a.out, 'cur': a.cur || chr(10) || chr(10) || x.cur}
+  ELSE {'out': CASE WHEN a.cur = '' THEN a.out ELSE list_append(a.out, a.cur) END, 'cur': x.cur} END, {'out': []::VARCHAR[], 'cur': ''}) AS f FROM d),
+p AS (SELECT doc_id, slug, unnest(list_append(f.out, f.cur)) AS pack, generate_subscripts(list_append(f.out, f.cur), 1) AS np FROM k),
+s AS (SELECT doc_id, slug, np, pack, list_filter(list_transform(string_split(regexp_replace(pack, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ss FROM p WHERE pack <> ''),
+g AS (SELECT doc_id, slug, np, CASE WHEN len(pack) <= 960 THEN {'out': []::VARCHAR[], 'cur': pack} ELSE list_reduce(list_transform(ss, lambda x: {'out': []::VARCHAR[], 'cur': x}), lambda a, x: CASE WHEN a.cur = '' THEN {'out': a.out, 'cur': x.cur}
+  WHEN len(a.cur) + len(x.cur) <= 800 THEN {'out': a.out, 'cur': trim(a.cur || ' ' || x.cur, ' ' || chr(9) || chr(10) || chr(13))} ELSE {'out': list_append(a.out, a.cur), 'cur': CASE WHEN len(a.cur) > 150 THEN right(a.cur, 150) || ' ' || x.cur ELSE x.cur END} END, {'out': []::VARCHAR[], 'cur': ''}) END AS f FROM s),
+c AS (SELECT doc_id, slug, np, unnest(list_append(f.out, f.cur)) AS text, generate_subscripts(list_append(f.out, f.cur), 1) AS nc FROM g)
+SELECT doc_id, 'doc' || doc_id || slug || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY np, nc) - 1) AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY np, nc) - 1 AS position, text FROM c"""
+
+
+@query(CHUNKS)
 def chunk_sentences(spark, sf_dir):
-    return chunks.chunk(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("doc"), "doc_id").alias("file"), F.when(F.col("doc_id") % 2 == 0, "第十二章 绪论").otherwise("").alias("chapter"))
+    return chunks.chunk(docs)
 
 
 @query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch FROM documents")
@@ -215,7 +227,11 @@ def rate_window_raw(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row)").alias("calls"))
 
 
-@query()
+@query("""WITH u AS (SELECT user_id, list({'t': epoch(ts), 'id': event_id} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+f AS (SELECT list_reduce(list_transform(l, lambda e: {'acc': [e.t], 'out': [{'user_id': user_id, 'event_id': e.id, 'accepted': true}]}), lambda a, x: CASE WHEN len(list_filter(a.acc, lambda t: t > x.acc[1] - 86400)) < 2
+  THEN {'acc': list_append(list_filter(a.acc, lambda t: t > x.acc[1] - 86400), x.acc[1]), 'out': list_concat(a.out, x.out)}
+  ELSE {'acc': list_filter(a.acc, lambda t: t > x.acc[1] - 86400), 'out': list_append(a.out, {'user_id': x.out[1].user_id, 'event_id': x.out[1].event_id, 'accepted': false})} END) AS r FROM u)
+SELECT unnest(r.out, recursive := true) FROM f""")
 def rate_limiter(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("cast(cast(ts as timestamp) as double)").alias("at"))
     return windows.limit_calls(calls, 2, 86400.0)
@@ -281,6 +297,6 @@ def relevance_overlap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.relevance(F.lit("retrieval"), F.col("text")), 6).alias("relevance"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
