@@ -18,9 +18,11 @@ SLICE_BYTES = 2 << 20
 def scratch_base(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in local tests, a temporary folder is used.
+    Only where the setting is missing and Spark runs in one process, as in tests, a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (base or _local_base()).rstrip("/")
 
 
@@ -34,7 +36,34 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/docquarry/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete what ``save`` has written, once nothing that is still to run reads it."""
+    for df in saved:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a filter of ids: 16 for each id, up to a table of 2^20 words, which bounds the broadcast (16 MB).
+FILTER_BITS = 26
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` with ``dq_maybe``: false only where ``column`` is certainly not in ``ids`` (a column of its name, without nulls).
+
+    A broadcast bit table tells on the map side, so that rows which an exact join would drop or leave as they are need
+    no shuffle. With more ids than it is made for it lets more through; the exact join that follows decides.
+    """
+    bits = max(10, min(FILTER_BITS, (16 * ids.count()).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("long")), 64 - bits)
+    held = ids.select(place(column).alias("p")).select(F.expr("p div 64").alias("dq_word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit")).groupBy("dq_word").agg(F.bit_or("bit").alias("dq_bits"))
+    keyed = rows.withColumn("dq_p", place(column)).withColumn("dq_word", F.expr("dq_p div 64"))
+    test = F.expr("(shiftright(coalesce(dq_bits, 0L), cast(dq_p % 64 as int)) & 1L) = 1L")
+    return keyed.join(F.broadcast(held), "dq_word", "left").withColumn("dq_maybe", test).drop("dq_p", "dq_word", "dq_bits")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,15 +120,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as rows (node, component = least node).
 
-    Alternates large-star and small-star steps; each round is written to the shared
-    folder, its size falls geometrically and nothing but two numbers reaches the driver.
+    Alternates large-star and small-star steps until every node hangs on one other that hangs on none. Each round is
+    written to the shared folder and the one before it deleted; nothing but one row reaches the driver.
     """
     now = save(edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    seen = None
     while True:
-        now = save(_star(_star(now, True), False), tag)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == seen:
+        hangs = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not hangs.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").take(1):
             break
-        seen = (state.n, state.h)
+        before, now = now, save(_star(_star(now, True), False), tag)
+        drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

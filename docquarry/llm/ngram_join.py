@@ -11,15 +11,14 @@ two sets of Jaccard similarity t or more are at most (1 - t) / (1 + t) * (|A| +
    Below, traces would be too short to tell texts apart, and prefixes are used alone: all shingles have one order, known frequent ones last. Of two linked sets the first
    |A| - ceil(t |A|) + 1 shingles have one in common; the region of (ring, shingle) holds both. Any order
    is exact; this one keeps passages that many documents share out of the prefixes.
-3. *Voronoi regions.* Regions that share sets are merged. One that holds more than ``most`` sets
-   picks document pivots, and those that are linked with one another form one group. What lies in
-   the ball of radius r = 1 - t around a pivot is linked with it at once. Every set goes to its nearest group and,
+3. *Voronoi regions.* Regions that share sets are merged. Each picks document pivots. What lies in the ball of radius
+   r = 1 - t around a pivot is linked with it at once. Every set goes to the region of its nearest pivot and,
    within the window d(x, p) <= d(x, nearest) + 2 r of the Jaccard distance, to others; sets farther than
-   3 r from all pivots, with the boundary sets down to 2 r, form the region outside. A ball member stays only
-   if the nearest set out of the ball can reach it. Regions that are still too large are cut again;
-   one that no longer shrinks is joined in tiles.
-4. *Join.* A breadth-first search within a region compares every reached set with all that are
-   not yet reached, so that a group of near copies costs one pass, not all pairs.
+   3 r from all pivots, with the boundary sets down to 2 r, form the region outside. The regions are divided again
+   in the same way until all of their sets are linked or were pivots. A region of up to ``most`` sets is divided within
+   one task (``forest``), a larger one by all tasks: there, pivots that are linked with one another
+   share a region, and a ball member stays only if the nearest set out of the ball can reach it.
+4. *Tiles.* A region that no longer shrinks (sets that are all about as far from one another) is compared directly.
 
 Plain Voronoi regions at the first level would be useless: unrelated texts have distance 1 from
 every pivot and would be replicated everywhere. Steps 1 and 2 bring the work down
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import components, ints, save, shuffle_width, text_slices
+from docquarry.llm.common import components, drop, ints, maybe_in, save, shuffle_width, text_slices
 
 RING = 1.5
 #: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
@@ -246,6 +245,60 @@ def search(members: list[np.ndarray], t: float, only: tuple[int, int] | None = N
     return forest
 
 
+def forest(members: list[np.ndarray], t: float, pivots: int = 8) -> list[tuple[int, int]]:
+    """A spanning forest of the graph in which sets of Jaccard similarity ``t`` or more are linked, by recursive Voronoi regions.
+
+    Pivots are picked one after the other as the set farthest from all earlier ones, until all lie in some ball.
+    """
+    r = 1 - t
+    size = np.array([len(s) for s in members])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    _, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *members]), return_inverse=True)
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    group, links, work = np.arange(len(members)), [], 0
+    regions = [np.arange(len(members))]
+
+    def direct(at: np.ndarray) -> None:
+        for a, b in search([members[i] for i in at], t):
+            if group[at[a]] != group[at[b]]:
+                links.append((int(at[a]), int(at[b])))
+                group[group == group[at[b]]] = group[at[a]]
+
+    while regions:
+        at = regions.pop()
+        if len(np.unique(group[at])) < 2:
+            continue
+        work += len(at)
+        if work > 8 * len(members):  # windows that hold most of every region: the division does not pay
+            direct(np.arange(len(members)))
+            break
+        values = flat[np.repeat(begin[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(int(size[at].sum()))]
+        of = np.repeat(np.arange(len(at)), size[at])
+        near, far, next_ = np.full(len(at), 2.0), [], 0
+        while len(far) < min(pivots, len(at)) and near[next_] > r + 1e-9:
+            p = at[next_]
+            mark[flat[begin[p] : begin[p + 1]]] = True
+            both = np.bincount(of[mark[values]], minlength=len(at))
+            mark[flat[begin[p] : begin[p + 1]]] = False
+            union = size[at] + size[p] - both
+            for x in at[both >= t * union - 1e-9]:
+                if group[x] != group[p]:
+                    links.append((int(p), int(x)))
+                    group[group == group[x]] = group[p]
+            far.append(1 - both / union)
+            near = np.minimum(near, far[-1])
+            next_ = int(near.argmax())
+        if len(far) == len(at):  # every set was a pivot
+            continue
+        parts = [at[(d <= near + 2 * r + 1e-9) & (near <= 3 * r + 1e-9)] for d in far]
+        parts.append(at[near > 2 * r - 1e-9])
+        if sum(map(len, parts)) <= 1.5 * len(at):
+            regions += parts
+        else:
+            direct(at)
+    return links
+
+
 def _sets_of(texts: pd.Series, n: int) -> list[np.ndarray]:
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
@@ -259,7 +312,8 @@ def _join(n: int, t: float):
     def close(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["doc_id", "side"]).sort_values(["side", "doc_id"])
         ids, tile = rows.doc_id.to_numpy(), rows.tile.to_numpy()[0]
-        found = search(_sets_of(rows.text, n), t, (int((rows.side == 0).sum()), len(rows)) if tile else None)
+        sets = _sets_of(rows.text, n)
+        found = search(sets, t, (int((rows.side == 0).sum()), len(rows))) if tile else forest(sets, t)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
     def run(frames):
@@ -343,14 +397,18 @@ def _voronoi(n: int, t: float):
 
 
 def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8, depth: int = 4) -> DataFrame:
-    """Links of all regions ``found`` (region, doc_id, text), cutting those of more than ``most`` documents."""
+    """Links of all regions ``found`` (region, doc_id, text; a saved table), cutting those of more than ``most`` documents.
+
+    A region is joined in tiles at ``depth``, if it has hardly fewer sets than the one it was cut from, or if its own
+    regions would hold one and a half times its sets or more (sets that are all near one another).
+    """
     width = shuffle_width(found.sparkSession)
-    found = found.select("region", "doc_id", "text", F.lit(False).alias("closed"), F.lit(None).cast("long").alias("was"))
-    links = []
+    old, links = found, []
+    found = found.select("region", "doc_id", "text", F.lit(False).alias("closed"), F.lit(None).cast("long").alias("was"), F.lit(False).alias("whole"))
     for level in range(depth + 1):
-        large = save(found.groupBy("region").agg(F.count("*").alias("held"), F.max("was").alias("was")).where(F.col("held") > most), "regions")
+        large = save(found.groupBy("region").agg(F.count("*").alias("held"), F.max("was").alias("was"), F.max("whole").alias("whole")).where(F.col("held") > most), "regions")
         small = found.join(large, "region", "left_anti").select("region", F.lit(0).alias("tile"), F.lit(0).alias("side"), "doc_id", "text")
-        stuck = F.lit(level == depth) | F.coalesce(F.col("held") > 0.9 * F.col("was"), F.lit(False))
+        stuck = F.lit(level == depth) | F.col("whole") | F.coalesce(F.col("held") > 0.9 * F.col("was"), F.lit(False))
         tiles = large.where(stuck).select("region", F.ceil(F.col("held") * 2 / most).cast("int").alias("k"))
         blocks = found.join(tiles, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
         blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
@@ -358,8 +416,9 @@ def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8
         links.append(save(_join_regions(small.unionByName(blocks), n, t), "links"))
         cut = large.where(~stuck).select("region", "held", F.ceil(F.col("held") / 500).cast("int").alias("salts"))
         if not cut.take(1):
+            drop(old)
             break
-        rows = found.drop("was").join(cut, "region")
+        rows = found.drop("was", "whole").join(cut, "region")
         # pivots: sets outside of earlier balls first, then by hash; a bounded aggregate that combines before the shuffle
         first = F.struct("closed", F.xxhash64("doc_id", F.lit(level + 99)).alias("h"), "doc_id", "text").alias("s")
         picked = rows.select("region", "salts", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(pivots)).alias("slot"), first).groupBy("region", "salts", "slot").agg(F.min("s").alias("s"))
@@ -367,10 +426,18 @@ def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8
         dealt = dealt.unionByName(rows.select("region", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text", "closed", "held"))
         dealt = dealt.repartition(width, "region", "salt").sortWithinPartitions("region", "salt", "kind", "doc_id")
         placed = save(dealt.mapInPandas(_voronoi(n, t), "region string, doc_id long, text string, closed boolean, d double, pivot long, was long"), "voronoi")
-        links.append(placed.where("pivot is not null and pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+        links.append(save(placed.where("pivot is not null and pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "links"))
         # d of ball members is negative; the nearest other set decides which of them can have a link out of the ball
         reach = placed.where("pivot is null and d > 0").groupBy("region").agg(F.min("d").alias("nearest"))
-        found = placed.where("pivot is null").join(reach, "region").where((F.col("d") > 0) | (-F.col("d") >= F.col("nearest") - (1 - t) - 1e-9)).select("region", "doc_id", "text", "closed", "was")
+        kept = placed.where("pivot is null").join(reach, "region").where((F.col("d") > 0) | (-F.col("d") >= F.col("nearest") - (1 - t) - 1e-9))
+        kept = kept.select("region", "doc_id", "text", "closed", "was", F.expr("substring_index(region, '.', -1)").alias("last"))
+        kept = kept.withColumn("parent", F.expr("substring(region, 1, length(region) - length(last) - 1)"))
+        poor = kept.groupBy("parent").agg(F.count("*").alias("n"), F.max("was").alias("held")).where(F.col("n") >= 1.5 * F.col("held")).select("parent")
+        parts = kept.join(poor, "parent", "left_anti").select("region", "doc_id", "text", "closed", "was", F.lit(False).alias("whole"))
+        again = rows.join(poor.withColumnRenamed("parent", "region"), "region", "left_semi").select("region", "doc_id", "text", "closed", F.col("held").alias("was"), F.lit(True).alias("whole"))
+        found = save(parts.unionByName(again), "found")
+        drop(old, placed)
+        old = found
     out = links[0]
     for part in links[1:]:
         out = out.unionByName(part)
@@ -398,8 +465,10 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
     known = save(ends.join(to_rep, ends.a == to_rep.doc_id).select("doc_id", "rep"), "ends")
     edges = near.join(known.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     regions = save(components(edges, "candidates"), "candidates")
-    found = docs.join(regions, docs.doc_id == regions.node).select(F.col("component").cast("string").alias("region"), "doc_id", "text")
-    found = save(found, "found")
+    drop(near, known)
+    # only texts that are in some region are shuffled
+    likely = maybe_in(docs, regions.select(F.col("node").alias("doc_id"))).where("dq_maybe").drop("dq_maybe")
+    found = save(likely.join(regions, likely.doc_id == regions.node).select(F.col("component").cast("string").alias("region"), "doc_id", "text"), "found")
     links = _region_links(found, n, t, most)
     # an id may come with several texts: only links between representatives count
     groups = components(links.join(rep.select(F.col("rep").alias("a")), "a", "left_semi"), "groups")
@@ -409,10 +478,17 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
 
 
 def keep_first(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
-    """``docs`` without those that are not the least id of their group; rows without words all stay.
+    """``docs`` without those that are not the least id of their group; rows without words, and rows without an id, all stay.
 
-    Of rows with the same id the first text in order stays.
+    Of rows with the same id the least one, by columns from left to right, stays. Rows whose id is surely neither
+    dropped nor repeated pass without a shuffle.
     """
-    groups = join(docs, n, t)
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    groups = save(join(docs, n, t), "groups")
+    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first"))
+    touched = save(known.where("n > 1 or first = 0").select("doc_id", (F.col("first") == 1).alias("dq_first")), "touched")
+    marked = maybe_in(docs, touched.select("doc_id"))
+    sure = marked.where("doc_id is null or not dq_maybe").select(docs.columns)
+    near = marked.where("doc_id is not null and dq_maybe").drop("dq_maybe").join(touched, "doc_id", "left").where("dq_first is null or dq_first")
+    once = near.where("dq_first is null").select(docs.columns)
+    least = near.where("dq_first").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("dq_row")).select("dq_row.*")
+    return sure.unionByName(once).unionByName(least)
