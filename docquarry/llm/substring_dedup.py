@@ -1,10 +1,11 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes decides at every unit (word start, or a character of a script without
+A gear rolling hash over the last 16 bytes decides at every unit (word start, or a character of a script without
 spaces) whether a chunk begins there; as nothing but these bytes decides, an insertion shifts no later border.
-Chunks are compared by digest. A chunk belongs to the least document that has it; elsewhere it is a copy. A run of
-neighbouring copies of ``least`` units or more is a repeated passage, and is cut from all documents but its first.
-One digest alone may collide, a run of several does not.
+Chunks are compared by digest. A chunk belongs to the least document that has it; elsewhere it is a copy. A passage
+seldom begins and ends with a chunk: each digest carries four bits of each of the 16 units on either side of it in its
+owner, and a run of neighbouring copies is extended over the units that agree. With those it is a repeated passage from
+``least`` units on, and is cut from all documents but its first. One digest alone may collide, a run of several does not.
 """
 
 from __future__ import annotations
@@ -17,12 +18,18 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
 from docquarry.llm.common import ints, save, shuffle_width, text_slices
+from docquarry.llm.tokens import keys
 
 NONE = np.iinfo(np.int64).max
 
 
+#: Units on either side of a chunk that its digest carries, and bits of each (0: there is none).
+BESIDE, BITS = 16, 4
+WINDOW = 16
+
+
 def chunks(data: np.ndarray, offs: np.ndarray, every: int) -> tuple[np.ndarray, ...]:
-    """Of all texts: chunk starts, ends, units in each, digest of each, and where each text's chunks begin.
+    """Of all texts: chunk starts, ends, units in each, digest of each, where each text's chunks begin, and unit starts.
 
     A chunk begins at a unit whose preceding bytes' gear hash is under 2^32 / ``every``, and at a text's begin.
     """
@@ -37,14 +44,46 @@ def chunks(data: np.ndarray, offs: np.ndarray, every: int) -> tuple[np.ndarray,
     h = textkit.gear(data)
     border = np.zeros(n, bool)
     border[1:] = unit[1:] & (h[:-1] < np.uint32((1 << 32) // every))
-    # within 32 bytes of a text's begin the hash still sees the text before: no border there
+    # within the window of a text's begin the hash still sees the text before: no border there
     born = np.repeat(offs[:-1], np.diff(offs))
-    border &= np.arange(n) - born >= 32
+    border &= np.arange(n) - born >= WINDOW
     border |= first
     starts = np.flatnonzero(border)
     ends = np.append(starts[1:], n) if len(starts) else starts
     units = np.add.reduceat(unit.astype(np.int64), starts) if len(starts) else starts
-    return starts, ends, units, textkit.word_hashes(data, starts, ends), np.searchsorted(starts, offs)
+    return starts, ends, units, textkit.word_hashes(data, starts, ends), np.searchsorted(starts, offs), np.flatnonzero(unit)
+
+
+def codes(data: np.ndarray, unit_starts: np.ndarray) -> np.ndarray:
+    """A code from 1 to 15 of each unit's bytes up to the next unit or white space."""
+    if not len(unit_starts):
+        return np.zeros(0, np.uint64)
+    spaced = textkit.SPACED[data]
+    word_ends = np.flatnonzero(spaced & ~np.append(spaced[1:], False)) + 1
+    ends = np.minimum(np.append(unit_starts[1:], len(data)), word_ends[np.searchsorted(word_ends, unit_starts, "right")])
+    return keys(data, unit_starts, ends)[0] % np.uint64((1 << BITS) - 1) + np.uint64(1)
+
+
+def beside(code: np.ndarray, unit_of_text: np.ndarray, first: np.ndarray, text: np.ndarray, step: int) -> np.ndarray:
+    """The packed codes of ``BESIDE`` units from unit ``first`` of each chunk on, by ``step`` (-1: backwards), within its text.
+
+    ``unit_of_text``: where each text's units begin.
+    """
+    out = np.zeros(len(first), np.uint64)
+    low, high = unit_of_text[text], unit_of_text[text + 1]
+    for k in range(BESIDE):
+        at = first + k * step
+        inside = (at >= low) & (at < high)
+        out[inside] |= code[at[inside]] << np.uint64(BITS * k)
+    return out
+
+
+def agreeing(packed: int, code: np.ndarray) -> int:
+    """How many of the codes agree with the packed ones, from the first on."""
+    for k, c in enumerate(code[:BESIDE].tolist()):
+        if (packed >> (BITS * k)) & ((1 << BITS) - 1) != c:
+            return k
+    return min(len(code), BESIDE)
 
 
 def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -56,45 +95,53 @@ def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _scatter(every: int, buckets: int):
-    """Distinct chunk digests of each slice with their least and greatest document, packed by bucket of the digest."""
+    """Distinct chunk digests of each slice with their least and greatest document and what is beside them in the least, packed by bucket of the digest."""
 
     def run(batches):
         for batch in batches:
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
-                _, _, _, digest, begin = chunks(data, offs, every)
+                starts, ends, _, digest, begin, units = chunks(data, offs, every)
                 if not len(digest):
                     continue
-                doc = np.repeat(ids[at : at + rows], np.diff(begin))
+                text = np.repeat(np.arange(rows), np.diff(begin))
+                doc = ids[at : at + rows][text]
                 order = np.lexsort((doc, digest))
-                digest, doc = digest[order], doc[order]
-                head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
-                low, high, digest = doc[head], doc[np.append(head[1:], len(doc)) - 1], digest[head]
-                bucket = (digest % np.uint64(buckets)).astype(np.int64)
+                head = np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1]))
+                high = doc[order][np.append(head[1:], len(doc)) - 1]
+                own = order[head]  # the occurrence in the least document
+                code, of_text = codes(data, units), np.searchsorted(units, offs)
+                before = beside(code, of_text, np.searchsorted(units, starts[own]) - 1, text[own], -1)
+                after = beside(code, of_text, np.searchsorted(units, ends[own]), text[own], 1)
+                columns = (digest[own], doc[own], high, before, after)
+                bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                parts = [(int(p), *(x[order][cut[p] : cut[p + 1]].tobytes() for x in (digest, low, high))) for p in np.flatnonzero(np.diff(cut))]
-                p, d, a, b = zip(*parts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in (d, a, b))], ["p", "digests", "low", "high"])
+                columns = [x[order] for x in columns]
+                full = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], ["p", *PACKED])
 
     return run
 
 
+PACKED = ("digests", "low", "high", "before", "after")
+
+
 def _gather(batches):
-    """(bucket, digests, owners) of the digests that more than one document has."""
+    """The digests that more than one document has, with their owner and what is beside them there."""
     held, bucket = [], None
 
     def close():
-        digest, low, high = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-        order = np.argsort(digest, kind="stable")
+        digest, low, high, before, after = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.uint64, np.uint64)))
+        order = np.lexsort((low, digest))
         digest, low, high = digest[order], low[order], high[order]
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
-        low, high, digest = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head), digest[head]
-        many = low < high
-        return pa.RecordBatch.from_arrays([pa.array(digest[many].view(np.int64)), pa.array(low[many])], ["digest", "owner"])
+        many = low[head] < np.maximum.reduceat(high, head)
+        own = order[head[many]]
+        return pa.RecordBatch.from_arrays([pa.array(digest[head[many]].view(np.int64)), pa.array(low[head[many]]), pa.array(before[own].view(np.int64)), pa.array(after[own].view(np.int64))], ["digest", "owner", "before", "after"])
 
     for batch in batches:
-        for p, *parts in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for p, *parts in zip(*(batch.column(i) for i in range(1 + len(PACKED))), strict=True):
             if bucket is not None and p.as_py() != bucket:
                 yield close()
                 held = []
@@ -111,7 +158,7 @@ def _copies(every: int):
         for batch in batches:
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
-                _, _, _, digest, begin = chunks(data, offs, every)
+                _, _, _, digest, begin, _ = chunks(data, offs, every)
                 if not len(digest):
                     continue
                 of = np.repeat(np.arange(rows), np.diff(begin))
@@ -125,39 +172,55 @@ def _copies(every: int):
     return run
 
 
+HITS = ("places", "owners", "before", "after")
+
+
+def spans_of(raw: np.ndarray, every: int, least: int, hits: dict[int, tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """Number of chunks of a text, byte spans of its repeated passages, and their owners; ``hits``: owner, before and after by chunk."""
+    starts, ends, _, _, _, units = chunks(raw, np.array([0, len(raw)]), every)
+    spans, owners = [], set()
+    if hits:
+        code, at = codes(raw, units), np.array(sorted(hits))
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            a, b = (int(x) for x in np.searchsorted(units, (starts[run[0]], ends[run[-1]])))
+            a -= agreeing(hits[run[0]][1], code[:a][::-1][:BESIDE])
+            b += agreeing(hits[run[-1]][2], code[b : b + BESIDE])
+            if b - a >= least:
+                first = min(int(starts[run[0]]), int(units[a]))
+                last = int(units[b]) if b < len(units) else len(raw)
+                if spans and first <= spans[-1][1]:  # the extensions of two runs meet
+                    first, last = spans[-1][0], max(last, spans.pop()[1])
+                spans.append((first, last))
+                owners |= {int(hits[x][0]) for x in run}
+    return len(starts), spans, owners
+
+
 def _spans(every: int, least: int):
-    """Byte spans of the repeated passages of each text, from the places of its copied chunks."""
+    """Byte spans of the repeated passages of each text, from its copied chunks."""
 
     def run(frames):
         for f in frames:
             out = []
-            for doc_id, text, places, owners in zip(f.doc_id, f.text, f.dq_places, f.dq_owners, strict=True):
+            for doc_id, text, *found in zip(f.doc_id, f.text, *(f[f"dq_{x}"] for x in HITS), strict=True):
                 raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                starts, ends, units, _, _ = chunks(raw, np.array([0, len(raw)]), every)
-                spans, first = [], set()
-                if places is not None and len(places):
-                    owner = dict(zip(places, owners, strict=True))
-                    at = np.array(sorted(owner))
-                    for group in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                        if units[group].sum() >= least:
-                            spans.append((int(starts[group[0]]), int(ends[group[-1]])))
-                            first |= {int(owner[x]) for x in group}
-                out.append((doc_id, len(raw), len(starts), [a for a, _ in spans], [b for _, b in spans], sorted(first)))
+                hits = {} if found[0] is None else {int(p): (int(o), int(x) % (1 << 64), int(y) % (1 << 64)) for p, o, x, y in zip(*found, strict=True)}
+                n, spans, owners = spans_of(raw, every, least, hits)
+                out.append((doc_id, len(raw), n, [a for a, _ in spans], [b for _, b in spans], sorted(owners)))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_chunks", "span_starts", "span_ends", "first_docs"]).astype({"doc_id": "Int64"})
 
     return run
 
 
 def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
-    """(doc, key, places, owners): the copied chunks of each text that has any."""
+    """(doc, key, places, owners, before, after): the copied chunks of each text that has any."""
     width = shuffle_width(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = plain.mapInArrow(_scatter(every, buckets or 4 * width), "p int, digests binary, low binary, high binary")
-    owners = save(packed.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_gather, "digest long, owner long"), "owners")
+    packed = plain.mapInArrow(_scatter(every, buckets or 4 * width), "p int, " + ", ".join(f"{c} binary" for c in PACKED))
+    owners = save(packed.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_gather, "digest long, owner long, before long, after long"), "owners")
     places = plain.mapInArrow(_copies(every), "digest long, docs array<long>, keys array<long>, places array<long>").join(owners, "digest")
-    each = places.select("owner", F.explode(F.arrays_zip("docs", "keys", "places")).alias("x")).select(F.col("x.docs").alias("doc"), F.col("x.keys").alias("key"), F.struct(F.col("x.places").alias("place"), "owner").alias("hit"))
-    grouped = each.where("doc > hit.owner").groupBy("doc", "key").agg(F.collect_set("hit").alias("hits"))
-    return save(grouped.select("doc", "key", F.col("hits.place").alias("places"), F.col("hits.owner").alias("owners")), "copies")
+    each = places.select("owner", "before", "after", F.explode(F.arrays_zip("docs", "keys", "places")).alias("x")).select(F.col("x.docs").alias("doc"), F.col("x.keys").alias("key"), F.struct(F.col("x.places").alias("places"), F.col("owner").alias("owners"), "before", "after").alias("hit"))
+    grouped = each.where("doc > hit.owners").groupBy("doc", "key").agg(F.collect_set("hit").alias("hits"))
+    return save(grouped.select("doc", "key", *[F.col(f"hits.{x}").alias(x) for x in HITS]), "copies")
 
 
 def _keyed(batches):
@@ -167,10 +230,10 @@ def _keyed(batches):
 
 
 def _matched(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
-    """``docs`` with dq_places and dq_owners of each row's copied chunks; rows that repeat share them."""
-    found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), F.col("places").alias("dq_places"), F.col("owners").alias("dq_owners"))
-    keyed = docs.mapInArrow(_keyed, _with_key(docs))
-    return keyed.join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))) == F.col("dq_doc")) & (F.col("dq_text_key") == F.col("dq_key")), "left")
+    """``docs`` with the copied chunks of each row (dq_places, dq_owners, ...); rows that repeat share them."""
+    found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), *[F.col(x).alias(f"dq_{x}") for x in HITS])
+    keyed = docs.mapInArrow(_keyed, _with_key(docs)).withColumn("dq_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))))
+    return keyed.join(found, (keyed["dq_id"] == found["dq_doc"]) & (keyed["dq_text_key"] == found["dq_key"]), "left")
 
 
 def _with_key(docs: DataFrame):
@@ -179,18 +242,20 @@ def _with_key(docs: DataFrame):
     return StructType([*docs.schema.fields, StructField("dq_text_key", LongType())])
 
 
-def passages(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None = None) -> DataFrame:
+def passages(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_chunks, span_starts, span_ends, first_docs.
 
     Spans are the bytes of passages that an earlier document (least doc_id; a null id counts as the last) holds already;
-    ``first_docs`` are those documents. ``least`` counts whole chunks, so a passage of 50 words, which loses a part of a
-    chunk at both of its ends, is found. Null and empty texts have no chunks; what repeats within one document stays.
+    ``first_docs`` are those documents. ``least`` counts the units of a run of copied chunks and the up to 16 on either side
+    that agree; a chunk has ``every`` units on average, so a passage of more than 50 words loses 12 of them beyond
+    that with a probability of some thousandths, and shorter ones are found as often as they show ``least`` units.
+    Null and empty texts have no chunks; what repeats within one document stays.
     """
-    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "dq_places", "dq_owners")
+    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"dq_{x}" for x in HITS])
     return matched.mapInPandas(_spans(every, least), "doc_id long, n_bytes long, n_chunks long, span_starts array<long>, span_ends array<long>, first_docs array<long>")
 
 
-def cut(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None = None) -> DataFrame:
+def cut(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None = None) -> DataFrame:
     """``docs`` with all repeated passages cut out of ``text`` (and ``n_chars``, where there is one, counted again).
 
     A row whose text is wholly made of repeated passages goes; rows without text stay as they are.
@@ -201,7 +266,7 @@ def cut(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None =
     def run(frames):
         for f in frames:
             texts, keep = [], []
-            for s in spans(iter([f[["doc_id", "text", "dq_places", "dq_owners"]]])):
+            for s in spans(iter([f[["doc_id", "text", *[f"dq_{x}" for x in HITS]]]])):
                 for text, starts, ends in zip(f.text, s.span_starts, s.span_ends, strict=True):
                     raw, left, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
                     for a, b in zip(starts, ends, strict=True):
@@ -210,10 +275,14 @@ def cut(docs: DataFrame, every: int = 5, least: int = 20, buckets: int | None =
                     new = b"".join([*left, raw[at:]]).decode("utf-8", "surrogatepass")
                     texts.append(new if starts else text)
                     keep.append(not starts or bool(new.strip()))
-            out = f[names].copy()
+            out = f[inner].copy()
+            out.columns = names
             if "n_chars" in names:
                 out["n_chars"] = [len(t) if t is not None and t != old else n for t, old, n in zip(texts, f.text, f.n_chars, strict=True)]
             out["text"] = texts
             yield out[np.array(keep, bool)] if len(out) else out
 
-    return _matched(docs, every, buckets).select(*names, "dq_places", "dq_owners").mapInPandas(run, schema)
+    # columns of the input that have a name of ours are set aside meanwhile
+    inner = [f"input_{i}_dq" if c.startswith("dq_") else c for i, c in enumerate(names)]
+    matched = _matched(docs.toDF(*inner), every, buckets).select(*inner, *[f"dq_{x}" for x in HITS])
+    return matched.mapInPandas(run, schema)

@@ -108,12 +108,12 @@ def set_digests(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling gear hash over the last 32 bytes at every byte, h = (h << 1) + code, by doubling."""
+    """The rolling gear hash over the last 16 bytes at every byte, h = (h << 2) + code, by doubling."""
     h = GEAR[data]
     step = 1
-    while step < 32:
+    while step < 16:
         shifted = np.zeros_like(h)
-        shifted[step:] = h[:-step] << np.uint32(step)
+        shifted[step:] = h[:-step] << np.uint32(2 * step)
         h = h + shifted
         step *= 2
     return h
