@@ -97,68 +97,101 @@ def tables(items: list[tuple[str, str]], window: int = 13) -> list[WuManber]:
 
 FIELDS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
+#: The items and window whose tables this worker made last, and those tables.
+_last: list = [None, 0, []]
+
+
+def _tables(shared, window: int, only_one: bool) -> list[WuManber]:
+    """The tables of a part; those of a benchmark of one part are made once in each worker."""
+    if not only_one:
+        return tables(shared.value, window)
+    if _last[0] is not shared.value or _last[1] != window:
+        _last[:] = shared.value, window, tables(shared.value, window)
+    return _last[2]
+
+
+def _scan(parts: list, window: int, share: int):
+    """Scan each batch for one part of the benchmark after the other, and unite the hit words and the items of each text."""
 
-def _scan(shared, window: int, share: int):
     def run(batches):
-        found = tables(shared.value, window)
         for batch in batches:
             ids, text = ints(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
-            for at, rows, data, offs in text_slices(batch, "text"):
-                data = textkit.LOWER[data]
-                starts, ends, begin = textkit.words(data, offs, textkit.ALNUM)
-                hashes = textkit.word_hashes(data, starts, ends)
-                n_words = np.diff(begin)
-                n_hit, n_items, shas = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [hashlib.sha256(b"").hexdigest()] * rows
-                maybe = [m.candidates(hashes, begin) for m in found]
-                for i in np.flatnonzero(np.any(maybe, axis=0)) if maybe else ():
-                    words, items = split(text[at + int(i)].as_py()), set()
-                    hit = np.zeros(len(words), bool)
-                    for m, may in zip(found, maybe, strict=True):
-                        if may[i]:
-                            m.find(words, hit, items)
-                    n_hit[i], n_items[i] = hit.sum(), len(items)
-                    shas[i] = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array((n_hit > 0) & (share * n_hit >= n_words))], FIELDS)
+            n_words, hits, items = np.zeros(len(ids), np.int64), {}, defaultdict(set)
+            for shared in parts:
+                found = _tables(shared, window, len(parts) == 1)
+                for at, rows, data, offs in text_slices(batch, "text"):
+                    data = textkit.LOWER[data]
+                    starts, ends, begin = textkit.words(data, offs, textkit.ALNUM)
+                    hashes = textkit.word_hashes(data, starts, ends)
+                    n_words[at : at + rows] = np.diff(begin)
+                    maybe = [m.candidates(hashes, begin) for m in found]
+                    for i in np.flatnonzero(np.any(maybe, axis=0)).tolist() if maybe else ():
+                        words = split(text[at + i].as_py())
+                        hit = hits.setdefault(at + i, np.zeros(len(words), bool))
+                        for m, may in zip(found, maybe, strict=True):
+                            if may[i]:
+                                m.find(words, hit, items[at + i])
+            n_hit, n_items = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            shas = [NO_ITEMS] * len(ids)
+            for i, hit in hits.items():
+                n_hit[i], n_items[i] = hit.sum(), len(items[i])
+                shas[i] = hashlib.sha256(",".join(sorted(items[i])).encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array((n_hit > 0) & (share * n_hit >= n_words))], FIELDS)
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most: int = 64 << 20) -> DataFrame:
+NO_ITEMS = hashlib.sha256(b"").hexdigest()
+
+
+def _parts(benchmark: DataFrame, window: int, most: int) -> list:
+    """Broadcasts of the benchmark's items, each of about ``most`` text bytes; an item over that is cut where no window is lost."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text.encode("utf-8", "surrogatepass")) <= most:
+                    ids.append(item)
+                    texts.append(text)
+                    continue
+                words = [w.decode("utf-8", "surrogatepass") for w in split(text)]
+                step = max(1, most // 16)
+                for i in range(0, max(1, len(words) - window + 1), step):
+                    ids.append(item)
+                    texts.append(" ".join(words[i : i + step + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    spark = benchmark.sparkSession
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, "item_id string, text string")
+    n = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most))
+    dealt = items if n == 1 else items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return [spark.sparkContext.broadcast([(r.item_id, r.text) for r in (dealt if n == 1 else dealt.where(F.col("part") == p)).collect()]) for p in range(n)]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most: int = 1 << 20) -> DataFrame:
     """Words of ``docs(doc_id, text)`` inside any occurrence of a window of ``benchmark(item_id, text)``.
 
-    One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and
-    ``share`` * n_hit >= n_words). Null and empty texts have no words and no hits; an item without words or
-    id has no window. The benchmark is broadcast in parts of at most ``most`` text bytes; a larger one is
-    searched part by part, and the hits of the parts are joined.
+    One row per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and ``share`` * n_hit >= n_words).
+    Null and empty texts have no words and no hits; an item without words or id has no window; an empty benchmark hits
+    nothing, an empty table gives no rows. Rows that repeat, or have no id, are scanned as often as they come; whole texts count.
+    The benchmark is broadcast in parts of about ``most`` text bytes, which bounds the tables that a worker builds at a time
+    (some hundred MB); with several parts they are built anew for each batch, so a large benchmark costs time, not hits.
     """
-    spark = docs.sparkSession
+    parts = _parts(benchmark, window, most)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"the benchmark has {size} bytes of text; cut it into tables of {most} and scan each")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    return docs.mapInArrow(_scan(shared, window, share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(_scan(parts, window, share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _clean(shared, window: int, share: int):
-    """Rows that ``_scan`` finds contaminated go; the others pass as they are."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most: int = 1 << 20) -> DataFrame:
+    """``docs`` without the contaminated ones; all columns stay, also of rows without text or id."""
+    parts = _parts(benchmark, window, most)
 
     def run(batches):
-        inner = _scan(shared, window, share)
+        inner = _scan(parts, window, share)
         for batch in batches:
             flags = [x for out in inner(iter([batch])) for x in out.column("contaminated").to_pylist()]
             if flags:
                 yield batch.filter(pa.array([not x for x in flags]))
 
-    return run
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 64 << 20:
-        raise ValueError(f"the benchmark has {size} bytes of text; cut it into smaller tables and drop by each")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    return docs.mapInArrow(_clean(shared, window, share), docs.schema)
+    return docs.mapInArrow(run, docs.schema)

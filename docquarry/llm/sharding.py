@@ -24,6 +24,8 @@ KEY = 1 << sum(BITS)
 TEXT = 1 << BITS[2]
 DIMS = ("d0", "d1", "d2")
 OVERHEAD = 16
+#: A group of equal texts up to so many times the tolerance stays whole on one side of a cut.
+WHOLE_GROUP = 15
 
 
 @dataclass
@@ -102,7 +104,7 @@ def _split(rows: DataFrame, nodes: dict[int, Node], tolerance: float) -> None:
             for b, w in bins:
                 if below[i] + w >= aim[i]:
                     start = low[i] + b * step[i]
-                    if step[i] == 1 or w <= tolerance or (step[i] == TEXT and w <= 4 * tolerance):
+                    if step[i] == 1 or w <= tolerance or (step[i] == TEXT and w <= WHOLE_GROUP * tolerance):
                         over = below[i] + w - aim[i] > aim[i] - below[i]
                         nodes[i].cut = start if over else start + step[i]
                         todo.discard(i)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import save
+
 FAR = 1 << 30
 
 
@@ -53,8 +55,10 @@ def apply(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame
     Returns one row per capture: page_id, url_host, n_active (pairs of list and key), lists (their names, sorted, comma-joined),
     first_day (least start of those), blocked. A null or malformed URL and a null day match nothing. Keys of
     hot hosts are salted by page; rules are repeated for each salt, their number does not depend on the captures.
+    Rows that repeat are evaluated as often as they come; without captures there are no rows, without entries nothing is blocked.
     """
-    named = captures.select("page_id", "day", host(F.col("url")).alias("url_host"), path(F.col("url")).alias("p"), F.monotonically_increasing_id().alias("row"))
+    # saved, as the numbers of rows must not change when a lost task is run again
+    named = save(captures.select("page_id", "day", host(F.col("url")).alias("url_host"), path(F.col("url")).alias("p"), F.monotonically_increasing_id().alias("row")), "captures")
     probe = named.select("row", "day", F.explode(keys(F.col("url_host"), F.col("p"))).alias("key")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     rules = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = probe.join(rules, ["key", "salt"]).where((F.col("day") >= F.col("valid_from")) & (F.col("day") < F.col("valid_to")))
