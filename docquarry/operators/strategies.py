@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators.retrieval import top_k
+from docquarry.operators.retrieval import bm25, dense, jaccard, top_k
+from docquarry.registry import strategy
 
 #: Fixed values of the reference: fusion constant, weights where a query has none, characters that a reranker reads.
 RRF_K = 60
@@ -115,3 +116,36 @@ def cached_answer(asked: DataFrame, entries: DataFrame, t: float = 0.85) -> Data
     """Of ``asked(qid, vec_id, score)`` candidates the nearest entry at ``t`` or more: (qid, vec_id, score)."""
     near = asked.where(F.col("score") >= t).join(entries, "vec_id", "left_semi")
     return top_k(near, 1, "vec_id").drop("rank")
+
+
+@strategy("sparse")
+def sparse(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return bm25(corpus, queries, k)
+
+
+@strategy("overlap")
+def token_overlap(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return jaccard(corpus, queries, k)
+
+
+@strategy("dense")
+def nearest(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """By position: the score of an item is that of a fusion list."""
+    ranked = dense(corpus.select(F.col("doc_id").alias("vec_id"), "embedding"), queries, k).withColumnRenamed("vec_id", "doc_id")
+    return ranked.withColumn("score", 1.0 / (RRF_K + F.col("rank")))
+
+
+@strategy("hybrid")
+def hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Twice as many dense and sparse items as asked for, fused by text."""
+    lists = nearest(corpus, queries, 2 * k).withColumn("source", F.lit("dense")).select("qid", "doc_id", "source", "rank")
+    lists = lists.unionByName(bm25(corpus, queries, 2 * k).withColumn("source", F.lit("sparse")).select("qid", "doc_id", "source", "rank"))
+    return fuse_texts(lists.join(corpus.select("doc_id", "text"), "doc_id"), k, ["dense", "sparse"])
+
+
+@strategy("supplement")
+def supplement(corpus: DataFrame, queries: DataFrame, k: int, scorer=overlap) -> DataFrame:
+    """20 dense items, 10 sparse ones that are not among them, reranked."""
+    lists = nearest(corpus, queries, 20).withColumn("source", F.lit("dense")).select("qid", "doc_id", "source", "rank")
+    lists = lists.unionByName(bm25(corpus, queries, 10).withColumn("source", F.lit("sparse")).select("qid", "doc_id", "source", "rank"))
+    return rerank(merged(lists.join(corpus.select("doc_id", "text"), "doc_id"), ["dense", "sparse"]), queries, k, scorer)
