@@ -29,8 +29,10 @@ def nodes(vectors: DataFrame) -> DataFrame:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(usable).where(fine).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("raw"))
     one = rows.groupBy("label", "raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-    return one.withColumn("norm", norm).select("node", "label", F.size("raw").alias("dim"), "copies", F.expr("transform(raw, x -> x / norm)").alias("vec"), "raw")
+    # by the greatest component first, as squares of very large or small ones leave the range of doubles
+    scaled = one.withColumn("top", F.array_max(F.transform("raw", F.abs))).withColumn("even", F.expr("transform(raw, x -> x / top)"))
+    normed = scaled.withColumn("norm", F.sqrt(F.aggregate("even", F.lit(0.0), lambda a, x: a + x * x)))
+    return normed.select("node", "label", F.size("raw").alias("dim"), "copies", F.expr("transform(even, x -> x / norm)").alias("vec"), "raw")
 
 
 def _needed(t: float, miss: float, least: int):
@@ -125,7 +127,7 @@ def _blocks(base: DataFrame, seed: int, t: float, floor: float, k: int, most: in
     """Pairs and links within blocks of equal signs. Blocks over ``most`` nodes are cut by further signs, which keep near
     pairs together; what is too large even so (near copies of one another) is cut by a hash, the descent joins the parts."""
     width = shuffle_width(base.sparkSession)
-    signed = save(base.select("node", "label", "dim", "bits", "tables", "vec").mapInPandas(_signs(seed), "node long, label int, dim int, t int, sign long, rest long"), "signs")
+    signed = save(base.select("node", "label", "dim", "bits", "tables", "vec").mapInPandas(_signs(seed), "node long, label long, dim int, t int, sign long, rest long"), "signs")
     keys = ["label", "dim", "t", "sign"]
     sizes = signed.groupBy(*keys).agg(F.ceil(F.log2(F.greatest(F.lit(1.0), F.count("*") / most))).cast("int").alias("more"))
     finer = signed.join(sizes, keys).withColumn("fine", F.expr("rest & ((1L << least(more, 8)) - 1)")).drop("rest", "more")
@@ -248,7 +250,7 @@ def dedup(vectors: DataFrame, t: float = 0.93, k: int = 12, floor: float = 0.7,
     found = save(nodes(vectors), "nodes")
     bits = found.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.count("*") / (most / 2))))).cast("int").alias("bits"))
     bits = bits.withColumn("tables", _needed(t, miss, tables))
-    base = save(found.join(F.broadcast(bits) if bits.count() <= 10_000 else bits, ["label", "dim"]).select("node", F.col("label").cast("int").alias("label"), "dim", "bits", "tables", "copies", "vec"), "base")
+    base = save(found.join(F.broadcast(bits) if bits.count() <= 10_000 else bits, ["label", "dim"]).select("node", F.col("label").cast("long").alias("label"), "dim", "bits", "tables", "copies", "vec"), "base")
     sample = linked_sample(base, t)
     graph = edges = None
     for attempt in range(tries):
