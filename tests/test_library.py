@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry import registry
+from docquarry import pipelines, registry
 from docquarry.functions import text as T
 from docquarry.operators import chapters, chunks, context, strategies
 from docquarry.sources import files
@@ -221,3 +221,34 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs/1"))
     assert grow()
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [1, 2, 5]
+
+
+def test_ingest_and_extract(spark):
+    text = "第1章 A\n" + "alpha beta. " * 30 + "\n第2章 B\n" + "gamma delta. " * 30
+    docs = spark.createDataFrame([(1, "f.txt", text, [("第1章 A", ""), ("第2章 B", "")]), (2, "g.md", "alone", []), (3, "h.md", "alone", None)], "doc_id long, file string, text string, headings array<struct<title:string,marker:string>>")
+    got = pipelines.ingest(docs, size=200, overlap=0).collect()
+    assert {r.chunk_id for r in got if r.doc_id == 1} >= {"f.txt_Ch1_0", "f.txt_Ch2_0"} and [r.file for r in got if r.text == "alone"] == ["g.md"]
+    index = spark.createDataFrame([(r.hash,) for r in got if r.doc_id == 1], "hash string")
+    assert [r.doc_id for r in pipelines.ingest(docs, index, 200, 0).collect()] == [2]
+    batches = spark.createDataFrame([(0, 0, "f", "c", "k0", "x"), (0, 1, "f", "c", "k1", "y"), (1, 0, "g", "", "k2", "z"), (1, 1, "g", "", "k3", " ")], "batch int, pos int, doc string, chapter string, chunk_id string, text string")
+    answers = [{"concepts": [{"name": " Alpha ", "source_fragment": 1, "related_fragments": [0, 1, 7]}, {"name": "beta", "source_fragment": 9}], "relations": [{"source": "ALPHA", "target": "beta"}, {"source": "alpha", "target": "alpha"}, {"source": "x", "target": "beta"}]}, {"concepts": [{"name": "alpha"}, {"name": ""}]}]
+    model = lambda c: F.when(c.contains("k2") | c.contains("文件"), F.lit("Sure: " + json.dumps(answers[1]))).otherwise(F.lit("```" + json.dumps(answers[0]) + "```"))
+    concepts, relations, rest = pipelines.extract(batches, model)
+    assert {r.key: (r.chunk_id, r.related_chunk_ids) for r in concepts.collect()} == {"alpha": ("k1", ["k0"]), "beta": ("k0", [])}
+    assert relations.count() == 1 and sorted(r.chunk_id for r in rest.collect()) == ["k2", "k3"]
+
+
+def test_evaluation_of_strategies(spark):
+    corpus = spark.createDataFrame([(f"d{i}", f"word{i} common text") for i in range(8)], "doc_id string, text string")
+    queries = spark.createDataFrame([("q1", "word1"), ("q2", "word2 common"), ("q3", "nothing here")], "qid string, text string")
+    qrels = spark.createDataFrame([("q1", "d1", 1), ("q2", "d2", 2), ("q2", "d3", 1)], "qid string, doc_id string, grade int")
+    got = {r.strategy: r for r in pipelines.evaluate(corpus, queries, qrels, ["sparse", "overlap"], 1).collect()}
+    assert got["sparse"].recall == 0.5 and got["sparse"].num_queries == 3 and got["sparse"].empty_results == 1 and got["sparse"].ndcg == 1.0 and got["overlap"].mrr == got["sparse"].mrr
+
+
+def test_sources_are_gathered(spark):
+    one = spark.createDataFrame([(1, "a", 1, None)], "qid int, content string, priority int, age_hours double")
+    got = context.gather({"user_question": one, "tool": one}).orderBy("place").collect()
+    assert [r.source for r in got] == ["user_question", "tool"]
+    made = context.assemble(context.gather({"user_question": one, "tool": one}).withColumn("ord", F.col("place")), F.lit("a"))
+    assert made.select(context.prompt().alias("p")).first().p == "## Role & Policies\na\n\n## Task\na\n\n## State\n（无）\n\n## Evidence\n（无）\n\n## Context\n（无）\n\n## Output Format\n（无）"
