@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline
-from docquarry.llm import decontaminate, embedding_dedup, ngram_join, packing, pseudo_likelihood, sharding, substring_dedup, token_store, toxicity, url_filters
+from docquarry.llm import decontaminate, embedding_dedup, ngram_join, packing, sharding, substring_dedup, token_store, toxicity, url_filters
 from docquarry.llm.queries import QUERIES, SQL, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -128,13 +128,6 @@ def test_audit_does_not_weigh_by_copies(spark):
     assert embedding_dedup.audit(sample, counts) == 0.75
 
 
-def test_pseudo_likelihood_prefers_the_corpus(spark):
-    line = "the cat sat on the mat and looked at the dog "
-    docs = spark.createDataFrame([(i, line * 30) for i in range(60)] + [(100, " ".join(sorted(prose(1, 300).split()))), (101, ""), (102, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudo_likelihood.score(docs).collect()}
-    assert got[0].per_word > got[100].per_word and got[101].n_words == got[102].n_words == 0
-
-
 def test_sharding(docs):
     got = sharding.shard(docs, 4).collect()
     assert len(got) == docs.count()
