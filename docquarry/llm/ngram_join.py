@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import components, drop, ints, maybe_in, save, shuffle_width, text_slices
+from docquarry.llm.common import components, drop, ints, maybe_in, released, save, shuffle_width, text_slices
 
 RING = 1.5
 #: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
@@ -53,7 +53,7 @@ def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
 
 def _profile(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = ints(batch, "doc_id")
             for at, rows, data, offs in text_slices(batch, "text"):
                 sets, begin = textkit.shingle_sets(data, offs, n)
@@ -72,8 +72,8 @@ def _frequent(n: int):
     """Shingles that two documents of a slice or more hold, with their number."""
 
     def run(batches):
-        for batch in batches:
-            for _, _, data, offs in text_slices(batch, "text", 8 << 20):
+        for batch in released(batches):
+            for _, _, data, offs in text_slices(batch, "text", 4 << 20):
                 value, count = np.unique(textkit.shingle_sets(data, offs, n)[0], return_counts=True)
                 many = count > 1
                 if many.any():
@@ -150,11 +150,11 @@ def _scatter(n: int, t: float, buckets: int, shared):
     lows = _rings(t)
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = ints(batch, "doc_id")
             known = ~np.asarray(ids.is_null())
             ids = ids.fill_null(0).to_numpy()
-            for at, rows, data, offs in text_slices(batch, "text", 8 << 20):
+            for at, rows, data, offs in text_slices(batch, "text", 4 << 20):
                 sets, begin = textkit.shingle_sets(data, offs, n)
                 one, two = textkit.set_digests(sets, begin)
                 keep, named = np.zeros(rows, bool), np.flatnonzero(known[at : at + rows])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import ints, save, shuffle_width, text_slices
+from docquarry.llm.common import ints, released, save, shuffle_width, text_slices
 from docquarry.llm.tokens import keys
 
 NONE = np.iinfo(np.int64).max
@@ -98,7 +98,7 @@ def _scatter(every: int, buckets: int):
     """Distinct chunk digests of each slice with their least and greatest document and what is beside them in the least, packed by bucket of the digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
                 starts, ends, _, digest, begin, units = chunks(data, offs, every)
@@ -155,7 +155,7 @@ def _copies(every: int):
     """Chunk digests of each slice, once for each slice: (digest, doc ids, text keys) are looked up, not every chunk."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
                 _, _, _, digest, begin, _ = chunks(data, offs, every)
@@ -175,24 +175,45 @@ def _copies(every: int):
 HITS = ("places", "owners", "before", "after")
 
 
-def spans_of(raw: np.ndarray, every: int, least: int, hits: dict[int, tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Number of chunks of a text, byte spans of its repeated passages, and their owners; ``hits``: owner, before and after by chunk."""
-    starts, ends, _, _, _, units = chunks(raw, np.array([0, len(raw)]), every)
+def spans_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, units: np.ndarray, least: int, hits: dict[int, tuple[int, int, int]]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Byte spans of a text's repeated passages, and their owners, from its chunks and units; ``hits``: owner, before and after by chunk."""
     spans, owners = [], set()
-    if hits:
-        code, at = codes(raw, units), np.array(sorted(hits))
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            a, b = (int(x) for x in np.searchsorted(units, (starts[run[0]], ends[run[-1]])))
-            a -= agreeing(hits[run[0]][1], code[:a][::-1][:BESIDE])
-            b += agreeing(hits[run[-1]][2], code[b : b + BESIDE])
-            if b - a >= least:
-                first = min(int(starts[run[0]]), int(units[a]))
-                last = int(units[b]) if b < len(units) else len(raw)
-                if spans and first <= spans[-1][1]:  # the extensions of two runs meet
-                    first, last = spans[-1][0], max(last, spans.pop()[1])
-                spans.append((first, last))
-                owners |= {int(hits[x][0]) for x in run}
-    return len(starts), spans, owners
+    if not hits:
+        return spans, owners
+    at = np.array(sorted(hits))
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        a, b = (int(x) for x in np.searchsorted(units, (starts[run[0]], ends[run[-1]])))
+        if a:
+            first = max(0, a - BESIDE)
+            a -= agreeing(hits[run[0]][1], codes(raw[units[first] : units[a] if a < len(units) else len(raw)], units[first:a] - units[first])[::-1])
+        if b < len(units):
+            last = min(len(units), b + BESIDE)
+            b += agreeing(hits[run[-1]][2], codes(raw[units[b] : units[last] if last < len(units) else len(raw)], units[b:last] - units[b]))
+        if b - a >= least:
+            first, last = min(int(starts[run[0]]), int(units[a])), int(units[b]) if b < len(units) else len(raw)
+            if spans and first <= spans[-1][1]:  # the extensions of two runs meet
+                first, last = spans[-1][0], max(last, spans.pop()[1])
+            spans.append((first, last))
+            owners |= {int(hits[x][0]) for x in run}
+    return spans, owners
+
+
+def _chunked(texts: list[bytes], every: int, most: int = 2 << 20):
+    """(bytes, chunk starts, ends, units) of each text; those of up to ``most`` bytes together are cut at once."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        offs = np.cumsum([0, *map(len, texts[at:end])])
+        data = np.frombuffer(b"".join(texts[at:end]), np.uint8)
+        starts, ends, _, _, begin, units = chunks(data, offs, every) if len(data) else (*[np.zeros(0, np.int64)] * 4, np.zeros(end - at + 1, np.int64), np.zeros(0, np.int64))
+        of_text = np.searchsorted(units, offs)
+        for i in range(end - at):
+            c, u = slice(begin[i], begin[i + 1]), slice(of_text[i], of_text[i + 1])
+            yield data[offs[i] : offs[i + 1]], starts[c] - offs[i], np.minimum(ends[c], offs[i + 1]) - offs[i], units[u] - offs[i]
+        at = end
 
 
 def _spans(every: int, least: int):
@@ -201,11 +222,11 @@ def _spans(every: int, least: int):
     def run(frames):
         for f in frames:
             out = []
-            for doc_id, text, *found in zip(f.doc_id, f.text, *(f[f"dq_{x}"] for x in HITS), strict=True):
-                raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in f.text]
+            for doc_id, (raw, starts, ends, units), *found in zip(f.doc_id, _chunked(texts, every), *(f[f"dq_{x}"] for x in HITS), strict=True):
                 hits = {} if found[0] is None else {int(p): (int(o), int(x) % (1 << 64), int(y) % (1 << 64)) for p, o, x, y in zip(*found, strict=True)}
-                n, spans, owners = spans_of(raw, every, least, hits)
-                out.append((doc_id, len(raw), n, [a for a, _ in spans], [b for _, b in spans], sorted(owners)))
+                spans, owners = spans_of(raw, starts, ends, units, least, hits)
+                out.append((doc_id, len(raw), len(starts), [a for a, _ in spans], [b for _, b in spans], sorted(owners)))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_chunks", "span_starts", "span_ends", "first_docs"]).astype({"doc_id": "Int64"})
 
     return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ints, save, text_slices
+from docquarry.llm.common import ints, released, save, text_slices
 
 WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’"
@@ -27,7 +27,7 @@ QUOTES = "\"'“”„«»‘’"
 REPORTS = {"said", "says", "called", "quoted", "wrote", "dit", "sagte", "dijo", "word", "term"}
 ADDRESS = {"you", "your", "youre", "u", "tu", "vous", "du", "dich", "ihr", "tú", "usted"}
 #: Words without a match that a worker keeps.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 200_000
 #: Letters of words that may be entries, and of stems.
 WORD_SIZES, STEM_SIZES = (3, 60), range(4, 9)
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "addressed", "density")
@@ -160,9 +160,9 @@ def _count(shared):
 
     def run(batches):
         only = shared.value if shared else None
-        for batch in batches:
+        for batch in released(batches):
             text = batch.column(batch.schema.get_field_index("text"))
-            for at, rows, _, _ in text_slices(batch, "text", 8 << 20):
+            for at, rows, _, _ in text_slices(batch, "text", 1 << 20):
                 seen: Counter = Counter()
                 for t in text.slice(at, rows).to_pylist():
                     found = _entries(t or "")
@@ -174,12 +174,17 @@ def _count(shared):
 
 
 def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, share: float = 0.005) -> Lexicon:
-    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents; equal texts count once.
+    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents.
 
+    Texts whose three-word runs have the same least hash count as one: equal texts, and of near copies as large
+    a share as the runs that they have in common, so that the words of a text that many copies hold do not become entries.
     An entry needs ``least`` toxic documents and the ``share`` of them. So there are at most 1 / ``share`` times as
     many candidates as a toxic document has entries on average, and only these and their counts reach the driver.
     """
-    train = save(train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "distinct")
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.slice("w", i, 3)))
+    least_run = train.withColumn("w", w).select("toxic", "text", F.array_min(runs).alias("h"))
+    train = save(least_run.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "distinct")
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -202,7 +207,7 @@ def _score(shared, first: str = "doc_id"):
     def run(batches):
         words, stems, weights = shared.value
         lexicon = _lexicon(tuple(words), tuple(stems))
-        for batch in batches:
+        for batch in released(batches):
             ids, text = ints(batch, first), batch.column(batch.schema.get_field_index("text"))
             for at, rows, _, _ in text_slices(batch, "text"):
                 x = np.stack([lexicon.features(t or "") for t in text.slice(at, rows).to_pylist()])
