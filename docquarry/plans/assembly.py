@@ -164,12 +164,12 @@ def outline_entries(spark, sf_dir):
     return chapters.outline(rows, 4).select("doc", "title", "at")
 
 
-@query("SELECT doc_id, 0 AS place, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE -1 END AS position, CASE WHEN doc_id % 2 = 0 THEN '第' || doc_id || '章：A' ELSE 'Lost' END AS title FROM documents UNION ALL SELECT doc_id, 1, len('第' || doc_id || '章 A' || chr(10) || text || chr(10)), '第' || (doc_id + 1) || '章：B' FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, 0 AS place, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE -1 END AS position, CASE WHEN doc_id % 2 = 0 THEN '第' || doc_id || '章：A' ELSE 'Lost' END AS title FROM documents UNION ALL SELECT doc_id, 1, len('第' || doc_id || '章 A' || chr(10) || 'the first chapter begins here' || chr(10) || text || chr(10)), '第' || (doc_id + 1) || '章：B' FROM documents WHERE doc_id % 2 = 0")
 def chapter_split(spark, sf_dir):
     """Even documents become two chapters; the others have a heading that is not in the text."""
     d = F.col("doc_id")
     first, second = F.concat(F.lit("第"), d, F.lit("章 A")), F.concat(F.lit("第"), d + 1, F.lit("章 B"))
-    text = F.concat(first, F.lit("\n"), F.col("text"), F.lit("\n"), second, F.lit("\n"), F.lit("what follows is the second chapter"))
+    text = F.concat(first, F.lit("\nthe first chapter begins here\n"), F.col("text"), F.lit("\n"), second, F.lit("\n"), F.lit("what follows is the second chapter"))
     heading = lambda t, m: F.struct(t.alias("title"), m.alias("marker"))
     headings = F.when(d % 2 == 0, F.array(heading(second, second), heading(first, F.lit("")))).otherwise(F.array(heading(F.lit("Lost"), F.lit("nowhere to be found"))))
     return chapters.split(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), headings.alias("headings"))).select("doc_id", "place", "position", "title")
