@@ -266,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, mos
     The lexicon and the regression take at most ``most`` labelled ids (least hashes first), which bounds what is
     broadcast (the ids), shuffled (their texts) and collected (their features), whatever the size of ``docs``.
     Labels that are null or not 0 or 1 are left out; of contradicting labels of one id the toxic one counts, of several
-    rows of one id the least text. Without labels of both kinds the model scores all documents by the share of toxic labels.
+    rows of one id the least text. Without labels of both kinds the model scores
+    all documents by the share of toxic labels, without any label as 0.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~_in_fold(folds, held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -277,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, mos
     shared = docs.sparkSession.sparkContext.broadcast((words, stems, np.zeros(len(FEATURES) + 1)))
     got = rows.select("toxic", "text").mapInArrow(_score(shared, "toxic"), SCHEMA.replace("doc_id", "toxic")).select("toxic", *FEATURES).collect()
     if not got:
-        return Model(words, stems, np.zeros(len(FEATURES) + 1))
+        return Model(words, stems, np.array([-30.0] + [0.0] * len(FEATURES)))
     table = np.array([tuple(r) for r in got], float)
     return Model(words, stems, fit_weights(table[:, 1:], table[:, 0]))
 
