@@ -68,7 +68,14 @@ def maybe_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     return keyed.join(F.broadcast(held), "dq_word", "left").withColumn("dq_maybe", test).drop("dq_p", "dq_word", "dq_bits")
 
 
+#: Rows of the batches between Spark and its Python workers; texts have some kB, so a batch has some 16 MB on either side.
+BATCH_ROWS = 5000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Batches of the session get ``BATCH_ROWS`` rows at most, half of Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -100,10 +107,13 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
 
 
 def released(batches):
-    """``batches`` as they come; then the allocator's free pages go back to the system, as workers live on between tasks."""
-    yield from batches
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL(None).malloc_trim(0)
+    """``batches`` as they come; after each, free pages go back to the system, as workers hold them beside the executor's heap."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def ints(batch: pa.RecordBatch, column: str) -> pa.Array:
