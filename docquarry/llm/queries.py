@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, embedding_dedup, ngram_join, packing, pseudo_likelihood, sharding, substring_dedup, token_store, toxicity, url_filters
+from docquarry.llm import conversation_repair, decontaminate, embedding_dedup, ngram_join, packing, pseudo_likelihood, sentence_pieces, sharding, substring_dedup, token_store, toxicity, url_filters, whitening
 from docquarry.llm.common import table
 
 
@@ -105,6 +105,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts and the texts decoded from them, as hashes."""
+    model = tokenizer("piece_bpe_32k.model")
+    both = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -116,6 +132,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 SQL = {"op4_url_filters": OP4_SQL}
