@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm import textkit
+
 #: Text bytes that one numpy pass takes at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -68,6 +70,36 @@ def maybe_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     return keyed.join(F.broadcast(held), "dq_word", "left").withColumn("dq_maybe", test).drop("dq_p", "dq_word", "dq_bits")
 
 
+def _bits_of(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each value in a table of 2^bits."""
+    place = textkit.mix(values.astype(np.int64, copy=False).view(np.uint64)) >> np.uint64(64 - bits)
+    return (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
+
+
+def bit_table(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit table of a long column without nulls, for ``in_bits`` inside tasks: 16 bits a row, 2^26 bits (8 MB) at most."""
+    bits = max(10, min(FILTER_BITS, (16 * rows.count()).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            word, bit = _bits_of(batch.column(0).to_numpy(), bits)
+            order = np.argsort(word, kind="stable")
+            head = np.flatnonzero(np.append(True, word[order][1:] != word[order][:-1])) if len(word) else order
+            held = np.bitwise_or.reduceat(bit[order], head) if len(word) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[order][head]), pa.array(held.view(np.int64))], ["w", "b"])
+
+    got = rows.select(column).mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def in_bits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """False only where a value is certainly not among those of the table."""
+    word, bit = _bits_of(values, len(table).bit_length() + 5)
+    return table[word] & bit != 0
+
+
 #: Rows of the batches between Spark and its Python workers; texts have some kB, so a batch has some 16 MB on either side.
 BATCH_ROWS = 5000
 

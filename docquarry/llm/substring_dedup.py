@@ -1,11 +1,12 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides at every unit (word start, or a character of a script without
-spaces) whether a chunk begins there; as nothing but these bytes decides, an insertion shifts no later border.
-Chunks are compared by digest. A chunk belongs to the least document that has it; elsewhere it is a copy. A passage
-seldom begins and ends with a chunk: each digest carries four bits of each of the 16 units on either side of it in its
-owner, and a run of neighbouring copies is extended over the units that agree. With those it is a repeated passage from
-``least`` units on, and is cut from all documents but its first. One digest alone may collide, a run of several does not.
+A gear rolling hash over the 16 bytes from a unit on (a word, or a character of a script without spaces) decides whether a
+chunk begins there; as nothing but these bytes decides, an insertion shifts no later border. A chunk's digest covers its
+``SPAN`` first units, with what follows it where it is shorter, so that two texts with one digest agree over that stretch.
+A digest belongs to the least document that has it. In another document, copied chunks are put together only where
+they have one owner and their places advance there as they do here: what lies between is then compared, too. The ends of such
+a run are compared unit by unit with what stands beside it in the owner. A run of ``least`` units or more is a
+passage that the owner holds in one piece, and is cut from all documents but the owner.
 """
 
 from __future__ import annotations
@@ -17,21 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import ints, released, save, shuffle_width, text_slices
+from docquarry.llm.common import bit_table, in_bits, ints, maybe_in, released, save, shuffle_width, text_slices
 from docquarry.llm.tokens import keys
 
 NONE = np.iinfo(np.int64).max
-
-
-#: Units on either side of a chunk that its digest carries, and bits of each (0: there is none).
-BESIDE, BITS = 16, 4
-WINDOW = 16
+#: Units that a digest covers; units beside a chunk that are compared; bytes that decide on a border.
+SPAN, BESIDE, WINDOW = 24, 20, 16
 
 
 def chunks(data: np.ndarray, offs: np.ndarray, every: int) -> tuple[np.ndarray, ...]:
-    """Of all texts: chunk starts, ends, units in each, digest of each, where each text's chunks begin, and unit starts.
+    """Of all texts: unit starts, 64 bits of each unit, where each text's units begin, units that begin a chunk, and their digests.
 
-    A chunk begins at a unit whose preceding bytes' gear hash is under 2^32 / ``every``, and at a text's begin.
+    A chunk begins at a unit whose gear hash is under 2^32 / ``every``, if its text has ``SPAN`` units from there on.
     """
     n = len(data)
     texts = offs[:-1][np.diff(offs) > 0]
@@ -41,49 +39,41 @@ def chunks(data: np.ndarray, offs: np.ndarray, every: int) -> tuple[np.ndarray,
     first = np.zeros(n, bool)
     first[texts] = True
     unit |= first & spaced
-    h = textkit.gear(data)
-    border = np.zeros(n, bool)
-    border[1:] = unit[1:] & (h[:-1] < np.uint32((1 << 32) // every))
-    # within the window of a text's begin the hash still sees the text before: no border there
-    born = np.repeat(offs[:-1], np.diff(offs))
-    border &= np.arange(n) - born >= WINDOW
-    border |= first
-    starts = np.flatnonzero(border)
-    ends = np.append(starts[1:], n) if len(starts) else starts
-    units = np.add.reduceat(unit.astype(np.int64), starts) if len(starts) else starts
-    return starts, ends, units, textkit.word_hashes(data, starts, ends), np.searchsorted(starts, offs), np.flatnonzero(unit)
-
-
-def codes(data: np.ndarray, unit_starts: np.ndarray) -> np.ndarray:
-    """A code from 1 to 15 of each unit's bytes up to the next unit or white space."""
-    if not len(unit_starts):
-        return np.zeros(0, np.uint64)
-    spaced = textkit.SPACED[data]
+    starts = np.flatnonzero(unit)
+    of_text = np.searchsorted(starts, offs)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64), of_text, starts, np.zeros(0, np.uint64)
     word_ends = np.flatnonzero(spaced & ~np.append(spaced[1:], False)) + 1
-    ends = np.minimum(np.append(unit_starts[1:], len(data)), word_ends[np.searchsorted(word_ends, unit_starts, "right")])
-    return keys(data, unit_starts, ends)[0] % np.uint64((1 << BITS) - 1) + np.uint64(1)
+    text_ends = np.repeat(offs[1:], np.diff(of_text))
+    ends = np.minimum(np.minimum(np.append(starts[1:], n), text_ends), word_ends[np.searchsorted(word_ends, starts, "right")])
+    hashes = keys(data, starts, ends)[0]
+    decides = starts + WINDOW - 1
+    may = (decides < text_ends) & (np.arange(len(starts)) + SPAN <= np.repeat(of_text[1:], np.diff(of_text)))
+    at = np.flatnonzero(may)
+    at = at[textkit.gear(data)[decides[at]] < np.uint32((1 << 32) // every)]
+    sums = np.zeros(len(at), np.uint64)
+    for k in range(SPAN):
+        sums += hashes[at + k] * textkit.STEP[k]
+    return starts, hashes, of_text, at, textkit.mix(sums)
 
 
-def beside(code: np.ndarray, unit_of_text: np.ndarray, first: np.ndarray, text: np.ndarray, step: int) -> np.ndarray:
-    """The packed codes of ``BESIDE`` units from unit ``first`` of each chunk on, by ``step`` (-1: backwards), within its text.
+def codes(hashes: np.ndarray) -> np.ndarray:
+    """Units in 16 bits, never 0."""
+    return (hashes % np.uint64(65_535) + np.uint64(1)).astype(np.uint16)
 
-    ``unit_of_text``: where each text's units begin.
-    """
-    out = np.zeros(len(first), np.uint64)
-    low, high = unit_of_text[text], unit_of_text[text + 1]
-    for k in range(BESIDE):
-        at = first + k * step
-        inside = (at >= low) & (at < high)
-        out[inside] |= code[at[inside]] << np.uint64(BITS * k)
-    return out
+
+def beside(code: np.ndarray, first: np.ndarray, step: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The codes of ``BESIDE`` units from unit ``first`` on by ``step`` (-1: backwards), one row each; 0 outside of ``low`` to ``high``."""
+    at = first[:, None] + np.arange(BESIDE) * step
+    inside = (at >= low[:, None]) & (at < high[:, None])
+    return np.where(inside, code[np.clip(at, 0, max(len(code) - 1, 0))] if len(code) else 0, 0).astype(np.uint16)
 
 
-def agreeing(packed: int, code: np.ndarray) -> int:
-    """How many of the codes agree with the packed ones, from the first on."""
-    for k, c in enumerate(code[:BESIDE].tolist()):
-        if (packed >> (BITS * k)) & ((1 << BITS) - 1) != c:
-            return k
-    return min(len(code), BESIDE)
+def agreeing(one: np.ndarray, other: np.ndarray) -> int:
+    """How many codes agree, from the first on."""
+    n = min(len(one), len(other))
+    differ = np.flatnonzero(one[:n] != other[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -95,25 +85,20 @@ def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _scatter(every: int, buckets: int):
-    """Distinct chunk digests of each slice with their least and greatest document and what is beside them in the least, packed by bucket of the digest."""
+    """Distinct digests of each slice with their least and greatest document, packed by bucket of the digest."""
 
     def run(batches):
         for batch in released(batches):
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
-                starts, ends, _, digest, begin, units = chunks(data, offs, every)
+                _, _, of_text, begins, digest = chunks(data, offs, every)
                 if not len(digest):
                     continue
-                text = np.repeat(np.arange(rows), np.diff(begin))
-                doc = ids[at : at + rows][text]
+                doc = ids[at : at + rows][np.searchsorted(of_text, begins, "right") - 1]
                 order = np.lexsort((doc, digest))
                 head = np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1]))
-                high = doc[order][np.append(head[1:], len(doc)) - 1]
-                own = order[head]  # the occurrence in the least document
-                code, of_text = codes(data, units), np.searchsorted(units, offs)
-                before = beside(code, of_text, np.searchsorted(units, starts[own]) - 1, text[own], -1)
-                after = beside(code, of_text, np.searchsorted(units, ends[own]), text[own], 1)
-                columns = (digest[own], doc[own], high, before, after)
+                own = order[head]
+                columns = (digest[own], doc[own], doc[order][np.append(head[1:], len(doc)) - 1])
                 bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -124,21 +109,20 @@ def _scatter(every: int, buckets: int):
     return run
 
 
-PACKED = ("digests", "low", "high", "before", "after")
+PACKED = ("digests", "low", "high")
 
 
 def _gather(batches):
-    """The digests that more than one document has, with their owner and what is beside them there."""
+    """The digests that more than one document has, with the least of them."""
     held, bucket = [], None
 
     def close():
-        digest, low, high, before, after = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.uint64, np.uint64)))
+        digest, low, high = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
         order = np.lexsort((low, digest))
         digest, low, high = digest[order], low[order], high[order]
         head = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
-        many = low[head] < np.maximum.reduceat(high, head)
-        own = order[head[many]]
-        return pa.RecordBatch.from_arrays([pa.array(digest[head[many]].view(np.int64)), pa.array(low[head[many]]), pa.array(before[own].view(np.int64)), pa.array(after[own].view(np.int64))], ["digest", "owner", "before", "after"])
+        many = head[low[head] < np.maximum.reduceat(high, head)]
+        return pa.RecordBatch.from_arrays([pa.array(digest[many].view(np.int64)), pa.array(low[many])], ["digest", "owner"])
 
     for batch in batches:
         for p, *parts in zip(*(batch.column(i) for i in range(1 + len(PACKED))), strict=True):
@@ -151,55 +135,103 @@ def _gather(batches):
         yield close()
 
 
-def _copies(every: int):
-    """Chunk digests of each slice, once for each slice: (digest, doc ids, text keys) are looked up, not every chunk."""
+def _hits(every: int, shared, owners):
+    """Of each slice the digests that may be shared, once each: documents, text keys and places that have them, and of the
+    least document, if it may own any digest, what stands beside the chunk there."""
 
     def run(batches):
         for batch in released(batches):
             ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
-                _, _, _, digest, begin, _ = chunks(data, offs, every)
+                _, hashes, of_text, begins, digest = chunks(data, offs, every)
+                hit = in_bits(shared.value, digest.view(np.int64))
+                begins, digest = begins[hit], digest[hit]
                 if not len(digest):
                     continue
-                of = np.repeat(np.arange(rows), np.diff(begin))
-                key, place = _text_keys(data, offs), np.arange(len(digest)) - begin[of]
-                order = np.argsort(digest, kind="stable")
+                text = np.searchsorted(of_text, begins, "right") - 1
+                doc, place = ids[at : at + rows][text], begins - of_text[text]
+                order = np.lexsort((place, doc, digest))
                 cut = np.append(np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1])), len(digest))
-                docs, keys, places = ids[at : at + rows][of[order]], key[of[order]], place[order].astype(np.int64)
-                make = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x))
-                yield pa.RecordBatch.from_arrays([pa.array(digest[order][cut[:-1]].view(np.int64)), make(docs), make(keys), make(places)], ["digest", "docs", "keys", "places"])
+                low = order[cut[:-1]]
+                code, key = codes(hashes), _text_keys(data, offs)
+                owns = in_bits(owners.value, doc[low])
+                own = low[owns]
+                limits = of_text[text[own]], of_text[text[own] + 1]
+                sides = np.hstack([beside(code, begins[own] - 1, -1, *limits), beside(code, begins[own] + SPAN, 1, *limits)])
+                packed = np.full(len(low), None, object)
+                packed[owns] = [x.tobytes() for x in sides]
+                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order])) for x in (doc, key[text], place)]
+                yield pa.RecordBatch.from_arrays([pa.array(digest[low].view(np.int64)), pa.array(doc[low]), pa.array(place[low]), pa.array(packed, pa.binary()), *lists], ["digest", "low", "low_place", "sides", "docs", "keys", "places"])
 
     return run
 
 
-HITS = ("places", "owners", "before", "after")
+RUN = "doc long, key long, owner long, u0 int, u1 int, first long, last long"
+
+
+def runs_of(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(owner, first unit, end, first digest, last digest) of runs of copied chunks (unit, owner, place there, digest)."""
+    out: list[list[int]] = []
+    line = None
+    for owner, _, u, digest in sorted((o, p - u, u, d) for u, o, p, d in hits):
+        if line == (owner, _) and u <= out[-1][2]:
+            out[-1][2], out[-1][4] = u + SPAN, digest
+        else:
+            out.append([owner, u, u + SPAN, digest, digest])
+        line = (owner, _)
+    return [tuple(r) for r in out]
+
+
+def _runs(batches):
+    for batch in batches:
+        out = []
+        for doc, key, hits in zip(*(batch.column(i) for i in range(3)), strict=True):
+            flat = hits.values.flatten()
+            out += [(doc.as_py(), key.as_py(), *r) for r in runs_of(list(zip(*(x.to_pylist() for x in flat), strict=True)))]
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i in (3, 4) else pa.int64()) for i, c in enumerate(columns)], ["doc", "key", "owner", "u0", "u1", "first", "last"])
 
 
-def spans_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, units: np.ndarray, least: int, hits: dict[int, tuple[int, int, int]]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Byte spans of a text's repeated passages, and their owners, from its chunks and units; ``hits``: owner, before and after by chunk."""
-    spans, owners = [], set()
-    if not hits:
-        return spans, owners
-    at = np.array(sorted(hits))
-    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-        a, b = (int(x) for x in np.searchsorted(units, (starts[run[0]], ends[run[-1]])))
-        if a:
-            first = max(0, a - BESIDE)
-            a -= agreeing(hits[run[0]][1], codes(raw[units[first] : units[a] if a < len(units) else len(raw)], units[first:a] - units[first])[::-1])
-        if b < len(units):
-            last = min(len(units), b + BESIDE)
-            b += agreeing(hits[run[-1]][2], codes(raw[units[b] : units[last] if last < len(units) else len(raw)], units[b:last] - units[b]))
+def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
+    """(doc, key, runs): the runs of copied chunks of each text that has any, each with its owner and what is beside it there."""
+    width = shuffle_width(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packed = plain.mapInArrow(_scatter(every, buckets or 4 * width), "p int, " + ", ".join(f"{c} binary" for c in PACKED))
+    shared = save(packed.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_gather, "digest long, owner long"), "shared")
+    tables = sc.broadcast(bit_table(shared, "digest")), sc.broadcast(bit_table(shared.select("owner").distinct(), "owner"))
+    maybe = plain.mapInArrow(_hits(every, *tables), "digest long, low long, low_place long, sides binary, docs array<long>, keys array<long>, places array<long>")
+    hits = save(maybe.join(shared, "digest"), "hits")
+    own = save(hits.where("low = owner and sides is not null").select("digest", F.col("low_place").alias("p"), "sides").dropDuplicates(["digest"]), "sides")
+    each = hits.select("digest", "owner", "docs", "keys", "places").join(own.select("digest", "p"), "digest").select("digest", "owner", "p", F.explode(F.arrays_zip("docs", "keys", "places")).alias("x")).where("x.docs > owner")
+    grouped = each.groupBy(F.col("x.docs").alias("doc"), F.col("x.keys").alias("key")).agg(F.collect_set(F.struct(F.col("x.places").alias("u"), "owner", "p", "digest")).alias("hits"))
+    runs = save(grouped.mapInArrow(_runs, RUN), "runs")
+    before = own.select(F.col("digest").alias("first"), F.substring("sides", 1, 2 * BESIDE).alias("before"))
+    after = own.select(F.col("digest").alias("last"), F.substring("sides", 2 * BESIDE + 1, 2 * BESIDE).alias("after"))
+    ended = runs.join(before, "first").join(after, "last")
+    return save(ended.groupBy("doc", "key").agg(F.collect_list(F.struct("owner", "u0", "u1", "before", "after")).alias("runs")), "copies")
+
+
+def spans_of(size: int, units: np.ndarray, code: np.ndarray, least: int, runs: list[tuple]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Byte spans of the passages of a text of ``size`` bytes that others hold, and those owners; from its units and ``_found`` runs."""
+    found, owners = [], set()
+    for owner, a, b, before, after in runs:
+        a -= agreeing(code[max(0, a - BESIDE) : a][::-1], np.frombuffer(before, np.uint16))
+        b += agreeing(code[b : b + BESIDE], np.frombuffer(after, np.uint16))
         if b - a >= least:
-            first, last = min(int(starts[run[0]]), int(units[a])), int(units[b]) if b < len(units) else len(raw)
-            if spans and first <= spans[-1][1]:  # the extensions of two runs meet
-                first, last = spans[-1][0], max(last, spans.pop()[1])
-            spans.append((first, last))
-            owners |= {int(hits[x][0]) for x in run}
+            found.append((a, b))
+            owners.add(owner)
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        first, last = int(units[a]), int(units[b]) if b < len(units) else size
+        if spans and first <= spans[-1][1]:
+            first, last = spans[-1][0], max(last, spans.pop()[1])
+        spans.append((first, last))
     return spans, owners
 
 
-def _chunked(texts: list[bytes], every: int, most: int = 2 << 20):
-    """(bytes, chunk starts, ends, units) of each text; those of up to ``most`` bytes together are cut at once."""
+def _cut_at_once(texts: list[bytes], every: int, most: int = 2 << 20):
+    """(unit starts, unit codes) of each text; those of up to ``most`` bytes together are cut at once."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -207,43 +239,30 @@ def _chunked(texts: list[bytes], every: int, most: int = 2 << 20):
             size += len(texts[end])
             end += 1
         offs = np.cumsum([0, *map(len, texts[at:end])])
-        data = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-        starts, ends, _, _, begin, units = chunks(data, offs, every) if len(data) else (*[np.zeros(0, np.int64)] * 4, np.zeros(end - at + 1, np.int64), np.zeros(0, np.int64))
-        of_text = np.searchsorted(units, offs)
+        units, hashes, of_text, _, _ = chunks(np.frombuffer(b"".join(texts[at:end]), np.uint8), offs, every)
+        code = codes(hashes)
         for i in range(end - at):
-            c, u = slice(begin[i], begin[i + 1]), slice(of_text[i], of_text[i + 1])
-            yield data[offs[i] : offs[i + 1]], starts[c] - offs[i], np.minimum(ends[c], offs[i + 1]) - offs[i], units[u] - offs[i]
+            u = slice(of_text[i], of_text[i + 1])
+            yield units[u] - offs[i], code[u]
         at = end
 
 
 def _spans(every: int, least: int):
-    """Byte spans of the repeated passages of each text, from its copied chunks."""
+    """Byte spans of the repeated passages of each text, from its runs; only texts with runs are cut into units."""
 
     def run(frames):
         for f in frames:
             out = []
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in f.text]
-            for doc_id, (raw, starts, ends, units), *found in zip(f.doc_id, _chunked(texts, every), *(f[f"dq_{x}"] for x in HITS), strict=True):
-                hits = {} if found[0] is None else {int(p): (int(o), int(x) % (1 << 64), int(y) % (1 << 64)) for p, o, x, y in zip(*found, strict=True)}
-                spans, owners = spans_of(raw, starts, ends, units, least, hits)
-                out.append((doc_id, len(raw), len(starts), [a for a, _ in spans], [b for _, b in spans], sorted(owners)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_chunks", "span_starts", "span_ends", "first_docs"]).astype({"doc_id": "Int64"})
+            units = _cut_at_once([t for t, r in zip(texts, f.dq_runs, strict=True) if r is not None], every)
+            for doc_id, raw, runs in zip(f.doc_id, texts, f.dq_runs, strict=True):
+                spans, owners = ([], ()) if runs is None else spans_of(len(raw), *next(units), least, [(int(r["owner"]), int(r["u0"]), int(r["u1"]), bytes(r["before"]), bytes(r["after"])) for r in runs])
+                out.append((doc_id, len(raw), [a for a, _ in spans], [b for _, b in spans], sorted(owners)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "span_starts", "span_ends", "first_docs"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
-    """(doc, key, places, owners, before, after): the copied chunks of each text that has any."""
-    width = shuffle_width(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = plain.mapInArrow(_scatter(every, buckets or 4 * width), "p int, " + ", ".join(f"{c} binary" for c in PACKED))
-    owners = save(packed.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_gather, "digest long, owner long, before long, after long"), "owners")
-    places = plain.mapInArrow(_copies(every), "digest long, docs array<long>, keys array<long>, places array<long>").join(owners, "digest")
-    each = places.select("owner", "before", "after", F.explode(F.arrays_zip("docs", "keys", "places")).alias("x")).select(F.col("x.docs").alias("doc"), F.col("x.keys").alias("key"), F.struct(F.col("x.places").alias("places"), F.col("owner").alias("owners"), "before", "after").alias("hit"))
-    grouped = each.where("doc > hit.owners").groupBy("doc", "key").agg(F.collect_set("hit").alias("hits"))
-    return save(grouped.select("doc", "key", *[F.col(f"hits.{x}").alias(x) for x in HITS]), "copies")
-
-
 def _keyed(batches):
     for batch in batches:
         keys = [_text_keys(data, offs) for _, _, data, offs in text_slices(batch, "text")]
@@ -251,10 +270,15 @@ def _keyed(batches):
 
 
 def _matched(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
-    """``docs`` with the copied chunks of each row (dq_places, dq_owners, ...); rows that repeat share them."""
-    found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), *[F.col(x).alias(f"dq_{x}") for x in HITS])
-    keyed = docs.mapInArrow(_keyed, _with_key(docs)).withColumn("dq_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))))
-    return keyed.join(found, (keyed["dq_id"] == found["dq_doc"]) & (keyed["dq_text_key"] == found["dq_key"]), "left")
+    """``docs`` with the runs of each row (dq_runs); rows that repeat share them. Texts of documents without runs are not shuffled."""
+    found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), F.col("runs").alias("dq_runs"))
+    named = docs.withColumn("dq_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))))
+    maybe = maybe_in(named, found.select(F.col("dq_doc").alias("dq_id")).distinct(), "dq_id")
+    some = maybe.where("dq_maybe").drop("dq_maybe").select(*docs.columns, "dq_id")
+    keyed = some.mapInArrow(_keyed, _with_key(some))
+    held = keyed.join(found, (keyed["dq_id"] == found["dq_doc"]) & (keyed["dq_text_key"] == found["dq_key"]), "left").select(*docs.columns, "dq_runs")
+    rest = maybe.where("not dq_maybe").select(*docs.columns, F.lit(None).cast(held.schema["dq_runs"].dataType).alias("dq_runs"))
+    return held.unionByName(rest)
 
 
 def _with_key(docs: DataFrame):
@@ -263,20 +287,22 @@ def _with_key(docs: DataFrame):
     return StructType([*docs.schema.fields, StructField("dq_text_key", LongType())])
 
 
-def passages(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None = None) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_chunks, span_starts, span_ends, first_docs.
+def passages(docs: DataFrame, every: int = 4, least: int = 46, buckets: int | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, span_starts, span_ends, first_docs.
 
-    Spans are the bytes of passages that an earlier document (least doc_id; a null id counts as the last) holds already;
-    ``first_docs`` are those documents. ``least`` counts the units of a run of copied chunks and the up to 16 on either side
-    that agree; a chunk has ``every`` units on average, so a passage of more than 50 words loses 12 of them beyond
-    that with a probability of some thousandths, and shorter ones are found as often as they show ``least`` units.
-    Null and empty texts have no chunks; what repeats within one document stays.
+    Spans are the bytes of passages of ``least`` units or more that an earlier document (least doc_id; a null id counts as
+    the last, so rows without an id are not compared with one another; rows that share
+    an id are one document) holds in one piece; ``first_docs`` are those documents. A
+    passage of 51 words shows no chunk, or a chunk more than ``BESIDE`` units from both ends, once in a thousand times;
+    a unit beyond its end agrees by chance once in 65,535. Where a still earlier document holds 24 units or more of a passage's
+    middle, those are its own; the parts before and after them are found if each shows ``least`` units with the 20 beside it. Texts of less than 24 units, null and empty ones have no chunks;
+    what repeats within one document stays.
     """
-    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"dq_{x}" for x in HITS])
-    return matched.mapInPandas(_spans(every, least), "doc_id long, n_bytes long, n_chunks long, span_starts array<long>, span_ends array<long>, first_docs array<long>")
+    matched = _matched(docs.select("doc_id", "text"), every, buckets).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "dq_runs")
+    return matched.mapInPandas(_spans(every, least), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, first_docs array<long>")
 
 
-def cut(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None = None) -> DataFrame:
+def cut(docs: DataFrame, every: int = 4, least: int = 46, buckets: int | None = None) -> DataFrame:
     """``docs`` with all repeated passages cut out of ``text`` (and ``n_chars``, where there is one, counted again).
 
     A row whose text is wholly made of repeated passages goes; rows without text stay as they are.
@@ -287,7 +313,7 @@ def cut(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None =
     def run(frames):
         for f in frames:
             texts, keep = [], []
-            for s in spans(iter([f[["doc_id", "text", *[f"dq_{x}" for x in HITS]]]])):
+            for s in spans(iter([f[["doc_id", "text", "dq_runs"]]])):
                 for text, starts, ends in zip(f.text, s.span_starts, s.span_ends, strict=True):
                     raw, left, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
                     for a, b in zip(starts, ends, strict=True):
@@ -305,5 +331,5 @@ def cut(docs: DataFrame, every: int = 5, least: int = 38, buckets: int | None =
 
     # columns of the input that have a name of ours are set aside meanwhile
     inner = [f"input_{i}_dq" if c.startswith("dq_") else c for i, c in enumerate(names)]
-    matched = _matched(docs.toDF(*inner), every, buckets).select(*inner, *[f"dq_{x}" for x in HITS])
+    matched = _matched(docs.toDF(*inner), every, buckets).select(*inner, "dq_runs")
     return matched.mapInPandas(run, schema)

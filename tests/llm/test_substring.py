@@ -43,30 +43,64 @@ def test_passages_over_fifty_words_are_found_at_any_place(spark):
         texts.append([*words(draw, draw.randint(0, 60)), *part, *words(draw, draw.randint(0, 60))])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     got = {r.doc_id: places(texts[r.doc_id], r.span_starts, r.span_ends) for r in sd.passages(docs).collect()}
-    missed = extra = true = 0
+    missed = extra = true = lost = all_words = 0
     for i, t in enumerate(texts):
-        want = copied(t, texts[:i], 50)
-        assert bool(got[i]) <= bool(want) or len(got[i]) >= 38, i
+        want, some = copied(t, texts[:i], 50), copied(t, texts[:i], 46)
+        assert bool(got[i]) <= bool(some), i
         true += bool(want)
         missed += bool(want) and not got[i]
-        extra += len(got[i] - want)
-        if got[i]:
-            assert len(want - got[i]) <= 0.5 * len(want)
-    assert true > 150 and missed <= 0.01 * true
-    assert extra <= 0.3 * true  # a unit beyond an end agrees by chance once in fifteen times
-    assert sum(len(copied(t, texts[:i], 50) - got[i]) for i, t in enumerate(texts)) <= 0.03 * sum(len(copied(t, texts[:i], 50)) for i, t in enumerate(texts))
-
-
-def test_digests_carry_what_is_beside_them():
-    raw = "one two three four five six seven".encode()
-    data, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-    starts, ends, units, _, begin, unit_starts = sd.chunks(data, offs, 2)
-    code = sd.codes(data, unit_starts)
-    assert len(code) == 7 and units.sum() == 7 and begin.tolist() == [0, len(starts)] and ends[-1] == len(raw)
-    before = sd.beside(code, np.array([0, 7]), np.array([2]), np.array([0]), -1)[0]
-    after = sd.beside(code, np.array([0, 7]), np.array([3]), np.array([0]), 1)[0]
-    assert sd.agreeing(int(before), code[:3][::-1]) == 3 and sd.agreeing(int(after), code[3:]) == 4
-    assert sd.agreeing(int(before), np.array([16], np.uint64)) == 0
+        extra += len(got[i] - some)
+        lost, all_words = lost + len(want - got[i]), all_words + len(want)
+    assert true > 150 and missed <= 0.01 * true and not extra
+    assert lost <= 0.01 * all_words
+
+
+def test_text_of_many_owners_stays(spark):
+    """Windows of 30 words, each from another document, are no passage of any of them."""
+    draw = random.Random(17)
+    texts = [words(draw, 120) for _ in range(40)]
+    earlier = [[*words(draw, 20), *t[a : a + 30], *words(draw, 20)] for t in texts for a in range(0, 120, 15)]
+    draw.shuffle(earlier)
+    rows = [" ".join(x) for x in [*earlier, *texts]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert not sd.passages(docs).where("size(span_starts) > 0").count()
+    assert {r.doc_id: r.text for r in sd.cut(docs).collect()} == dict(enumerate(rows))
+
+
+def test_passage_whose_middle_an_earlier_document_holds(spark):
+    draw = random.Random(19)
+    rows, want = [], {}
+    for k in range(60):
+        passage, n = words(draw, draw.randint(60, 150)), len(rows)
+        a = draw.randint(0, 20)
+        rows += [" ".join([*words(draw, 5), *passage[a : a + draw.randint(24, 60)], *words(draw, 5)]), " ".join([*words(draw, 9), *passage, *words(draw, 7)]), " ".join([*words(draw, 7), *passage, *words(draw, 9)])]
+        want[n + 2] = set(range(7, 7 + len(passage)))
+    got = {r.doc_id: places(rows[r.doc_id].split(" "), r.span_starts, r.span_ends) for r in sd.passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] <= w for i, w in want.items())
+    assert sum(len(got[i]) for i in want) >= 0.98 * sum(map(len, want.values()))
+
+
+def test_runs_keep_to_one_owner_and_line():
+    hits = [(0, 7, 100, 1), (10, 7, 110, 2), (12, 8, 5, 3), (30, 7, 130, 4), (60, 7, 160, 5), (70, 7, 171, 6)]
+    assert sorted(sd.runs_of(hits)) == [(7, 0, 54, 1, 4), (7, 60, 84, 5, 5), (7, 70, 94, 6, 6), (8, 12, 36, 3, 3)]
+
+
+def test_units_beside_a_chunk():
+    code = np.arange(1, 31, dtype=np.uint16)
+    got = sd.beside(code, np.array([4, 12]), -1, np.array([2, 10]), np.array([20, 30]))
+    assert got[0].tolist() == [5, 4, 3] + [0] * 17 and got[1].tolist() == [13, 12, 11] + [0] * 17
+    assert sd.agreeing(got[0], code[:5][::-1]) == 3 and sd.agreeing(code[:0], code) == 0
+
+
+def test_borders_do_not_depend_on_what_stands_before():
+    draw = random.Random(23)
+    tail = " ".join(words(draw, 300)).encode()
+    found = []
+    for head in (b"", b"one two ", "日本語 ".encode()):
+        raw = head + tail
+        starts, _, _, begins, digest = sd.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 4)
+        found.append({(int(starts[b]) - len(head), int(d)) for b, d in zip(begins, digest, strict=True) if starts[b] >= len(head)})
+    assert found[0] == found[1] == found[2] and 40 < len(found[0]) < 110
 
 
 def test_nulls_ties_and_clashing_columns(spark):
