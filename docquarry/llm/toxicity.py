@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,52 +149,89 @@ def _in_fold(folds: int, held: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held
 
 
-def _entries(text: str) -> set[tuple[int, str]]:
-    """The words (0, word) and stems (1, stem) of a text."""
-    words = set(WORD.findall(text.lower()))
-    found = {(0, w) for w in words if WORD_SIZES[0] <= len(w) <= WORD_SIZES[1]}
-    return found | {(1, w[:k]) for w in words for k in STEM_SIZES if len(w) > k}
+def _entries(word: str) -> list[tuple[int, str]]:
+    """What a word counts for: itself (0, word) and its stems (1, stem)."""
+    found = [(0, word)] if WORD_SIZES[0] <= len(word) <= WORD_SIZES[1] else []
+    return found + [(1, word[:k]) for k in STEM_SIZES if len(word) > k]
 
 
-def _count(shared):
-    """Documents of each slice that hold an entry; with ``shared``, of its entries only."""
+def _contexts(text: str):
+    """Each word of a text with a hash of the two words on either side; what stands beside the same words is one occurrence."""
+    words = ["", "", *WORD.findall(text.lower()), "", ""]
+    for i in range(2, len(words) - 2):
+        yield words[i], xxhash.xxh64_intdigest(" ".join((words[i - 2], words[i - 1], words[i + 1], words[i + 2]))) >> 1
+
+
+def _occurrences(shared):
+    """Distinct (entry, context) of each slice; with ``shared``, of its entries only."""
 
     def run(batches):
         only = shared.value if shared else None
         for batch in released(batches):
             text = batch.column(batch.schema.get_field_index("text"))
             for at, rows, _, _ in text_slices(batch, "text", 1 << 20):
-                seen: Counter = Counter()
+                seen: set[tuple[int, str, int]] = set()
                 for t in text.slice(at, rows).to_pylist():
-                    found = _entries(t or "")
-                    seen.update(found if only is None else found & only)
+                    for word, context in _contexts(t or ""):
+                        seen.update((*e, context) for e in _entries(word) if only is None or e in only)
                 if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
+                    kinds, words, contexts = zip(*seen, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words), pa.array(contexts, pa.int64())], ["kind", "w", "context"])
+
+    return run
+
+
+def _slice_counts(shared):
+    """How many contexts an entry has in each slice: never more than it has in all."""
+
+    def run(batches):
+        for found in _occurrences(shared)(batches):
+            seen = Counter(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
 
     return run
 
 
-def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, share: float = 0.005) -> Lexicon:
-    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic documents.
+def _n_words(batches):
+    for batch in released(batches):
+        text = batch.column(batch.schema.get_field_index("text"))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(WORD.findall(t)) for t in text.to_pylist() if t)])], ["n"])
 
-    Texts whose three-word runs have the same least hash count as one: equal texts, and of near copies as large
-    a share as the runs that they have in common, so that the words of a text that many copies hold do not become entries.
-    An entry needs ``least`` toxic documents and the ``share`` of them. So there are at most 1 / ``share`` times as
-    many candidates as a toxic document has entries on average, and only these and their counts reach the driver.
+
+def unlikely(t: int, f: int, p: float) -> float:
+    """Probability that of t + f occurrences, each toxic with probability p, t or more are."""
+    n, term, total = t + f, math.exp(math.lgamma(t + f + 1) - math.lgamma(t + 1) - math.lgamma(f + 1) + t * math.log(p) + f * math.log1p(-p)), 0.0
+    for k in range(t, n + 1):
+        total += term
+        if term <= total * 1e-12:
+            break
+        term *= (n - k) / (k + 1) * p / (1 - p)
+    return total
+
+
+def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, chance: float = 1e-4) -> Lexicon:
+    """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic texts.
+
+    What is counted is not documents but distinct contexts, the two words on either side: a text with many copies, or a
+    passage that all texts share, counts once in the toxic and once in the other texts, and texts are never merged. An
+    entry needs ``least`` contexts in toxic texts, and that its contexts are toxic by chance must be no likelier than ``chance``. The
+    driver gets counts of entries of the labelled sample, which ``train`` bounds; entries that one slice of other
+    texts already shows to be too common are left out before contexts are compared across slices.
     """
-    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.slice("w", i, 3)))
-    least_run = train.withColumn("w", w).select("toxic", "text", F.array_min(runs).alias("h"))
-    train = save(least_run.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "distinct")
-    n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    sc = train.sparkSession.sparkContext
+    of = {x: train.where(F.col("toxic") == x).select("text") for x in (0, 1)}
+    n = {x: of[x].mapInArrow(_n_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for x in of}
+    if not n[0] or not n[1]:
         return Lexicon([], [])
-    counts = lambda toxic, shared: train.where(F.col("toxic") == toxic).select("text").mapInArrow(_count(shared), "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n"))
-    bad = {(r.kind, r.w): r.n for r in counts(1, None).where(F.col("n") >= max(least, math.ceil(share * n1))).collect()}
-    fine = {(r.kind, r.w): r.n for r in counts(0, train.sparkSession.sparkContext.broadcast(set(bad))).collect()}
-    ratio = {e: (t + 0.5) / (fine.get(e, 0) + 0.5) * ((n0 + 1) / (n1 + 1)) for e, t in bad.items()}
-    found, stems = (sorted(w for (k, w), r in ratio.items() if k == kind and r >= odds) for kind in (0, 1))
+    counted = lambda x, shared: of[x].mapInArrow(_occurrences(shared), "kind int, w string, context long").distinct().groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"))
+    bad = {(r.kind, r.w): r.n for r in counted(1, None).where(F.col("n") >= least).collect()}
+    ratio = lambda t, f: (t + 0.5) / (f + 0.5) * (n[0] / n[1])
+    common = of[0].mapInArrow(_slice_counts(sc.broadcast(set(bad))), "kind int, w string, n long").groupBy("kind", "w").agg(F.max("n").alias("n"))
+    bad = _rare(bad, common, ratio, odds)
+    fine = {(r.kind, r.w): r.n for r in counted(0, sc.broadcast(set(bad))).collect()}
+    p = n[1] / (n[0] + n[1])
+    kept = [e for e, t in bad.items() if ratio(t, fine.get(e, 0)) >= odds and unlikely(t, fine.get(e, 0), p) <= chance]
+    found, stems = (sorted(w for k, w in kept if k == kind) for kind in (0, 1))
     shortest: list[str] = []
     for s in sorted(stems, key=lambda x: (len(x), x)):
         if not s.startswith(tuple(shortest)) and not any(w.startswith(s) for w in found if len(w) - len(s) <= 1):
@@ -201,6 +239,12 @@ def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, share: f
     return Lexicon(found, shortest)
 
 
+def _rare(bad: dict, common: DataFrame, ratio, odds: float) -> dict:
+    """Entries that the fullest slice of other texts does not rule out yet."""
+    seen = {(r.kind, r.w): r.n for r in common.collect()}
+    return {e: t for e, t in bad.items() if ratio(t, seen.get(e, 0)) >= odds}
+
+
 def _score(shared, first: str = "doc_id"):
     """The column ``first``, the score and the features of each row."""
 

@@ -178,7 +178,7 @@ def test_packing(docs):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
