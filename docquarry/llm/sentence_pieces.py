@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import released, text_slices
 
 SPACE = "▁"
+LETTER, STOPS = r"[^\W\d_¹²³]", ".,;:!?"
+#: No piece joins anything to a space or line end after it, nor a letter to a stop after it (``Codec`` makes sure); so these
+#: stretches, which repeat far more often than whole words, are encoded alone.
+WORD = re.compile(rf"{SPACE}*+{LETTER}++(?=[{SPACE}\n{STOPS}]|\Z)|{SPACE}++[^{SPACE}\n]*+|\n++|[^{SPACE}\n]++")
 #: Words and pairs whose result a Python worker keeps.
-WORDS, PAIRS = 1 << 17, 1 << 18
+WORDS, PAIRS = 3 << 17, 1 << 18
 
 
 class Words(dict):
@@ -41,6 +45,17 @@ class Words(dict):
         return got
 
 
+class Raw(dict):
+    """The ids of a piece as bytes; of a character that is no piece, those of its UTF-8 bytes."""
+
+    def __init__(self, codec: Codec):
+        super().__init__((s, np.array([i], np.int32).tobytes()) for s, i in codec.id.items())
+        self.codec = codec
+
+    def __missing__(self, char: str) -> bytes:
+        return np.array([self.codec.bytes[b] for b in char.encode()], np.int32).tobytes()
+
+
 class Codec:
     """Encoder and decoder of a merge model with an identity normaliser, a leading space and byte fallback."""
 
@@ -55,15 +70,16 @@ class Codec:
         self.bytes = {int(p.id_to_piece(i)[1:-1], 16): i for i in range(p.vocab_size()) if p.is_byte(i)}
         if len(self.bytes) != 256 or any(p.is_unused(i) for _, i in named) or p.normalize("  aﬁ \x00 b ") != f"{SPACE * 3}aﬁ{SPACE}\x00{SPACE}b{SPACE}":
             raise ValueError("only models with an identity normaliser, a leading space and byte fallback are read")
-        if any("\n" in s or SPACE in s.lstrip(SPACE) for s in self.id):
-            raise ValueError("a piece joins a word to the space or line end after it")
+        joint = re.compile(rf"\n|[^{SPACE}]{SPACE}|{LETTER}[{STOPS}]")
+        if any(map(joint.search, self.id)):
+            raise ValueError("a piece joins a word to the space, line end or stop after it")
         self.found = ahocorasick.Automaton()
         for s in self.id:
-            self.found.add_word(s, s)
+            self.found.add_word(s, (len(s) - 1, s))
         self.found.make_automaton()
         self.shorter: dict[str, str | None] = {}
         self.agree: dict[tuple[str, str], bool] = {}
-        self.words = Words(self)
+        self.words, self.raw = Words(self), Raw(self)
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for a stretch of a few characters."""
@@ -102,40 +118,38 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         """The pieces of a normalised text; characters that are no piece stand alone."""
         longest = list(text)
-        for end, piece in self.found.iter(text):
-            start = end - len(piece) + 1
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray(len(text) // 8 + 1)  # a bit for each place that no encoding goes through
+        for end, (back, piece) in self.found.iter(text):  # ends rise, so the last piece from a place is the longest
+            longest[end - back] = piece
+        agree, n = self.agree, len(text)
+        failed = bytearray(n // 8 + 1)  # a bit for each place that no encoding goes through
+        stepped_back = False
         out: list[str] = []
-        at, try_ = 0, longest[0] if text else None
-        while at < len(text):
+        at, last, try_ = 0, "", longest[0] if text else None
+        while at < n:
             while try_ is not None:
-                end = at + len(try_)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(out[-1] if out else "", try_):
-                    break
+                fits = agree.get((last, try_))
+                if fits is None:
+                    fits = self.fits(last, try_)
+                if fits:
+                    end = at + len(try_)
+                    if not (stepped_back and failed[end >> 3] >> (end & 7) & 1):
+                        break
                 try_ = self.prefix(try_)
             if try_ is None:
                 failed[at >> 3] |= 1 << (at & 7)
-                try_ = out.pop()
-                at -= len(try_)
-                try_ = self.prefix(try_)
+                stepped_back = True
+                at -= len(last)
+                try_ = self.prefix(out.pop())
+                last = out[-1] if out else ""
                 continue
             out.append(try_)
-            at = end
-            if at < len(text):
+            at, last = end, try_
+            if at < n:
                 try_ = longest[at]
         return out
 
     def ids(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for s in pieces:
-            i = self.id.get(s)
-            if i is None:
-                out += [self.bytes[b] for b in s.encode()]
-            else:
-                out.append(i)
-        return np.array(out, np.int32).tobytes()
+        return b"".join([self.raw[s] for s in pieces])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; nothing for an empty one."""
@@ -144,10 +158,6 @@ class Codec:
         return b"".join(map(self.words.__getitem__, WORD.findall(SPACE + text.replace(" ", SPACE))))
 
 
-#: No piece joins anything to a space or line end that follows it, so words with those before them are encoded alone.
-WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*")
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
