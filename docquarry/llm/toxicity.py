@@ -155,47 +155,88 @@ def _entries(word: str) -> list[tuple[int, str]]:
     return found + [(1, word[:k]) for k in STEM_SIZES if len(word) > k]
 
 
-def _contexts(text: str):
-    """Each word of a text with a hash of the two words on either side; what stands beside the same words is one occurrence."""
-    words = ["", "", *WORD.findall(text.lower()), "", ""]
-    for i in range(2, len(words) - 2):
-        yield words[i], xxhash.xxh64_intdigest(" ".join((words[i - 2], words[i - 1], words[i + 1], words[i + 2]))) >> 1
+def _context(words: list[str], i: int) -> int:
+    """A hash of the two words on either side of word ``i``; what stands beside the same words is one occurrence."""
+    beside = (words[i - 2] if i > 1 else "", words[i - 1] if i else "", *words[i + 1 : i + 3], "", "")
+    return xxhash.xxh64_intdigest(" ".join(beside[:4])) >> 1
+
+
+def _texts(batches, most: int = 1 << 20):
+    """The words of the texts of each slice."""
+    for batch in released(batches):
+        text = batch.column(batch.schema.get_field_index("text"))
+        for at, rows, _, _ in text_slices(batch, "text", most):
+            yield [WORD.findall(t.lower()) for t in text.slice(at, rows).to_pylist() if t]
+
+
+def _uses(batches):
+    """How often entries stand in the texts of each slice."""
+    for texts in _texts(batches):
+        words = Counter(w for t in texts for w in t)
+        seen: Counter = Counter()
+        for w, n in words.items():
+            for e in _entries(w):
+                seen[e] += n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
+
+
+class _Wanted(dict):
+    """The wanted entries of each word, looked up once."""
+
+    def __init__(self, entries):
+        self.entries = entries
+
+    def __missing__(self, word: str) -> list[tuple[int, str]]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        got = self[word] = [e for e in _entries(word) if e in self.entries]
+        return got
 
 
 def _occurrences(shared):
-    """Distinct (entry, context) of each slice; with ``shared``, of its entries only."""
+    """Distinct (entry, context) of each slice, of the entries that are shared."""
 
     def run(batches):
-        only = shared.value if shared else None
-        for batch in released(batches):
-            text = batch.column(batch.schema.get_field_index("text"))
-            for at, rows, _, _ in text_slices(batch, "text", 1 << 20):
-                seen: set[tuple[int, str, int]] = set()
-                for t in text.slice(at, rows).to_pylist():
-                    for word, context in _contexts(t or ""):
-                        seen.update((*e, context) for e in _entries(word) if only is None or e in only)
-                if seen:
-                    kinds, words, contexts = zip(*seen, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words), pa.array(contexts, pa.int64())], ["kind", "w", "context"])
+        wanted = _Wanted(shared.value)
+        for texts in _texts(batches):
+            seen = {(*e, _context(t, i)) for t in texts for i, w in enumerate(t) for e in wanted[w]}
+            if seen:
+                kinds, words, contexts = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words), pa.array(contexts, pa.int64())], ["kind", "w", "context"])
 
     return run
 
 
-def _slice_counts(shared):
-    """How many contexts an entry has in each slice: never more than it has in all."""
+def _common(shared):
+    """Entries that have more contexts in one slice than the shared limits let them have in all."""
 
     def run(batches):
-        for found in _occurrences(shared)(batches):
-            seen = Counter(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
+        limits = dict(shared.value)
+        wanted = _Wanted(limits)
+        for texts in _texts(batches):
+            seen: dict[tuple[int, str], set[int]] = {}
+            over = []
+            for t in texts:
+                for i, w in enumerate(t):
+                    for e in [e for e in wanted[w] if e in limits]:
+                        held = seen.setdefault(e, set())
+                        held.add(_context(t, i))
+                        if len(held) > limits[e]:
+                            over.append(e)
+                            del limits[e], seen[e]
+                    if over and wanted[w] and over[-1] in wanted[w]:
+                        wanted[w] = [e for e in wanted[w] if e in limits]
+            if over:
+                kinds, words = zip(*over, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words)], ["kind", "w"])
 
     return run
 
 
 def _n_words(batches):
-    for batch in released(batches):
-        text = batch.column(batch.schema.get_field_index("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(WORD.findall(t)) for t in text.to_pylist() if t)])], ["n"])
+    for texts in _texts(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))])], ["n"])
 
 
 def unlikely(t: int, f: int, p: float) -> float:
@@ -223,12 +264,14 @@ def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, chance:
     n = {x: of[x].mapInArrow(_n_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for x in of}
     if not n[0] or not n[1]:
         return Lexicon([], [])
-    counted = lambda x, shared: of[x].mapInArrow(_occurrences(shared), "kind int, w string, context long").distinct().groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"))
-    bad = {(r.kind, r.w): r.n for r in counted(1, None).where(F.col("n") >= least).collect()}
+    # an entry has at most as many contexts as uses, and at least as many as one slice shows: most go by these bounds
+    uses = {(r.kind, r.w): r.n for r in of[1].mapInArrow(_uses, "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+    limits = {e: (t + 0.5) * n[0] / (n[1] * odds) - 0.5 for e, t in uses.items()}
+    common = of[0].mapInArrow(_common(sc.broadcast(limits)), "kind int, w string").distinct().collect()
+    some = sc.broadcast(set(uses) - {(r.kind, r.w) for r in common})
+    counts = {x: {(r.kind, r.w): r.n for r in of[x].mapInArrow(_occurrences(some), "kind int, w string, context long").distinct().groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n")).collect()} for x in of}
+    fine, bad = counts[0], {e: t for e, t in counts[1].items() if t >= least}
     ratio = lambda t, f: (t + 0.5) / (f + 0.5) * (n[0] / n[1])
-    common = of[0].mapInArrow(_slice_counts(sc.broadcast(set(bad))), "kind int, w string, n long").groupBy("kind", "w").agg(F.max("n").alias("n"))
-    bad = _rare(bad, common, ratio, odds)
-    fine = {(r.kind, r.w): r.n for r in counted(0, sc.broadcast(set(bad))).collect()}
     p = n[1] / (n[0] + n[1])
     kept = [e for e, t in bad.items() if ratio(t, fine.get(e, 0)) >= odds and unlikely(t, fine.get(e, 0), p) <= chance]
     found, stems = (sorted(w for k, w in kept if k == kind) for kind in (0, 1))
@@ -239,12 +282,6 @@ def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, chance:
     return Lexicon(found, shortest)
 
 
-def _rare(bad: dict, common: DataFrame, ratio, odds: float) -> dict:
-    """Entries that the fullest slice of other texts does not rule out yet."""
-    seen = {(r.kind, r.w): r.n for r in common.collect()}
-    return {e: t for e, t in bad.items() if ratio(t, seen.get(e, 0)) >= odds}
-
-
 def _score(shared, first: str = "doc_id"):
     """The column ``first``, the score and the features of each row."""
 
