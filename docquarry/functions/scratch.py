@@ -23,6 +23,11 @@ def base(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{base(df.sparkSession)}/docquarry/{tag}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the shared scratch space."""
+    return f"{base(spark)}/docquarry/{tag}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import contains
 from docquarry.operators.retrieval import bm25, dense, jaccard, top_k
 from docquarry.registry import strategy
 
@@ -70,16 +71,16 @@ def rerank(candidates: DataFrame, questions: DataFrame, k: int, scorer=overlap)
     return scored.withColumn("new", rank).where(F.col("new") <= k).select("qid", "doc_id", "source", F.col("ce").alias("score"), F.col("new").alias("rank"))
 
 
-def escalated(questions: DataFrame, unsatisfied: DataFrame, most: int = 10_000) -> DataFrame:
+def escalated(questions: DataFrame, unsatisfied: DataFrame) -> DataFrame:
     """``questions(qid, text)`` that equal, contain, or are contained in a question that got no good answer before.
 
-    The unsatisfied ones are those of one session: more than ``most`` are refused.
+    Both sides may be of any size: they meet by the rarest three characters of each (``contains``).
     """
-    old = unsatisfied.select(F.lower(T.strip(F.col("text"))).alias("u")).where("u <> ''").distinct()
-    if old.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} unsatisfied questions")
-    asked = questions.withColumn("q", F.lower(T.strip(F.col("text"))))
-    return asked.join(F.broadcast(old), F.col("q").contains(F.col("u")) | F.col("u").contains(F.col("q")), "left_semi").drop("q")
+    norm = F.lower(T.strip(F.col("text")))
+    old = unsatisfied.select(norm.alias("term")).where("term <> ''").distinct().withColumn("term_id", F.xxhash64("term"))
+    hits = contains.either_way(questions.select(F.col("qid").alias("id"), norm.alias("text")), old).select(F.col("id").alias("qid")).distinct()
+    blank = questions.where(norm == "").select("qid").crossJoin(F.broadcast(old.limit(1).select("term_id"))).select("qid")  # an empty one is contained in all
+    return questions.join(hits.unionByName(blank), "qid", "left_semi").select(*questions.columns)
 
 
 def valid_results(results: DataFrame) -> DataFrame:

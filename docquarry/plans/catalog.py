@@ -1,4 +1,4 @@
 """All registered queries: importing this module registers them."""
 
-from docquarry.plans import answers, assembly, knowledge, monitoring, queries, storage, strategies  # noqa: F401
+from docquarry.plans import answers, assembly, indexes, knowledge, monitoring, queries, storage, strategies  # noqa: F401
 from docquarry.plans.registry import QUERIES, SQL  # noqa: F401

@@ -63,12 +63,13 @@ def test_history_tiers_equal_the_reference(spark):
     assert dict(con.execute(f"SELECT conv_id, history FROM ({SQL['history_tier']})").fetchall()) == want
 
 
-def test_chunks_lose_nothing():
+def test_chunks_lose_nothing(spark):
     text = "One sentence here. " * 200 + "x" * 2000
-    got = chunks.chunk_text(text, 300, 0)
-    assert "".join(got).replace(" ", "") == text.replace(" ", "")
-    assert all(len(c) <= 360 for c in got)
-    assert chunks.chunk_text(None) == chunks.chunk_text(" \n ") == []
+    docs = spark.createDataFrame([(1, text, "f", "Chapter 1"), (2, None, "f", "x"), (3, " \n ", "f", "x")], "doc_id long, text string, file string, chapter string")
+    got = chunks.chunk(docs, 300, 0).orderBy("doc_id", "position").collect()
+    assert {r.doc_id for r in got} == {1} and [r.position for r in got] == list(range(len(got)))
+    assert "".join(r.text for r in got).replace(" ", "") == text.replace(" ", "")
+    assert all(len(r.text) <= 360 or r.text.endswith("x" * 2000) for r in got)
 
 
 def test_limiter_counts_accepted_calls_only(spark):
