@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import bit_table, in_bits, ints, maybe_in, released, save, shuffle_width, text_slices
+from docquarry.llm.common import bit_table, drop, in_bits, ints, maybe_in, released, save, shuffle_width, text_slices
 from docquarry.llm.tokens import keys
 
 NONE = np.iinfo(np.int64).max
@@ -209,7 +209,9 @@ def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
     before = own.select(F.col("digest").alias("first"), F.substring("sides", 1, 2 * BESIDE).alias("before"))
     after = own.select(F.col("digest").alias("last"), F.substring("sides", 2 * BESIDE + 1, 2 * BESIDE).alias("after"))
     ended = runs.join(before, "first").join(after, "last")
-    return save(ended.groupBy("doc", "key").agg(F.collect_list(F.struct("owner", "u0", "u1", "before", "after")).alias("runs")), "copies")
+    found = save(ended.groupBy("doc", "key").agg(F.collect_list(F.struct("owner", "u0", "u1", "before", "after")).alias("runs")), "copies")
+    drop(shared, hits, own, runs)
+    return found
 
 
 def spans_of(size: int, units: np.ndarray, code: np.ndarray, least: int, runs: list[tuple]) -> tuple[list[tuple[int, int]], set[int]]:

@@ -16,11 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ints, released, save, text_slices
+from docquarry.llm.common import drop, ints, released, save, text_slices
 
 WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’"
@@ -155,90 +154,34 @@ def _entries(word: str) -> list[tuple[int, str]]:
     return found + [(1, word[:k]) for k in STEM_SIZES if len(word) > k]
 
 
-def _context(words: list[str], i: int) -> int:
-    """A hash of the two words on either side of word ``i``; what stands beside the same words is one occurrence."""
-    beside = (words[i - 2] if i > 1 else "", words[i - 1] if i else "", *words[i + 1 : i + 3], "", "")
-    return xxhash.xxh64_intdigest(" ".join(beside[:4])) >> 1
+#: Where a text is divided into segments, which count once however often they come.
+SEGMENT = r"[.!?\n]+"
 
 
 def _texts(batches, most: int = 1 << 20):
-    """The words of the texts of each slice."""
+    """The words of the segments of each slice."""
     for batch in released(batches):
-        text = batch.column(batch.schema.get_field_index("text"))
-        for at, rows, _, _ in text_slices(batch, "text", most):
-            yield [WORD.findall(t.lower()) for t in text.slice(at, rows).to_pylist() if t]
+        for at, rows, _, _ in text_slices(batch, "segment", most):
+            yield [WORD.findall(t) for t in batch.column(batch.schema.get_field_index("segment")).slice(at, rows).to_pylist()]
 
 
-def _uses(batches):
-    """How often entries stand in the texts of each slice."""
-    for texts in _texts(batches):
-        words = Counter(w for t in texts for w in t)
-        seen: Counter = Counter()
-        for w, n in words.items():
-            for e in _entries(w):
-                seen[e] += n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "w", "n"])
-
-
-class _Wanted(dict):
-    """The wanted entries of each word, looked up once."""
-
-    def __init__(self, entries):
-        self.entries = entries
-
-    def __missing__(self, word: str) -> list[tuple[int, str]]:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        got = self[word] = [e for e in _entries(word) if e in self.entries]
-        return got
-
-
-def _occurrences(shared):
-    """Distinct (entry, context) of each slice, of the entries that are shared."""
+def _uses(shared):
+    """In how many segments of each slice an entry is; with ``shared``, of its entries only. Entry (2, '') counts all words."""
 
     def run(batches):
-        wanted = _Wanted(shared.value)
+        only = shared.value if shared else None
         for texts in _texts(batches):
-            seen = {(*e, _context(t, i)) for t in texts for i, w in enumerate(t) for e in wanted[w]}
-            if seen:
-                kinds, words, contexts = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words), pa.array(contexts, pa.int64())], ["kind", "w", "context"])
+            words = Counter(w for t in texts for w in set(t))
+            of_stem: Counter = Counter({(2, ""): sum(map(len, texts))})
+            for w, n in words.items():
+                for e in _entries(w):
+                    if only is None or e in only:
+                        of_stem[e] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in of_stem], pa.int32()), pa.array([w for _, w in of_stem]), pa.array(list(of_stem.values()), pa.int64())], ["kind", "w", "n"])
 
     return run
 
 
-def _common(shared):
-    """Entries that have more contexts in one slice than the shared limits let them have in all."""
-
-    def run(batches):
-        limits = dict(shared.value)
-        wanted = _Wanted(limits)
-        for texts in _texts(batches):
-            seen: dict[tuple[int, str], set[int]] = {}
-            over = []
-            for t in texts:
-                for i, w in enumerate(t):
-                    for e in [e for e in wanted[w] if e in limits]:
-                        held = seen.setdefault(e, set())
-                        held.add(_context(t, i))
-                        if len(held) > limits[e]:
-                            over.append(e)
-                            del limits[e], seen[e]
-                    if over and wanted[w] and over[-1] in wanted[w]:
-                        wanted[w] = [e for e in wanted[w] if e in limits]
-            if over:
-                kinds, words = zip(*over, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words)], ["kind", "w"])
-
-    return run
-
-
-def _n_words(batches):
-    for texts in _texts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))])], ["n"])
-
-
 def unlikely(t: int, f: int, p: float) -> float:
     """Probability that of t + f occurrences, each toxic with probability p, t or more are."""
     n, term, total = t + f, math.exp(math.lgamma(t + f + 1) - math.lgamma(t + 1) - math.lgamma(f + 1) + t * math.log(p) + f * math.log1p(-p)), 0.0
@@ -253,24 +196,18 @@ def unlikely(t: int, f: int, p: float) -> float:
 def learn_lexicon(train: DataFrame, odds: float = 20.0, least: int = 4, chance: float = 1e-4) -> Lexicon:
     """Words and stems of ``train(text, toxic)`` which are ``odds`` times likelier in toxic texts.
 
-    What is counted is not documents but distinct contexts, the two words on either side: a text with many copies, or a
-    passage that all texts share, counts once in the toxic and once in the other texts, and texts are never merged. An
-    entry needs ``least`` contexts in toxic texts, and that its contexts are toxic by chance must be no likelier than ``chance``. The
-    driver gets counts of entries of the labelled sample, which ``train`` bounds; entries that one slice of other
-    texts already shows to be too common are left out before contexts are compared across slices.
+    What is counted is not documents but distinct segments, between sentence ends and line ends: a text with many copies, or
+    a passage that all texts share, counts once in the toxic and once in the other texts, and texts are never merged. (A stem
+    counts once for each of its words in a segment.) An entry needs ``least`` toxic segments, and that they are toxic by chance
+    must be no likelier than ``chance``. The driver gets counts of entries of the labelled sample, which ``train`` bounds.
     """
-    sc = train.sparkSession.sparkContext
-    of = {x: train.where(F.col("toxic") == x).select("text") for x in (0, 1)}
-    n = {x: of[x].mapInArrow(_n_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for x in of}
+    segments = train.select("toxic", F.explode(F.split(F.lower("text"), SEGMENT)).alias("segment")).select("toxic", F.trim("segment").alias("segment")).where("segment <> ''").distinct()
+    counted = lambda x, shared: segments.where(F.col("toxic") == x).select("segment").mapInArrow(_uses(shared), "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n"))
+    bad = {(r.kind, r.w): r.n for r in counted(1, None).where((F.col("n") >= least) | (F.col("kind") == 2)).collect()}
+    fine = {(r.kind, r.w): r.n for r in counted(0, train.sparkSession.sparkContext.broadcast(set(bad))).collect()}
+    n = {0: fine.pop((2, ""), 0), 1: bad.pop((2, ""), 0)}
     if not n[0] or not n[1]:
         return Lexicon([], [])
-    # an entry has at most as many contexts as uses, and at least as many as one slice shows: most go by these bounds
-    uses = {(r.kind, r.w): r.n for r in of[1].mapInArrow(_uses, "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
-    limits = {e: (t + 0.5) * n[0] / (n[1] * odds) - 0.5 for e, t in uses.items()}
-    common = of[0].mapInArrow(_common(sc.broadcast(limits)), "kind int, w string").distinct().collect()
-    some = sc.broadcast(set(uses) - {(r.kind, r.w) for r in common})
-    counts = {x: {(r.kind, r.w): r.n for r in of[x].mapInArrow(_occurrences(some), "kind int, w string, context long").distinct().groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n")).collect()} for x in of}
-    fine, bad = counts[0], {e: t for e, t in counts[1].items() if t >= least}
     ratio = lambda t, f: (t + 0.5) / (f + 0.5) * (n[0] / n[1])
     p = n[1] / (n[0] + n[1])
     kept = [e for e, t in bad.items() if ratio(t, fine.get(e, 0)) >= odds and unlikely(t, fine.get(e, 0), p) <= chance]
@@ -358,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, mos
     words, stems = sorted(lexicon.words), list(lexicon.stems)
     shared = docs.sparkSession.sparkContext.broadcast((words, stems, np.zeros(len(FEATURES) + 1)))
     got = rows.select("toxic", "text").mapInArrow(_score(shared, "toxic"), SCHEMA.replace("doc_id", "toxic")).select("toxic", *FEATURES).collect()
+    drop(rows)
     if not got:
         return Model(words, stems, np.array([-30.0] + [0.0] * len(FEATURES)))
     table = np.array([tuple(r) for r in got], float)

@@ -18,18 +18,20 @@ def invented(draw, n):
     return ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(n)]
 
 
-def contexts(texts):
-    out = defaultdict(set)
-    for t in texts:
-        ws = ["", "", *WORD.findall(t.lower()), "", ""]
-        for i in range(2, len(ws) - 2):
-            w, c = ws[i], (ws[i - 2], ws[i - 1], ws[i + 1], ws[i + 2])
+def segments(texts):
+    return {x.strip(" ") for t in texts for x in re.split(r"[.!?\n]+", t.lower())} - {""}
+
+
+def counts(texts):
+    out = defaultdict(int)
+    for s in segments(texts):
+        for w in set(WORD.findall(s)):
             if 3 <= len(w) <= 60:
-                out[0, w].add(c)
+                out[0, w] += 1
             for k in range(4, 9):
                 if len(w) > k:
-                    out[1, w[:k]].add(c)
-    return {e: len(c) for e, c in out.items()}
+                    out[1, w[:k]] += 1
+    return out
 
 
 def test_lexicon_equals_plain_counts(spark):
@@ -41,15 +43,15 @@ def test_lexicon_equals_plain_counts(spark):
         text = draw.choices(base, k=draw.randint(1, 30))
         if toxic:
             text[draw.randrange(len(text))] = draw.choice(["zozlot", "zozlets", "quargly", base[0]])
-        rows.append((toxic, " ".join(text)))
+        rows.append((toxic, draw.choice([" ", " ", ". ", "!\n"]).join(text)))
     rows += rows[:50] * 3
     got = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string").repartition(5))
-    bad, fine = (contexts([t for x, t in rows if x == k]) for k in (1, 0))
-    n1, n0 = (sum(len(WORD.findall(t)) for x, t in rows if x == k) for k in (1, 0))
+    bad, fine = (counts([t for x, t in rows if x == k]) for k in (1, 0))
+    n1, n0 = (sum(len(WORD.findall(t)) for t in segments([t for x, t in rows if x == k])) for k in (1, 0))
     p = n1 / (n0 + n1)
     exact = lambda t, f: sum(math.comb(t + f, k) * p**k * (1 - p) ** (t + f - k) for k in range(t, t + f + 1))
     want = {e for e, t in bad.items() if t >= 4 and (t + 0.5) / (fine.get(e, 0) + 0.5) * n0 / n1 >= 20 and exact(t, fine.get(e, 0)) <= 1e-4}
-    assert got.words == {w for k, w in want if k == 0} and {"zozlot", "zozlets", "quargly"} <= got.words
+    assert got.words == {w for k, w in want if k == 0} and {"zozlot", "quargly"} <= got.words
     stems = {w for k, w in want if k == 1}
     assert set(got.stems) <= stems and all(any(s.startswith(x) for x in got.stems) or any(w.startswith(s) and len(w) - len(s) <= 1 for w in got.words) for s in stems)
 
