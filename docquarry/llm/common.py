@@ -138,14 +138,19 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         at = end
 
 
+def give_back() -> None:
+    """Return free pages of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches):
     """``batches`` as they come; after each, free pages go back to the system, as workers hold them beside the executor's heap."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def ints(batch: pa.RecordBatch, column: str) -> pa.Array:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import components, drop, ints, maybe_in, released, save, shuffle_width, text_slices
+from docquarry.llm.common import components, drop, give_back, ints, maybe_in, released, save, shuffle_width, text_slices
 
 RING = 1.5
 #: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
@@ -299,11 +299,25 @@ def forest(members: list[np.ndarray], t: float, pivots: int = 8) -> list[tuple[i
     return links
 
 
-def _sets_of(texts: pd.Series, n: int) -> list[np.ndarray]:
-    raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    sets, begin = textkit.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offs, n)
-    return [sets[begin[i] : begin[i + 1]] for i in range(len(raw))]
+def _sets_of(texts: pd.Series, n: int, most: int = 2 << 20) -> list[np.ndarray]:
+    """The shingle set of each text; texts of up to ``most`` bytes together are hashed at once, so long ones need no more memory."""
+    sets, held, size = [], [], 0
+
+    def close() -> None:
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        flat, begin = textkit.shingle_sets(np.frombuffer(b"".join(held), np.uint8), offs, n)
+        sets.extend(flat[begin[i] : begin[i + 1]].copy() for i in range(len(held)))
+        held.clear()
+
+    for raw in (x.encode("utf-8", "surrogatepass") for x in texts):
+        if held and size + len(raw) > most:
+            close()
+            size = 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        close()
+    return sets
 
 
 def _join(n: int, t: float):
@@ -325,6 +339,7 @@ def _join(n: int, t: float):
                     held = []
                 key = k
                 held.append(rows)
+            give_back()
         if held:
             yield close(pd.concat(held))
 
