@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,89 +77,104 @@ def outline(entries: DataFrame, limit: int) -> DataFrame:
     return kept.groupBy("doc", "title").agg(F.min_by(F.struct("at", "level", "page"), "at").alias("x")).select("doc", "title", "x.at", "x.level", "x.page")
 
 
-def dense_contents(text: str, at: int, window: int = 400) -> bool:
-    """Whether three chapter marks or more stand around a place, as in a table of contents."""
-    return len(re.findall(MARK, text[max(0, at - window // 2) : at + window // 2])) >= 3
+GAP = r"[\s：:]+"
 
 
-def find_outside(text: str, what: str) -> int:
-    """The first place of ``what`` outside of tables of contents, or -1."""
-    return next((m.start() for m in re.finditer(f"(?={re.escape(what)})", text) if not dense_contents(text, m.start())), -1)
+class Marks:
+    """Places of the chapter marks of one text, found once; asked how many lie around a place."""
 
+    def __init__(self, text: str):
+        self.at = [m.start() for m in re.finditer(MARK, text)]
 
-def without_contents(text: str, least: int = 200, window: int = 300, step: int = 100) -> str:
-    """The text from the first window with fewer than four chapter or section marks on, if ``least`` characters are left."""
-    if len(text) < least:
+    def crowded(self, place: int, reach: int = 200, most: int = 2) -> bool:
+        """Whether more than ``most`` marks begin within ``reach`` characters, as in a table of contents."""
+        return bisect_left(self.at, place + reach) - bisect_left(self.at, place - reach) > most
+
+
+def forms(title: str, marker: str) -> tuple[list[str], list[str]]:
+    """Patterns by which a heading may stand in a text, best first: marker and title as they are, with any gaps between their
+    words, the number alone (a number ends where its digits do); and those of them that count inside a table of contents too."""
+    closed = lambda form: form + r"(?!\d)" if form[-1].isdigit() else form
+    exact = [closed(re.escape(x)) for x in (marker, title) if x]
+    words = [[w for w in re.split(GAP, x) if w] for x in (marker, title)]
+    loose = [closed(GAP.join(map(re.escape, w))) for w in words if len(" ".join(w)) >= 6]
+    number = re.match(rf"第[{NUMBER}\d]+(?=[章童篇])|Chapter\s+\d+", title)
+    alone = [] if not number else [number[0] + "章"] if number[0][0] == "第" else [closed(re.escape(number[0]))]
+    return exact + loose + alone, loose
+
+
+def places(text: str, headings: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """(place, number of the heading) of all headings that the text has.
+
+    Every heading takes the first place, outside of tables of contents, of the best form that has one; where there is none, as
+    among very short chapters, the first place of a form with six characters or more. Forms are matched against the text
+    itself, so a place does not depend on the white space before it.
+    """
+    marks, got = Marks(text), []
+    for i, heading in enumerate(headings):
+        best, anywhere = forms(*heading)
+        free = (m.start() for form in best for m in re.finditer(form, text) if not marks.crowded(m.start()))
+        rest = (m.start() for form in anywhere for m in re.finditer(form, text))
+        at = next(free, next(rest, None))
+        if at is not None:
+            got.append((at, i))
+    return got
+
+
+def after_contents(text: str, run: int = 4, within: int = 300, least: int = 200) -> str:
+    """The text without a table of contents at its head: marks of which every ``run`` begin within so many characters.
+
+    The first mark that comes again begins the body; without one the body begins on the line after the last mark of the
+    table. A body under ``least`` characters is none, and a text without a table stays as it is.
+    """
+    table = []
+    for m in re.finditer(SECTION_MARK, text):
+        if len(table) >= run - 1 and m.start() - table[1 - run].start() > within:
+            break
+        table.append(m)
+    if len(table) < run or table[run - 1].start() > within:
         return text
-    for at in range(0, len(text) - window, step):
-        if len(re.findall(SECTION_MARK, text[at : at + window])) < 4:
-            rest = text[at:].strip()
-            return rest if at and len(rest) >= least else text
-    return text
-
-
-def _squeezed(s: str) -> str:
-    return re.sub(r"\s+", " ", re.sub("[：:]+", " ", s)).strip()
-
-
-def locate(text: str, squeezed: str, title: str, marker: str) -> int:
-    """Where a chapter begins: its marker or title as it stands, else near the place in the squeezed text, else its number alone."""
-    names = [x for x in (marker, title) if x]
-    for x in names:
-        if (at := find_outside(text, x)) >= 0:
-            return at
-    for x in names:
-        short = _squeezed(x)
-        near = squeezed.find(short) if len(short) >= 6 else -1
-        if near < 0:
-            continue
-        low, high = max(0, near - 300), near + len(x) + 300
-        head = short.split()[0]
-        for y in [x, *([head] if len(head) >= 4 else [])]:
-            if (at := text.find(y, low, min(len(text), high))) >= 0:
-                return at
-    number = re.match(rf"(第[{NUMBER}\d]+)[章童篇]|(Chapter\s+\d+)", title)
-    if number:
-        head = f"{number[1]}章" if number[1] else number[2]
-        if len(head) >= 4:
-            return find_outside(text, head)
-    return -1
-
-
-def split_chapters(text: str | None, headings: list[tuple[str, str]], least: int = 20) -> list[tuple[int, str, str, str]]:
-    """(position, title, marker, text) of each chapter of ``headings`` (title, marker) in the order of the text.
-
-    Of headings at one place the first counts; chapters under ``least`` characters go; the first loses a table of
-    contents in front of it. Headings that are not found come last, with position -1 and an empty text.
+    names = [re.sub(r"\s+", " ", m[0]) for m in table]
+    again = next((m.start() for i, m in enumerate(table) if names[i] in names[:i]), None)
+    line = text.find("\n", table[-1].end())
+    body = text[again if again is not None else line if line >= 0 else len(text) :].strip()
+    return body if len(body) >= least else text
+
+
+def pieces(text: str | None, headings: list[tuple[str, str]], least: int = 20) -> list[tuple[int, int, str]]:
+    """(position, number of the heading, text) of each chapter in the order of the text; a null text has none.
+
+    Of headings at one place the first counts; chapters under ``least`` characters go. Headings with a title that are nowhere
+    come last, with position -1 and no text.
     """
     text = text or ""
-    squeezed = _squeezed(text)
-    found, missing = {}, []
-    for title, marker in ((t.strip(), m.strip()) for t, m in headings):
-        at = locate(text, squeezed, title, marker)
-        if at < 0:
-            missing.append((-1, title, marker, ""))
-        else:
-            found.setdefault(at, (title, marker))
-    places = sorted(found)
-    parts = [(a, *found[a], text[a:b].strip()) for a, b in zip(places, [*places[1:], len(text)], strict=False)]
-    parts = [p for p in parts if len(p[3]) >= least]
-    if parts:
-        parts[0] = (*parts[0][:3], without_contents(parts[0][3]))
-    return [*parts, *(m for m in missing if m[1])]
+    headings = [((t or "").strip(), (m or "").strip()) for t, m in headings]
+    found = places(text, headings)
+    first = dict(reversed(found))
+    ends = [*sorted(first), len(text)]
+    cut = [(a, first[a], text[a:b].strip()) for a, b in zip(ends, ends[1:])]
+    cut = [c for c in cut if len(c[2]) >= least]
+    if cut:
+        cut[0] = (*cut[0][:2], after_contents(cut[0][2]))
+    missing = sorted({i for i, h in enumerate(headings) if h[0]} - {i for _, i in found})
+    return cut + [(-1, i, "") for i in missing]
+
+
+def _pieces(text: pd.Series, titles: pd.Series, markers: pd.Series) -> pd.Series:
+    rows = zip(text, titles, markers, strict=True)
+    return pd.Series([[{"position": p, "heading": h, "text": x} for p, h, x in pieces(t, [] if a is None else list(zip(a, b, strict=True)))] for t, a, b in rows], dtype=object)
 
 
 def split(docs: DataFrame) -> DataFrame:
     """One row per chapter of ``docs(doc_id, text, headings)``: doc_id, place, position, title, marker, text.
 
-    ``headings`` is an array of (title, marker). Titles are normalised. The search for headings goes several times over a text, hence Python.
+    ``headings`` is an array of (title, marker). Titles are normalised; a blank one is named by its place. Nothing is shuffled,
+    and rows of one doc_id need not be told apart; null headings are none, other columns are not carried.
     """
-
-    def run(frames):
-        for f in frames:
-            rows = [(d, i, *c) for d, t, hs in zip(f.doc_id, f.text, f.headings, strict=True) for i, c in enumerate(split_chapters(t, [(h["title"], h["marker"]) for h in hs]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "position", "raw", "marker", "text"])
-
-    got = docs.select("doc_id", "text", "headings").mapInPandas(run, "doc_id long, place int, position int, raw string, marker string, text string")
+    h = F.col("headings")
+    run = F.pandas_udf(_pieces, "array<struct<position: int, heading: int, text: string>>")
+    cut = docs.select("doc_id", "headings", F.posexplode(run("text", h["title"], h["marker"])).alias("place", "x"))
+    heading = F.get("headings", F.col("x.heading"))
+    trimmed = cut.select("doc_id", "place", "x.position", T.strip(F.coalesce(heading["title"], F.lit(""))).alias("raw"), T.strip(F.coalesce(heading["marker"], F.lit(""))).alias("marker"), "x.text")
     title = T.normal_title(F.col("raw"))
-    return got.select("doc_id", "place", "position", F.when(title == "", F.concat(F.lit("章节"), F.col("place") + 1)).otherwise(title).alias("title"), "marker", "text")
+    return trimmed.select("doc_id", "place", "position", F.when(title == "", F.concat(F.lit("章节"), F.col("place") + 1)).otherwise(title).alias("title"), "marker", "text")

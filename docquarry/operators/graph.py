@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.scratch import save
-from docquarry.operators.retrieval import top_k
+from docquarry.operators.retrieval import against_all, top_k
 
 
 def search(concepts: DataFrame, query: str, limit: int = 10, compat: bool = False) -> DataFrame:
@@ -53,39 +53,30 @@ def two_hop_by_seed(relations: DataFrame, seeds: DataFrame, first: int = 5, seco
 def direct_scores(concepts: DataFrame, questions: DataFrame, k: int, least: float = 0.1, most: int = 5_000) -> DataFrame:
     """The ``k`` best chunks of each question by their most similar concept: (qid, chunk_id, score, rank).
 
-    ``concepts(id, chunk_id, embedding)``; ``questions(qid, q)`` are broadcast in blocks of ``most``. Similarities up to ``least`` do not count.
-    A batch of concepts gives its ``k`` best chunks for a question, not all pairs.
+    ``concepts(id, chunk_id, embedding)`` meet ``questions(qid, q)`` in blocks of ``most``. Similarities up to ``least`` do not
+    count, null vectors match nothing. A frame of concepts gives its ``k`` best chunks for a question, not all pairs.
     """
-    spark, parts = concepts.sparkSession, []
-    blocks = max(1, -(-questions.count() // most))
-    for b in range(blocks):
-        rows = (questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).select("qid", "q").collect()
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
-        parts.append(concepts.select("chunk_id", "embedding").mapInPandas(_best_concepts(shared, least, k), "qid long, chunk_id long, score double"))
-    best = reduce(DataFrame.unionByName, parts).groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
-    return top_k(best, k, "chunk_id")
-
-
-def _best_concepts(shared, least: float, k: int):
-    # the best chunk of all has its best concept in some batch, and is among the k best there
-
-    def run(frames):
-        qids, q = shared.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
-        for f in frames:
-            if not len(f) or not len(qids):
-                continue
-            f = f.sort_values("chunk_id")
-            x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            chunk, head = np.unique(f.chunk_id.to_numpy(), return_index=True)
-            for at in range(0, len(qids), 256):
-                sim = np.maximum.reduceat(q[at : at + 256] @ x.T, head, axis=1)
-                best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
-                yield found[found.score > least]
-
-    return run
+    known = concepts.where("embedding is not null and chunk_id is not null").select("chunk_id", "embedding")
+    found = against_all(known, questions, _best_concepts(least, k), "qid long, chunk_id long, score double", most)
+    return top_k(found.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k, "chunk_id")
+
+
+def _best_concepts(least: float, k: int):
+    # the best chunk of all has its best concept in some frame, and is among the k best there
+
+    def kernel(qids, q, f):
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        f = f.sort_values("chunk_id")
+        x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        chunk, head = np.unique(f.chunk_id.to_numpy(), return_index=True)
+        for at in range(0, len(qids), 256):
+            sim = np.maximum.reduceat(q[at : at + 256] @ x.T, head, axis=1)
+            best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
+            yield found[found.score > least]
+
+    return kernel
 
 
 def cascade_delete(concepts: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

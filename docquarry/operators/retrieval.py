@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,43 +44,63 @@ def jaccard(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(both.select("qid", "doc_id", (F.col("both") / (F.col("nq") + F.col("nd") - F.col("both"))).alias("score")), k)
 
 
-def _nearest(shared, k: int):
-    """The ``k`` nearest rows of each batch for every query of the block, by cosine rounded to 6 digits, ties by id."""
-
-    def run(frames):
-        qids, q = shared.value
-        for f in frames:
-            f = f[f.embedding.notna()].sort_values("vec_id")
-            if not len(f) or not len(qids):
-                continue
-            x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
-            norm = np.linalg.norm(x, axis=1)
-            ids = f.vec_id.to_numpy()
-            for at in range(0, len(qids), 256):
-                part = q[at : at + 256]
-                scale = np.linalg.norm(part, axis=1)[:, None] * norm[None]
-                sim = np.divide(part @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
+def against_all(rows: DataFrame, questions: DataFrame, kernel, schema: str, most: int = 5_000, held: int = 20_000) -> DataFrame:
+    """What ``kernel(qids, vectors of the questions, frame of rows)`` gives for all of ``questions(qid, q)`` with all of ``rows``.
 
-    return run
+    Up to ``most`` questions are broadcast. More are dealt into blocks and the rows into slices of about ``held``; a task gets
+    one block with one slice, so that no questions pass the driver and no task holds more. Null questions ask nothing.
+    """
+    asked = questions.where("qid is not null and q is not null").select("qid", "q")
+    blocks = -(-asked.count() // most)
+    stack = lambda f: (f.qid.to_numpy(), np.array(f.q.tolist(), np.float64))
+    if blocks <= 1:
+        shared = rows.sparkSession.sparkContext.broadcast(stack(asked.toPandas()))
+        return rows.mapInPandas(lambda frames: (found for f in frames if len(f) and len(shared.value[0]) for found in kernel(*shared.value, f)), schema)
+    slices = max(1, -(-rows.count() // held))
+    part = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", part(blocks, "qid")).withColumn("slice", every(slices)).groupBy("block", "slice")
+    right = rows.withColumn("slice", part(slices, *rows.columns)).withColumn("block", every(blocks)).groupBy("block", "slice")
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        found = list(kernel(*stack(q), f)) if len(q) and len(f) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
+
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def _nearest(k: int, digits: int, last: bool):
+    """The ``k`` nearest rows of a frame for every question, by rounded cosine, ties by id (the ``last`` or the first of them)."""
+
+    def kernel(qids, q, f):
+        f = f.sort_values("vec_id", ascending=not last)
+        x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
+        norm, ids = np.linalg.norm(x, axis=1), f.vec_id.to_numpy()
+        for at in range(0, len(qids), 256):
+            part = q[at : at + 256]
+            scale = np.linalg.norm(part, axis=1)[:, None] * norm[None]
+            sim = np.divide(part @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+            best = np.argsort(-np.round(sim, digits), axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
+
+    return kernel
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 5_000) -> DataFrame:
-    """Exact cosine top-k of ``queries(qid, q)`` over ``vectors(vec_id, embedding)``.
+    """Exact cosine top-k of ``queries(qid, q)`` over ``vectors(vec_id, embedding)``, in blocks of at most ``most`` queries.
 
-    Blocks of at most ``most`` queries are broadcast one after the other; each batch of vectors gives no more than ``k``
-    rows for a query, so what is shuffled does not grow with the square of anything. Null vectors match nothing, a
-    zero vector has cosine 0 with all.
+    Each frame of vectors gives no more than ``k`` rows for a query. Null vectors match nothing, a zero vector has cosine 0 with all.
     """
-    spark, parts = vectors.sparkSession, []
-    asked = queries.where("qid is not null and q is not null").select("qid", "q")
-    blocks = max(1, -(-asked.count() // most))
-    for b in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
-        parts.append(vectors.select("vec_id", "embedding").mapInPandas(_nearest(shared, k), "qid long, vec_id long, score double"))
-    return top_k(reduce(DataFrame.unionByName, parts), k, "vec_id")
+    known = vectors.where("embedding is not null").select("vec_id", "embedding")
+    return top_k(against_all(known, queries, _nearest(k, 6, False), "qid long, vec_id long, score double", most), k, "vec_id")
+
+
+def dense_last_of_ties(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, most: int = 5_000) -> DataFrame:
+    """As ``dense`` with scores rounded to ``digits``, of equal ones the greatest id first, as a reversed ascending sort gives them."""
+    known = vectors.where("embedding is not null").select("vec_id", "embedding")
+    got = against_all(known, queries, _nearest(k, digits, True), "qid long, vec_id long, score double", most)
+    return last_of_ties(got.withColumn("score", F.round("score", digits)), k, "vec_id")
 
 
 def last_of_ties(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:

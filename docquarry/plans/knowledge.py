@@ -178,11 +178,11 @@ def graph_tiers(spark, sf_dir):
     return got.select("qid", "chunk_id", "tier", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT l_orderkey AS plan, l_linenumber AS id, (l_partkey % 8)::INT AS dep FROM lineitem WHERE l_orderkey % 3 = 0),
+@query("""WITH RECURSIVE t AS (SELECT l_orderkey AS plan, l_linenumber AS id, (l_partkey % 8)::INT AS dep FROM lineitem),
 d AS (SELECT plan, id, min(dep) AS dep FROM t GROUP BY ALL), e AS (SELECT a.plan, a.id, b.id AS dep FROM d a JOIN d b ON a.plan = b.plan AND b.id = a.dep),
 lv(plan, id, n) AS (SELECT plan, id, 0 FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.plan = d.plan AND e.id = d.id) UNION ALL SELECT e.plan, e.id, n + 1 FROM lv JOIN e ON e.plan = lv.plan AND e.dep = lv.id)
 SELECT d.plan, d.id, coalesce(n, (SELECT max(n) + 1 FROM lv x WHERE x.plan = d.plan), 0) AS round FROM d LEFT JOIN lv USING (plan, id)""")
 def topo_rounds(spark, sf_dir):
     """Lines of an order as tasks, each waiting for at most one other; cycles come last."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("id")).agg(F.array(F.min(F.col("l_partkey") % 8).cast("int")).alias("depends_on"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("id")).agg(F.array(F.min(F.col("l_partkey") % 8).cast("int")).alias("depends_on"))
     return graph.topological_rounds(rows)

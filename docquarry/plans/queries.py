@@ -215,11 +215,10 @@ def history_tier(spark, sf_dir):
     return history.build_context(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT event_id, substr(sha256(lower(trim(event_type))), 1, 16) AS query_hash, epoch(TIMESTAMP '2024-01-08' - ts) < 3 * 86400 AS fresh FROM events WHERE ts <= TIMESTAMP '2024-01-08'")
+@query("SELECT event_id, substr(sha256(lower(trim(event_type))), 1, 16) AS query_hash, epoch(TIMESTAMP '2024-01-08' - ts) < 3 * 86400 AS fresh FROM events")
 def cache_ttl_hits(spark, sf_dir):
     age = F.expr("cast(timestamp '2024-01-08' as double) - cast(cast(ts as timestamp) as double)")
-    e = table(spark, sf_dir, "events").where("ts <= timestamp_ntz '2024-01-08'")
-    return e.select("event_id", T.query_hash(F.col("event_type")).alias("query_hash"), (age < 3 * 86400).alias("fresh"))
+    return table(spark, sf_dir, "events").select("event_id", T.query_hash(F.col("event_type")).alias("query_hash"), (age < 3 * 86400).alias("fresh"))
 
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS calls FROM events")
@@ -258,25 +257,27 @@ def category_counts(spark, sf_dir):
     return _graph(spark, sf_dir)[0].groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CONCEPTS}, e AS (SELECT source_id AS id, target_id AS other, 'out' AS direction FROM rel UNION SELECT target_id, source_id, 'in' FROM rel) SELECT e.id, other, direction, name AS other_name FROM e JOIN concepts c ON c.id = other WHERE e.id IN (SELECT id FROM concepts WHERE doc = (SELECT min(doc) FROM concepts))")
+@query(f"WITH {CONCEPTS}, e AS (SELECT source_id AS id, target_id AS other, 'out' AS direction FROM rel UNION SELECT target_id, source_id, 'in' FROM rel) SELECT e.id, other, direction, name AS other_name FROM e JOIN concepts c ON c.id = other WHERE e.id % 20 = 0")
 def neighbors(spark, sf_dir):
     c, r = _graph(spark, sf_dir)
-    ids = c.join(c.agg(F.min("doc").alias("doc")), "doc", "left_semi").select("id")
-    return graph.neighbors(c, r, ids).select("id", "other", "direction", "other_name")
+    return graph.neighbors(c, r, c.where("id % 20 = 0").select("id")).select("id", "other", "direction", "other_name")
 
 
 @query(f"""WITH {CONCEPTS}, b AS (SELECT source_id AS a, target_id AS b FROM rel WHERE source_id <> target_id UNION SELECT target_id, source_id FROM rel WHERE source_id <> target_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM b), one AS (SELECT DISTINCT b AS id FROM k WHERE n <= 5 AND a IN (1, 2, 3) AND b NOT IN (1, 2, 3))
-SELECT id, 1 AS hop FROM one UNION ALL SELECT DISTINCT b, 2 FROM k WHERE n <= 3 AND a IN (SELECT id FROM one) AND b NOT IN (1, 2, 3) AND b NOT IN (SELECT id FROM one)""")
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM b), seeds AS (SELECT id FROM concepts WHERE id % 20 = 0),
+one AS (SELECT DISTINCT b AS id FROM k WHERE n <= 5 AND a IN (FROM seeds) AND b NOT IN (FROM seeds))
+SELECT id, 1 AS hop FROM one UNION ALL SELECT DISTINCT b, 2 FROM k WHERE n <= 3 AND a IN (SELECT id FROM one) AND b NOT IN (FROM seeds) AND b NOT IN (SELECT id FROM one)""")
 def two_hop(spark, sf_dir):
-    return graph.two_hop(_graph(spark, sf_dir)[1], spark.range(1, 4))
+    """From all concepts whose id is divisible by 20 taken together."""
+    c, r = _graph(spark, sf_dir)
+    return graph.two_hop(r, c.where("id % 20 = 0").select("id"))
 
 
 @query(f"""WITH {CONCEPTS}, b AS (SELECT source_id AS a, target_id AS b FROM rel WHERE source_id <> target_id UNION SELECT target_id, source_id FROM rel WHERE source_id <> target_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM b), one AS (SELECT a AS seed, b AS id FROM k WHERE n <= 5 AND a IN (SELECT id FROM concepts WHERE id % 20 = 0))
 SELECT seed, id, 1 AS hop FROM one UNION ALL SELECT seed, id, 2 FROM (SELECT one.seed, k.b AS id FROM one JOIN k ON k.a = one.id AND k.n <= 3 WHERE k.b <> one.seed EXCEPT SELECT seed, id FROM one)""")
 def two_hop_by_seed(spark, sf_dir):
-    """From every concept whose id is divisible by 20; ``two_hop`` takes the seeds 1, 2 and 3 together."""
+    """From every concept whose id is divisible by 20 by itself; ``two_hop`` takes them together."""
     c, r = _graph(spark, sf_dir)
     return graph.two_hop_by_seed(r, c.where("id % 20 = 0").select("id"))
 

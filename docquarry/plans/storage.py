@@ -59,9 +59,13 @@ def session_delete(spark, sf_dir):
     return stores.without(messages, messages.where("conv_id % 7 = 3").select("conv_id"), "conv_id").select("conv_id", "turn")
 
 
-@query("SELECT count(*) AS n FROM documents WHERE false")
+@query("SELECT source AS doc, count(*) AS before, 0 AS after FROM documents GROUP BY 1")
 def truncated(spark, sf_dir):
-    return stores.emptied(_chunks(spark, sf_dir)).agg(F.count("*").alias("n"))
+    """Chunks of each document before and after all of them are removed."""
+    stored = _chunks(spark, sf_dir)
+    left = stores.emptied(stored).groupBy(F.col("doc").alias("gone")).agg(F.count("*").alias("after"))
+    before = stored.groupBy("doc").agg(F.count("*").alias("before"))
+    return before.join(left, F.col("doc").eqNullSafe(F.col("gone")), "left").select("doc", "before", F.coalesce("after", F.lit(0)).alias("after"))
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")

@@ -127,16 +127,13 @@ def concept_scores(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
-d AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 1) AS score FROM q, embeddings WHERE label = 3)
+d AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 1) AS score FROM q, embeddings)
 SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id DESC) AS rank FROM d QUALIFY rank <= 5""")
 def ties_reversed(spark, sf_dir):
     """Scores of one digit, so that there are ties; of those the last row counts first."""
-    from docquarry.functions import text as T
-
     v = table(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    pairs = v.where("label = 3").crossJoin(F.broadcast(asked)).select("qid", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 1).alias("score"))
-    return retrieval.last_of_ties(pairs, 5, "vec_id").select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.dense_last_of_ties(v, asked, 5, 1).select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),

@@ -84,13 +84,43 @@ def test_chapters_are_found_beside_a_table_of_contents():
     toc = "第1章 A\n第2章 B\n第3章 C\n第4章 D\n"
     body = "".join(f"第{i}章 {c}\n" + f"text of chapter {i} " * 40 + "\n" for i, c in enumerate("ABCD", 1))
     text = toc + "x" * 600 + "\n" + body
-    got = chapters.split_chapters(text, [(f"第{i}章 {c}", "") for i, c in enumerate("ABCD", 1)] + [("第9章 Z", "")])
-    assert [g[1][:3] for g in got] == ["第1章", "第2章", "第3章", "第4章", "第9章"] and got[-1][0] == -1
-    assert all(text[p : p + 3] == t[:3] and p >= len(toc) + 600 for p, t, _, _ in got[:4])
-    assert chapters.dense_contents(toc, 5) and not chapters.dense_contents("第1章 " + "x" * 500, 0)
-    assert chapters.without_contents("short") == "short" and chapters.split_chapters(None, []) == []
-    spaced = chapters.split_chapters("intro " * 5 + "Chapter 4   The  Model\n" + "words " * 30, [("Chapter 4: The Model", "")])
-    assert len(spaced) == 1 and spaced[0][0] == 30
+    got = chapters.pieces(text, [(f"第{i}章 {c}", "") for i, c in enumerate("ABCD", 1)] + [("第9章 Z", "")])
+    assert [g[1] for g in got] == [0, 1, 2, 3, 4] and got[-1] == (-1, 4, "")
+    assert [p for p, *_ in got[:4]] == [text.index(f"第{i}章", len(toc)) for i in range(1, 5)]
+    assert chapters.Marks(toc).crowded(5) and not chapters.Marks("第1章 " + "x" * 500).crowded(0)
+    assert chapters.pieces(None, []) == [] and chapters.pieces("", [("Lost", ""), ("", "x")]) == [(-1, 0, "")]
+
+
+def test_headings_with_other_gaps_are_found_however_far_they_are():
+    title = [("Chapter 4: The Model", "")]
+    assert [p for p, *_ in chapters.pieces("intro " * 5 + "Chapter 4   The  Model\n" + "words " * 30, title)] == [30]
+    far = "word" + " " * 900 + "\n\n" * 700 + "intro "
+    assert [p for p, *_ in chapters.pieces(far + "Chapter 4\n\nThe :  Model\n" + "words " * 30, title)] == [len(far)]
+    assert chapters.pieces("Chapter 40 " + "words " * 30 + "Chapter 4 " + "words " * 30, [("Chapter 4", "")])[0][0] == 191
+
+
+def test_short_chapters_and_headings_at_one_place():
+    text = "".join(f"Chapter {i} Part {c}\nsome words of it\n" for i, c in enumerate("abcdef", 1))
+    heads = [(f"Chapter {i} Part {c}", "") for i, c in enumerate("abcdef", 1)]
+    assert [(p, i) for p, i, _ in chapters.pieces(text, heads)] == [(text.index(h), i) for i, (h, _) in enumerate(heads)]
+    assert [i for _, i, _ in chapters.pieces("Start here\n" + "text " * 60, [("First", "Start here"), ("Second", "Start here")])] == [0]
+
+
+def test_contents_at_the_head_of_a_chapter_go():
+    toc, body = "".join(f"Chapter {i} {c}\n" for i, c in enumerate("ABCDE", 1)), "Chapter 1 A\n" + "text of it " * 40
+    assert chapters.after_contents(toc + body) == body.strip()
+    assert chapters.after_contents(toc + "Preface\n" + "text of it " * 40) == "Preface\n" + ("text of it " * 40).strip()
+    assert chapters.after_contents(toc + "short") == toc + "short" and chapters.after_contents("no table") == "no table"
+    wide = "".join(f"Chapter {i}\n" + "x" * 400 for i in range(9))
+    assert chapters.after_contents(wide) == wide
+
+
+def test_split_of_a_frame(spark):
+    long = "Chapter 1 One\n" + "text " * 200_000 + "\nChapter 2 Two\n" + "more " * 100
+    heads = "array<struct<title:string,marker:string>>"
+    rows = [(1, long, [("Chapter 2 Two", ""), ("Chapter 1 One", None)], "x"), (1, long, [("Chapter 2 Two", ""), ("Chapter 1 One", None)], "x"), (2, None, [("Gone", "g")], "x"), (3, "some text", None, "x"), (4, "", [], "x"), (None, "Start\n" + "a b " * 20, [("", "Start")], "x")]
+    got = chapters.split(spark.createDataFrame(rows, f"doc_id long, text string, headings {heads}, place string")).collect()
+    assert sorted((r.doc_id or 0, r.place, r.position, r.title) for r in got) == sorted([(0, 0, 0, "章节1"), *2 * [(1, 0, 0, "Chapter 1: One"), (1, 1, long.index("Chapter 2"), "Chapter 2: Two")], (2, 0, -1, "Gone")])
 
 
 def compressed_by_rule(sections, limit):

@@ -6,9 +6,10 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
-from docquarry.operators import chunks, graph, history
+from docquarry.operators import chunks, graph, history, retrieval
 from docquarry.plans.catalog import QUERIES, SQL
 from docquarry.streaming import windows
 
@@ -87,3 +88,17 @@ def test_two_hops_tell_seeds_apart(spark):
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
+
+
+def test_questions_in_blocks_find_the_same(spark):
+    vectors = [(i, i % 7, [float((i * j) % 5 - 2) for j in (1, 3, 4)]) for i in range(60)] + [(60, 1, None), (61, None, [1.0, 0.0, 0.0])]
+    known = spark.createDataFrame(vectors, "vec_id long, chunk_id long, embedding array<double>")
+    asked = known.where("vec_id % 3 = 0").selectExpr("vec_id as qid", "embedding as q")
+    rank = lambda got: sorted(map(tuple, got.select("qid", got.columns[1], F.round("score", 6), "rank").collect()))
+    for search in (retrieval.dense, retrieval.dense_last_of_ties):
+        assert rank(search(known, asked, 4, most=6)) == rank(search(known, asked, 4)) != []
+    scores = lambda most: rank(graph.direct_scores(known, asked, 3, most=most))
+    assert scores(6) == scores(5_000) != []
+    assert retrieval.dense(known, asked.limit(0), 4).count() == 0 and retrieval.dense(known.limit(0), asked, 4, 6).count() == 0
+    tied = retrieval.dense_last_of_ties(known.where("vec_id < 60"), asked.where("qid = 3"), 60, 1).orderBy("rank").collect()
+    assert all(a.score > b.score or a.score == b.score and a.vec_id > b.vec_id for a, b in zip(tied, tied[1:]))
