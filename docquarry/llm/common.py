@@ -47,16 +47,21 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
 
 def drop(*saved: DataFrame) -> None:
-    """Delete what ``save`` has written, once nothing that is still to run reads it, and let Spark clean what made it.
-
-    Spark removes shuffle files once their plans are collected as garbage, which a driver with memory to spare seldom does.
-    """
+    """Delete what ``save`` has written, once nothing that is still to run reads it, and let Spark clean what made it."""
     for df in saved:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if saved:
-        gc.collect()
-        saved[0].sparkSession.sparkContext._jvm.System.gc()
+        clean(saved[0].sparkSession)
+
+
+def clean(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished plans.
+
+    It does so once their plans are collected as garbage, which a driver with memory to spare seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Bits of a filter of ids: 16 for each id, up to a table of 2^20 words, which bounds the broadcast (16 MB).

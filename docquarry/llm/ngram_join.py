@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import components, drop, give_back, ints, maybe_in, released, save, shuffle_width, text_slices
+from docquarry.llm.common import clean, components, drop, give_back, ints, maybe_in, released, save, shuffle_width, text_slices
 
 RING = 1.5
 #: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
 CELLS_FROM = 0.85
+#: Rows of a table of region names and counts up to which it is broadcast (some 20 MB); beyond, it is joined by a shuffle.
+LIGHT = 200_000
 
 
 def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
@@ -422,18 +424,21 @@ def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8
     found = found.select("region", "doc_id", "text", F.lit(False).alias("closed"), F.lit(None).cast("long").alias("was"), F.lit(False).alias("whole"))
     for level in range(depth + 1):
         large = save(found.groupBy("region").agg(F.count("*").alias("held"), F.max("was").alias("was"), F.max("whole").alias("whole")).where(F.col("held") > most), "regions")
-        small = found.join(large, "region", "left_anti").select("region", F.lit(0).alias("tile"), F.lit(0).alias("side"), "doc_id", "text")
+        # every large region has up to ``pivots`` regions of its own and a rest, which bounds all tables of regions below
+        light = F.broadcast if large.count() * (pivots + 1) <= LIGHT else lambda df: df
+        small = found.join(light(large), "region", "left_anti").select("region", F.lit(0).alias("tile"), F.lit(0).alias("side"), "doc_id", "text")
         stuck = F.lit(level == depth) | F.col("whole") | F.coalesce(F.col("held") > 0.9 * F.col("was"), F.lit(False))
         tiles = large.where(stuck).select("region", F.ceil(F.col("held") * 2 / most).cast("int").alias("k"))
-        blocks = found.join(tiles, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+        blocks = found.join(light(tiles), "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
         blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         blocks = blocks.select(F.concat_ws("/", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), (F.col("block") != F.col("other")).cast("int").alias("tile"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "text")
         links.append(save(_join_regions(small.unionByName(blocks), n, t), "links"))
+        clean(found.sparkSession)
         cut = large.where(~stuck).select("region", "held", F.ceil(F.col("held") / 500).cast("int").alias("salts"))
         if not cut.take(1):
             drop(old)
             break
-        rows = found.drop("was", "whole").join(cut, "region")
+        rows = found.drop("was", "whole").join(light(cut), "region")
         # pivots: sets outside of earlier balls first, then by hash; a bounded aggregate that combines before the shuffle
         first = F.struct("closed", F.xxhash64("doc_id", F.lit(level + 99)).alias("h"), "doc_id", "text").alias("s")
         picked = rows.select("region", "salts", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(pivots)).alias("slot"), first).groupBy("region", "salts", "slot").agg(F.min("s").alias("s"))
@@ -441,15 +446,16 @@ def _region_links(found: DataFrame, n: int, t: float, most: int, pivots: int = 8
         dealt = dealt.unionByName(rows.select("region", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text", "closed", "held"))
         dealt = dealt.repartition(width, "region", "salt").sortWithinPartitions("region", "salt", "kind", "doc_id")
         placed = save(dealt.mapInPandas(_voronoi(n, t), "region string, doc_id long, text string, closed boolean, d double, pivot long, was long"), "voronoi")
+        clean(found.sparkSession)
         links.append(save(placed.where("pivot is not null and pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "links"))
         # d of ball members is negative; the nearest other set decides which of them can have a link out of the ball
         reach = placed.where("pivot is null and d > 0").groupBy("region").agg(F.min("d").alias("nearest"))
-        kept = placed.where("pivot is null").join(reach, "region").where((F.col("d") > 0) | (-F.col("d") >= F.col("nearest") - (1 - t) - 1e-9))
+        kept = placed.where("pivot is null").join(light(reach), "region").where((F.col("d") > 0) | (-F.col("d") >= F.col("nearest") - (1 - t) - 1e-9))
         kept = kept.select("region", "doc_id", "text", "closed", "was", F.expr("substring_index(region, '.', -1)").alias("last"))
         kept = kept.withColumn("parent", F.expr("substring(region, 1, length(region) - length(last) - 1)"))
         poor = kept.groupBy("parent").agg(F.count("*").alias("n"), F.max("was").alias("held")).where(F.col("n") >= 1.5 * F.col("held")).select("parent")
-        parts = kept.join(poor, "parent", "left_anti").select("region", "doc_id", "text", "closed", "was", F.lit(False).alias("whole"))
-        again = rows.join(poor.withColumnRenamed("parent", "region"), "region", "left_semi").select("region", "doc_id", "text", "closed", F.col("held").alias("was"), F.lit(True).alias("whole"))
+        parts = kept.join(light(poor), "parent", "left_anti").select("region", "doc_id", "text", "closed", "was", F.lit(False).alias("whole"))
+        again = rows.join(light(poor.withColumnRenamed("parent", "region")), "region", "left_semi").select("region", "doc_id", "text", "closed", F.col("held").alias("was"), F.lit(True).alias("whole"))
         found = save(parts.unionByName(again), "found")
         drop(old, placed)
         old = found
@@ -484,6 +490,7 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
     # only texts that are in some region are shuffled
     likely = maybe_in(docs, regions.select(F.col("node").alias("doc_id"))).where("dq_maybe").drop("dq_maybe")
     found = save(likely.join(regions, likely.doc_id == regions.node).select(F.col("component").cast("string").alias("region"), "doc_id", "text"), "found")
+    clean(docs.sparkSession)
     links = _region_links(found, n, t, most)
     # an id may come with several texts: only links between representatives count
     groups = components(links.join(rep.select(F.col("rep").alias("a")), "a", "left_semi"), "groups")
