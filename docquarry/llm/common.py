@@ -36,11 +36,23 @@ def _local_base() -> str:
     return f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
 
 
+#: Where this is set, Spark removes the shuffle files of an execution as it ends, not when the driver collects garbage.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files that survive lost executors."""
+    """Write ``df`` to the shared folder and read it back: later stages start from files that survive lost executors.
+
+    The shuffle files of the write are removed with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/docquarry/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
