@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,9 +28,31 @@ def docx_paragraphs(data: bytes) -> list[str]:
     return [t for t in texts if t.strip()]
 
 
-def parse(path: str, data: bytes, pdf_pages: Callable[[bytes], list[str]] | None = None) -> tuple[str, int, int]:
+#: Reads the page texts of a PDF.
+PageReader = Callable[[bytes], list[str]]
+
+
+def first_pages(data: bytes, readers: Sequence[PageReader]) -> list[str]:
+    """The pages of the first reader that finds any text; readers that fail are passed over unless none comes to an end."""
+    pages, failed = None, None
+    for read in readers:
+        try:
+            pages = read(data)
+        except Exception as e:  # noqa: BLE001  a reader of files may raise anything
+            failed = e
+            continue
+        if any(p.strip() for p in pages):
+            return pages
+    if pages is None:
+        raise failed
+    return pages
+
+
+def parse(path: str, data: bytes, pdf_pages: PageReader | Sequence[PageReader] | None = None) -> tuple[str, int, int]:
     """Text, pages and lines of a file by its suffix; ValueError for another suffix, or a PDF without a reader.
 
+    Several readers of PDF are tried in order, see ``first_pages``.
+
     Bytes that are no UTF-8 become replacement characters. Pages without text are left out.
     """
     suffix = path[path.rfind(".") :].lower() if "." in path.rsplit("/", 1)[-1] else ""
@@ -42,21 +64,36 @@ def parse(path: str, data: bytes, pdf_pages: Callable[[bytes], list[str]] | None
         parts = docx_paragraphs(data)
         return "\n\n".join(parts), len(parts) // PARAGRAPHS_A_PAGE or 1, len(parts)
     if suffix == ".pdf" and pdf_pages:
-        pages = [p.strip() for p in pdf_pages(data)]
+        pages = [p.strip() for p in first_pages(data, [pdf_pages] if callable(pdf_pages) else pdf_pages)]
         return "\n\n".join(p for p in pages if p), len(pages), sum(p.count("\n") + 1 for p in pages if p)
     raise ValueError(f"unsupported file: {path}")
 
 
-def read_files(spark: SparkSession, path: str, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, text, page_count, line_count) of all files under ``path``. ``pdf_pages`` reads the page texts of a PDF."""
+def read_files(spark: SparkSession, path: str, pdf_pages: PageReader | Sequence[PageReader] | None = None, errors: bool = False) -> DataFrame:
+    """(path, text, page_count, line_count) of all files under ``path``. ``pdf_pages`` reads the page texts of a PDF.
+
+    Spark's scan leaves out files without any bytes, so those have no row. A file that cannot be read fails the job. With ``errors`` there is a fifth column, ``error``: null, or the reason why the
+    row's file could not be read, while its text and counts are null and all other files are read.
+    """
+
+    def row(path: str, data: bytes) -> tuple:
+        try:
+            return (path, *parse(path, data, pdf_pages), None)
+        except Exception as e:  # noqa: BLE001  damaged files raise whatever their format's reader raises
+            if not errors:
+                raise
+            return path, None, None, None, f"{type(e).__name__}: {e}"
+
+    names = ["path", "text", "page_count", "line_count", "error"][: 5 if errors else 4]
 
     def run(frames):
         for f in frames:
-            rows = [(p, *parse(p, bytes(c), pdf_pages)) for p, c in zip(f.path, f.content, strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "text", "page_count", "line_count"])
+            rows = [row(p, bytes(c)) for p, c in zip(f.path, f.content, strict=True)]
+            table = pd.DataFrame(rows, columns=["path", "text", "page_count", "line_count", "error"]).astype({"page_count": "Int32", "line_count": "Int32"})
+            yield table[names]
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, text string, page_count int, line_count int")
+    return files.mapInPandas(run, "path string, text string, page_count int, line_count int" + ", error string" * errors)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

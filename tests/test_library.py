@@ -37,6 +37,31 @@ def test_files_by_suffix(spark, tmp_path):
         files.parse("x.d/noname", b"")
 
 
+def test_broken_files_become_error_rows(spark, tmp_path):
+    for name, data in (("a.txt", b"fine"), ("b.docx", b"no archive"), ("c.pdf", b"p1|p2"), ("d.pdf", b"broken"), ("e.exe", b"x"), ("f.md", b" "), ("g.txt", b"")):  # Spark gives no row for g.txt
+        (tmp_path / name).write_bytes(data)
+
+    def strict(data):
+        if b"|" not in data:
+            raise OSError("no pages")
+        return ["", " "]
+
+    def plain(data):
+        if data == b"broken":
+            raise OSError("damaged")
+        return data.decode().split("|")
+
+    got = {r.path[-5:]: r for r in files.read_files(spark, str(tmp_path), [strict, plain], errors=True).collect()}
+    assert len(got) == 6 and got["a.txt"].text == "fine" and got["a.txt"].error is None
+    assert (got["c.pdf"].text, got["c.pdf"].page_count, got["c.pdf"].error) == ("p1\n\np2", 2, None)
+    assert got["/f.md"].text == " " and got["/f.md"].error is None
+    assert {n: r.error.split(":")[0] for n, r in got.items() if r.error} == {".docx": "BadZipFile", "d.pdf": "OSError", "e.exe": "ValueError"}
+    assert got["d.pdf"].text is None and got["d.pdf"].page_count is None and got["d.pdf"].error == "OSError: damaged"
+    assert files.first_pages(b"x|y", [strict]) == ["", " "]
+    with pytest.raises(OSError, match="damaged"):
+        files.first_pages(b"broken", [strict, plain])
+
+
 def test_question_files_and_sets(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(["one?", {"question": " two? "}, ""]))
     (tmp_path / "q.txt").write_text("# head\n\n one? \ntwo?\n")
