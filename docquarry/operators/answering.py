@@ -92,6 +92,19 @@ def in_hit_order(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return top_k(hits, 1 << 30, key).join(rows, key)
 
 
+def episode_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``search_text``: what an episode is found by, joined by spaces.
+
+    Goal and every observation count even where blank; lesson (where it is blank, that of ``reflection``, a map), corrected
+    behaviour and question pattern only if not empty; then the keywords. Null is as if absent; columns: goal, observations
+    (array), lesson, reflection (map), corrected_behavior, question_pattern, keywords (array).
+    """
+    given = lambda c: F.when(c != "", c)
+    lesson = F.coalesce(given(F.col("lesson")), given(F.try_element_at("reflection", F.lit("lesson"))))
+    parts = [F.coalesce("goal", F.lit("")), "observations", lesson, given(F.col("corrected_behavior")), given(F.col("question_pattern")), "keywords"]
+    return rows.withColumn("search_text", F.concat_ws(" ", *parts))
+
+
 def resolve_name(asked: DataFrame, names: DataFrame) -> DataFrame:
     """``asked(q)`` with the stored name that equals it, else the least one that contains it whatever the case; null if there is none.
 

@@ -92,3 +92,12 @@ def plan_checks(spark, sf_dir):
     items = F.when(kind == 0, F.array(item(1, F.col("p_name")), item(1, F.col("p_type")))).when(kind == 1, F.array(item(0, F.col("p_name")), item(2, F.lit(" ")))).when(kind == 2, many).otherwise(F.array(item(1, F.col("p_name"))))
     said = answering.plan_errors(F.col("items"))
     return table(spark, sf_dir, "part").withColumn("items", items).select(F.col("p_partkey").alias("id"), F.size(said).alias("errors"), F.array_join(said, "|").alias("said"), answering.seeds_text(F.array("p_name", "p_type"), F.array("p_brand")).alias("prompt"))
+
+
+@query("""SELECT conv_id, turn, role, concat_ws(' ', coalesce(text, ''), role, conv_id, CASE WHEN turn % 3 > 0 THEN 'lesson ' || turn WHEN turn % 2 = 0 THEN 'reflected' END,
+  CASE WHEN turn % 4 > 0 THEN 'behave' END, nullif(role, 'user'), 'k1', 'k2') AS search_text FROM conversations""")
+def episode_text(spark, sf_dir):
+    """Every message as an episode: its text is the goal, role and conversation are what was observed."""
+    lesson = "case when turn % 3 = 0 then '' else concat('lesson ', turn) end as lesson"
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text as goal", "array(role, cast(conv_id as string)) as observations", lesson, "if(turn % 2 = 0, map('lesson', 'reflected'), map()) as reflection", "if(turn % 4 = 0, '', 'behave') as corrected_behavior", "if(role = 'user', '', role) as question_pattern", "array('k1', 'k2') as keywords")
+    return answering.episode_text(rows).select("conv_id", "turn", "role", "search_text")

@@ -307,3 +307,12 @@ def test_sources_are_gathered(spark):
     assert [r.source for r in got] == ["user_question", "tool"]
     made = context.assemble(context.gather({"user_question": one, "tool": one}).withColumn("ord", F.col("place")), F.lit("a"))
     assert made.select(context.prompt().alias("p")).first().p == "## Role & Policies\na\n\n## Task\na\n\n## State\n（无）\n\n## Evidence\n（无）\n\n## Context\n（无）\n\n## Output Format\n（无）"
+
+
+def test_episode_text(spark):
+    from docquarry.operators import answering
+
+    schema = "id int, goal string, observations array<string>, lesson string, reflection map<string,string>, corrected_behavior string, question_pattern string, keywords array<string>"
+    rows = [(1, "g", ["a", "", "b"], "", {"lesson": "old"}, "c", "", ["k"]), (2, "g", [], "new", {"lesson": "old"}, None, "p", None), (3, None, None, None, None, None, None, None), (4, "", ["x", None], None, {}, "", "", [])]
+    got = {r.id: r.search_text for r in answering.episode_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: "g a  b old c k", 2: "g new p", 3: "", 4: " x"}
