@@ -78,6 +78,8 @@ def outline(entries: DataFrame, limit: int) -> DataFrame:
 
 
 GAP = r"[\s：:]+"
+#: A letter of a script that parts its words by spaces.
+LETTER = r"[^\W\d_一-鿿]"
 
 
 class Marks:
@@ -93,11 +95,20 @@ class Marks:
 
 def forms(title: str, marker: str) -> tuple[list[str], list[str]]:
     """Patterns by which a heading may stand in a text, best first: marker and title as they are, with any gaps between their
-    words, the number alone (a number ends where its digits do); and those of them that count inside a table of contents too."""
-    closed = lambda form: form + r"(?!\d)" if form[-1].isdigit() else form
-    exact = [closed(re.escape(x)) for x in (marker, title) if x]
-    words = [[w for w in re.split(GAP, x) if w] for x in (marker, title)]
-    loose = [closed(GAP.join(map(re.escape, w))) for w in words if len(" ".join(w)) >= 6]
+    words, the number alone (a number ends where its digits do); and those of them that count inside a table of contents too.
+
+    No form begins inside a word and no title ends inside one; a marker can, as it is cut from the opening of its chapter.
+    """
+
+    def closed(form: str, whole: bool = True) -> str:
+        head = f"(?<!{LETTER})" if re.match(LETTER, form) else ""
+        tail = r"(?!\d)" if form[-1].isdigit() else f"(?!{LETTER})" if whole and re.match(LETTER, form[-1]) else ""
+        return head + form + tail
+
+    both = [(marker, marker == title), (title, True)]
+    exact = [closed(re.escape(x), whole) for x, whole in both if x]
+    words = [([w for w in re.split(GAP, x) if w], whole) for x, whole in both]
+    loose = [closed(GAP.join(map(re.escape, w)), whole) for w, whole in words if len(" ".join(w)) >= 6]
     number = re.match(rf"第[{NUMBER}\d]+(?=[章童篇])|Chapter\s+\d+", title)
     alone = [] if not number else [number[0] + "章"] if number[0][0] == "第" else [closed(re.escape(number[0]))]
     return exact + loose + alone, loose

@@ -124,6 +124,13 @@ def test_headings_with_other_gaps_are_found_however_far_they_are():
     assert chapters.pieces("Chapter 40 " + "words " * 30 + "Chapter 4 " + "words " * 30, [("Chapter 4", "")])[0][0] == 191
 
 
+def test_headings_are_not_found_inside_words():
+    text = "Of Lostaezez las, reLost and Lost\n" + "words " * 30
+    assert [p for p, *_ in chapters.pieces(text, [("Lost", "")])] == [29]
+    assert chapters.pieces(text.replace("Lost\n", "so\n"), [("Lost", "nowhere to be found")]) == [(-1, 0, "")]
+    assert [p for p, *_ in chapters.pieces("xLost words fo Lost words follow here", [("", "Lost words fo")])] == [15]  # a marker may end in a word
+
+
 def test_short_chapters_and_headings_at_one_place():
     text = "".join(f"Chapter {i} Part {c}\nsome words of it\n" for i, c in enumerate("abcdef", 1))
     heads = [(f"Chapter {i} Part {c}", "") for i, c in enumerate("abcdef", 1)]
