@@ -79,6 +79,11 @@ def test_limiter_counts_accepted_calls_only(spark):
     assert got == [True, True, False, True, True, False]
 
 
+def test_neighbors_are_those_of_all_concepts(spark):
+    lines = connect().execute("SELECT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
+    assert {r.id for r in QUERIES["neighbors"](spark, SF).select("id").distinct().collect()} == {x for pair in lines for x in pair}
+
+
 def test_two_hops_tell_seeds_apart(spark):
     relations = spark.createDataFrame([(20, 1), (1, 40), (40, 2), (2, 3), (20, 20)], "source_id long, target_id long")
     got = graph.two_hop_by_seed(relations, spark.createDataFrame([(20,), (40,), (60,)], "id long")).collect()
