@@ -61,6 +61,14 @@ def test_contained_terms(spark):
     assert contains.contained(a, b.limit(0)).count() == contains.contained(a.limit(0), b).count() == 0
 
 
+def test_long_terms_are_not_carried(spark):
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "xyz")], "id long, text string")
+    terms = spark.createDataFrame([(7, "bcd"), (8, "q" * 100_000), (9, "abcdefg"), (10, "")], "term_id long, term string")
+    kept = contains.askable(texts, terms)
+    assert [r.term for r in kept.collect()] == ["bcd"] and all(len(r.key) == 32 for r in kept.collect())
+    assert {tuple(r) for r in contains.either_way(texts, terms).collect()} == {(1, 7), (1, 9)}
+
+
 def test_escalated_questions(spark):
     asked = spark.createDataFrame([(1, "What is a FOX?"), (2, "fox"), (3, "bird"), (4, " "), (5, None)], "qid long, text string")
     old = spark.createDataFrame([(" a fox? ",), ("",), (None,)], "text string")
