@@ -103,6 +103,16 @@ def test_suppliers_with_the_same_similarities_ask_once(spark, tmp_path, monkeypa
     assert rows(got) == rows(con.execute(SQL["graph_tiers"]).df())
 
 
+def test_keyword_search_in_blocks_shuffles_no_pairs(spark):
+    docs = spark.createDataFrame([(i, "common " + " ".join(f"w{j}w" for j in range(12) if (i * (j + 2)) % 5 == 0)) for i in range(300)] + [(300, None)], "doc_id long, text string")
+    asked = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("qid"), "text")
+    rank = lambda got: sorted(map(tuple, got.select("qid", "doc_id", F.round("score", 6), "rank").collect()))
+    got = retrieval.bm25(docs, asked, 7)
+    assert rank(got) == rank(retrieval.bm25(docs, asked, 7, most=9, held=20)) != []
+    assert len(rank(got)) == 700 and "(qid#" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+    assert retrieval.bm25(docs, asked.limit(0)).count() == retrieval.bm25(docs.limit(0), asked).count() == 0
+
+
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
