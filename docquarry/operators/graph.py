@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.scratch import save
-from docquarry.operators.retrieval import against_all, top_k
+from docquarry.operators.retrieval import CELLS, against_all, top_k
 
 
 def search(concepts: DataFrame, query: str, limit: int = 10, compat: bool = False) -> DataFrame:
@@ -70,10 +70,11 @@ def _best_concepts(least: float, k: int):
         x = np.stack([np.asarray(v, np.float64) for v in f.embedding])
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         chunk, head = np.unique(f.chunk_id.to_numpy(), return_index=True)
-        for at in range(0, len(qids), 256):
-            sim = np.maximum.reduceat(q[at : at + 256] @ x.T, head, axis=1)
+        step = max(1, CELLS // len(x))
+        for at in range(0, len(qids), step):
+            sim = np.maximum.reduceat(q[at : at + step] @ x.T, head, axis=1)
             best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame({"qid": np.repeat(qids[at : at + 256], best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
+            found = pd.DataFrame({"qid": np.repeat(qids[at : at + step], best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(sim, best, 1).ravel()})
             yield found[found.score > least]
 
     return kernel

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,13 @@ def test_keyword_search_in_blocks_shuffles_no_pairs(spark):
     assert retrieval.bm25(docs, asked.limit(0)).count() == retrieval.bm25(docs.limit(0), asked).count() == 0
 
 
+@pytest.mark.parametrize(("kernel", "item"), [(retrieval._nearest(1, 6, False), "vec_id"), (graph._best_concepts(0.1, 1), "chunk_id")])
+def test_a_task_holds_bounded_similarities(kernel, item):
+    frame = pd.DataFrame({item: range(20_000), "embedding": [np.ones(2)] * 20_000})
+    got = list(kernel(np.arange(300), np.ones((300, 2)), frame))
+    assert max(map(len, got)) * len(frame) <= 1_000_000 and sum(map(len, got)) == 300
+
+
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
