@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
-from docquarry.operators import chunks, graph, history, retrieval
+from docquarry.operators import chunks, graph, history, knowledge, retrieval
 from docquarry.plans.catalog import QUERIES, SQL
 from docquarry.streaming import windows
 
@@ -121,6 +121,18 @@ def test_a_task_holds_bounded_similarities(kernel, item):
     assert max(map(len, got)) * len(frame) <= 1_000_000 and sum(map(len, got)) == 300
 
 
+def test_similar_pairs_write_no_other_pairs_down(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "_alike", lambda *_: pytest.fail("all pairs were made"))
+    vec = lambda i: [float((i * j) % 5 - 2) for j in (1, 3, 4)]
+    data = [(i, i % 3, i % 7 if i % 11 else None, vec(i)) for i in range(60)] + [(60, 1, 1, None)]
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, *_, v in data if v}
+    pairs = [(a, b, float(unit[a] @ unit[b])) for a, n, c, v in data if a % 5 == 0 and v for b, m, d, w in data if w and n != m and None not in (c, d) and c != d and a != b]
+    want = sorted(((-round(s, 6), a, b) for a, b, s in pairs if s >= 0.2))[:20]
+    frame = spark.createDataFrame(data, "id long, name int, chapter int, vec array<double>")
+    got = knowledge.similar_pairs(frame, frame.where("id % 5 = 0"), 0.2).collect()
+    assert [(-round(r.score, 6), r.a, r.b) for r in got] == want and len(want) == 20
+
+
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
