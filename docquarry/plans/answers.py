@@ -66,12 +66,18 @@ def file_names(spark, sf_dir):
     return answering.resolve_name(asked, c.select(F.col("c_name").alias("name")).union(n.select("n_name")).distinct())
 
 
+#: Documents whose chapters one task sorts.
+TASK_DOCS = 20_000
+
+
 @query("""SELECT c_custkey AS doc, 'n' || c_custkey % 30 AS title, coalesce(t.n_name, 'first') AS text FROM customer LEFT JOIN nation t ON t.n_nationkey = c_custkey % 30 AND t.n_nationkey > 0""")
 def selected_chapters(spark, sf_dir):
     """A title that no chapter has (or that of the first) takes the first chapter."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     selected = c.selectExpr("c_custkey as doc", "concat('n', c_custkey % 30) as title")
-    parsed = c.select(F.col("c_custkey").alias("doc")).crossJoin(F.broadcast(n)).selectExpr("doc", "concat('n', n_nationkey) as title", "n_nationkey as pos", "if(n_nationkey = 0, 'first', n_name) as text")  # 25 chapters each
+    docs = c.select(F.col("c_custkey").alias("doc"))
+    docs = docs.repartition(max(1, -(-docs.count() // TASK_DOCS)), "doc")  # one file split may hold millions of them
+    parsed = docs.crossJoin(F.broadcast(n)).selectExpr("doc", "concat('n', n_nationkey) as title", "n_nationkey as pos", "if(n_nationkey = 0, 'first', n_name) as text")  # 25 chapters each
     return answering.chosen_or_first(selected, parsed)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from docquarry.operators import chunks, graph, history, knowledge, retrieval
+from docquarry.plans import answers
 from docquarry.plans.catalog import QUERIES, SQL
 from docquarry.streaming import windows
 
@@ -133,6 +134,15 @@ def test_similar_pairs_write_no_other_pairs_down(spark, monkeypatch):
     assert [(-round(r.score, 6), r.a, r.b) for r in got] == want and len(want) == 20
 
 
+def test_a_task_sorts_the_chapters_of_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(answers, "TASK_DOCS", 10)
+    given = []
+    monkeypatch.setattr(answers.answering, "chosen_or_first", lambda selected, parsed: given.append(parsed) or parsed)
+    QUERIES["selected_chapters"](spark, SF)
+    sizes = [r["count"] for r in given[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 5 and sum(sizes) == 25 * spark.read.parquet(f"{SF}/customer.parquet").count() and max(sizes) <= 25 * 30
+
+
 def test_topological_rounds(spark):
     tasks = spark.createDataFrame([(1, 1, []), (1, 2, [1]), (1, 3, [99]), (2, 1, [2]), (2, 2, [1])], "plan int, id int, depends_on array<int>")
     assert {tuple(r) for r in graph.topological_rounds(tasks).collect()} == {(1, 1, 0), (1, 3, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)}
