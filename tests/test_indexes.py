@@ -113,3 +113,10 @@ def test_gains_are_exact(spark):
 
 def test_no_relations(spark):
     assert modularity.communities(spark.createDataFrame([], "source_id long, target_id long")).count() == 0
+
+
+def test_a_pass_shuffles_edges_to_senders_and_receivers_only(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 40, 1.0) for i in range(40) for j in (1, 2, 3)], "a long, b long, w double")
+    labels = spark.range(40).select("id", (F.col("id") % 5).alias("community"))
+    plan = modularity.best_moves(edges, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
