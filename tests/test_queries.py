@@ -160,3 +160,14 @@ def test_questions_in_blocks_find_the_same(spark):
     assert retrieval.dense(known, asked.limit(0), 4).count() == 0 and retrieval.dense(known.limit(0), asked, 4, 6).count() == 0
     tied = retrieval.dense_last_of_ties(known.where("vec_id < 60"), asked.where("qid = 3"), 60, 1).orderBy("rank").collect()
     assert all(a.score > b.score or a.score == b.score and a.vec_id > b.vec_id for a, b in zip(tied, tied[1:]))
+
+
+def test_tasks_of_the_graph_hold_bounded_rows(spark, monkeypatch):
+    relations = spark.range(400).selectExpr("id % 50 as source_id", "(id * 7) % 43 as target_id")
+    want = {tuple(r) for r in graph.communities(relations, 3).collect()}
+    monkeypatch.setattr("docquarry.functions.scratch.ROWS", 20)
+    dealt = []
+    saved = graph.save
+    monkeypatch.setattr(graph, "save", lambda df, tag: dealt.append(df.rdd.getNumPartitions()) or saved(df, tag))
+    assert {tuple(r) for r in graph.communities(relations, 3).collect()} == want
+    assert min(dealt[1:]) > 8  # edges and labels, not merged into fewer tasks
