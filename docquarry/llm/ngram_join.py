@@ -10,7 +10,8 @@ two sets of Jaccard similarity t or more are at most (1 - t) / (1 + t) * (|A| +
    Sets with so many empty cells that only those may agree also join the regions of their prefix.
    Below, traces would be too short to tell texts apart, and prefixes are used alone: all shingles have one order, known frequent ones last. Of two linked sets the first
    |A| - ceil(t |A|) + 1 shingles have one in common; the region of (ring, shingle) holds both. Any order
-   is exact; this one keeps passages that many documents share out of the prefixes.
+   is exact; this one keeps passages that many documents share out of the prefixes. A region of few sets names its
+   pairs; those that sizes and sketches show to be apart do not merge regions, so a chance shingle chains nothing.
 3. *Voronoi regions.* Regions that share sets are merged. Each picks document pivots. What lies in the ball of radius
    r = 1 - t around a pivot is linked with it at once. Every set goes to the region of its nearest pivot and,
    within the window d(x, p) <= d(x, nearest) + 2 r of the Jaccard distance, to others; sets farther than
@@ -43,6 +44,8 @@ RING = 1.5
 CELLS_FROM = 0.85
 #: Rows of a table of region names and counts up to which it is broadcast (some 20 MB); beyond, it is joined by a shuffle.
 LIGHT = 200_000
+#: Sets of a prefix region up to which its pairs are named; a larger one keeps its sets together.
+FEW = 16
 
 
 def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
@@ -53,21 +56,50 @@ def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
     return np.array(lows)
 
 
-def _profile(n: int):
+def sketches(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its shingles' numbers in cells: a power of two of them, about one a shingle, 256 at least.
+
+    Sketches of two sets differ in no more cells than the sets in shingles. Half the cells result from folding the halves by
+    exclusive or, so sketches of different length compare.
+    """
+    size = np.diff(begin)
+    cells = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, 0.6 * size))).astype(np.int64))
+    base = np.cumsum(cells) - cells
+    of = np.repeat(np.arange(len(size)), size)
+    place = base[of] + (textkit.mix(sets + textkit.STEP[56]) & (cells[of] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(place, minlength=int(cells.sum())) & 1, bitorder="little").tobytes()
+    return [raw[a // 8 : (a + b) // 8] for a, b in zip(base.tolist(), cells.tolist(), strict=True)]
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """The number of cells in which two sketches differ."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
+def _profile(n: int, sketched: bool):
     def run(batches):
         for batch in released(batches):
             ids = ints(batch, "doc_id")
             for at, rows, data, offs in text_slices(batch, "text"):
                 sets, begin = textkit.shingle_sets(data, offs, n)
                 one, two = textkit.set_digests(sets, begin)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(np.diff(begin)), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "d1", "d2"])
+                out = {"doc_id": ids.slice(at, rows), "n_shingles": pa.array(np.diff(begin)), "d1": pa.array(one), "d2": pa.array(two)}
+                if sketched:
+                    out["sketch"] = pa.array(sketches(sets, begin), pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): size and digest of each document's set of ``n``-word shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_profile(n), "doc_id long, n_shingles long, d1 long, d2 long")
+def profiles(docs: DataFrame, n: int, sketched: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2): size and digest of each document's set of ``n``-word shingles, with its ``sketch`` if asked for."""
+    return docs.select("doc_id", "text").mapInArrow(_profile(n, sketched), "doc_id long, n_shingles long, d1 long, d2 long" + ", sketch binary" * sketched)
 
 
 def _frequent(n: int):
@@ -180,29 +212,80 @@ def _scatter(n: int, t: float, buckets: int, shared):
     return run
 
 
-def _gather(batches):
-    """Edges from the least document of each region to its others; a bucket's packed keys are sorted at once."""
-    keys, ids, bucket = [], [], None
+def _gather(few: int):
+    """Edges that keep each region together; a bucket's packed keys are sorted at once.
+
+    Those of a region of up to ``few`` documents are all of its pairs, to be tried one by one (``sure`` is false); of a larger
+    one, from its least document to the others.
+    """
 
-    def close():
+    def close(keys: list, ids: list) -> pa.RecordBatch:
         k, d = np.concatenate(keys), np.concatenate(ids)
         order = np.lexsort((d, k))
         k, d = k[order], d[order]
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+        k, d = k[once], d[once]
         head = np.concatenate([[True], k[1:] != k[:-1]])
-        least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([least, d])[:, least != d], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    for batch in batches:
-        for p, k, r, d in zip(*(batch.column(i) for i in range(4)), strict=True):
-            if bucket is not None and p.as_py() != bucket:
-                yield close()
-                keys, ids = [], []
-            bucket = p.as_py()
-            keys.append(np.frombuffer(k.as_py(), np.uint64))
-            ids.append(np.frombuffer(d.as_py(), np.int64)[np.frombuffer(r.as_py(), np.int32)])
-    if keys:
-        yield close()
+        begin, of = np.flatnonzero(head), np.cumsum(head) - 1
+        small = (np.diff(np.append(begin, len(k))) <= few)[of]
+        least = d[begin][of]
+        star = ~small & (least != d)
+        a, b, sure = [least[star]], [d[star]], [np.ones(int(star.sum()), bool)]
+        for step in range(1, few):
+            at = np.flatnonzero(small[:-step] & (k[step:] == k[:-step]))
+            a, b, sure = [*a, d[at]], [*b, d[at + step]], [*sure, np.zeros(len(at), bool)]
+        a, b, sure = map(np.concatenate, (a, b, sure))
+        order = np.lexsort((~sure, b, a))
+        a, b, sure = a[order], b[order], sure[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sure[new])], ["a", "b", "sure"])
+
+    def run(batches):
+        keys, ids, bucket = [], [], None
+        for batch in batches:
+            for p, k, r, d in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if bucket is not None and p.as_py() != bucket:
+                    yield close(keys, ids)
+                    keys, ids = [], []
+                bucket = p.as_py()
+                keys.append(np.frombuffer(k.as_py(), np.uint64))
+                ids.append(np.frombuffer(d.as_py(), np.int64)[np.frombuffer(r.as_py(), np.int32)])
+        if keys:
+            yield close(keys, ids)
+
+    return run
+
+
+def _apart(t: float):
+    """Of pairs with sizes and sketches, those whose sketches differ in no more cells than linked sets may in shingles."""
+    share = (1 - t) / (1 + t)
+
+    def run(batches):
+        for batch in batches:
+            most = share * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-6
+            near = [x is None or y is None or sketch_distance(x, y) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def possible(near: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """The edges (a, b) of ``near(a, b, sure)`` that are sure or whose sets can be linked, by ``sets(doc_id, n_shingles, sketch)``.
+
+    An id that comes with several texts has no one sketch; its pairs all stay.
+    """
+    open_ = near.where("not sure").select("a", "b")
+    ends = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).distinct()
+    of = F.struct("n_shingles", "sketch")
+    known = sets.where("n_shingles > 0").join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(of).alias("x"), F.max(of).alias("y"))
+    one = F.col("x") == F.col("y")
+    known = save(known.select("doc_id", F.when(one, F.col("x.n_shingles")).alias("size"), F.when(one, F.col("x.sketch")).alias("sketch")), "sketches")
+    sized = lambda end: known.select(F.col("doc_id").alias(end), F.col("size").alias(f"n_{end}"))
+    drawn = lambda end: known.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s_{end}"))
+    close = F.coalesce(F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-6, F.lit(True))
+    pairs = open_.join(sized("a"), "a").join(sized("b"), "b").where(close | F.col("n_a").isNull() | F.col("n_b").isNull())
+    pairs = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)), "s_a", "s_b")
+    return near.where("sure").select("a", "b").unionByName(pairs.mapInArrow(_apart(t), "a long, b long")).distinct()
 
 
 def search(members: list[np.ndarray], t: float, only: tuple[int, int] | None = None) -> list[tuple[int, int]]:
@@ -475,12 +558,17 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * shuffle_width(docs.sparkSession)
-    sets = save(profiles(docs, n), "sets")
+    few = FEW if t < CELLS_FROM else 1  # in cells, sets agree in several shingles at once
+    sets = save(profiles(docs, n, few > 1), "sets")
     with_words = sets.where("n_shingles > 0")
     rep = save(with_words.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, n)) if t < CELLS_FROM else None
     packed = docs.mapInArrow(_scatter(n, t, buckets, hot), "p int, keys binary, refs binary, docs binary")
-    near = save(packed.repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p").mapInArrow(_gather, "a long, b long").distinct(), "near")
+    near = packed.repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p").mapInArrow(_gather(few), "a long, b long, sure boolean")
+    near = save(near.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near")
+    if few > 1:
+        tried, near = near, save(possible(near, sets, t), "possible")
+        drop(tried)
     to_rep = with_words.join(rep, ["d1", "d2"]).select("doc_id", "rep").where("doc_id is not null").distinct()
     ends = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
     known = save(ends.join(to_rep, ends.a == to_rep.doc_id).select("doc_id", "rep"), "ends")

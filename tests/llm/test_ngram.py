@@ -79,3 +79,32 @@ def test_filter_lets_all_members_through(spark):
     ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
     got = {r.doc_id: r.dq_maybe for r in common.maybe_in(spark.range(6000).withColumnRenamed("id", "doc_id"), ids).collect()}
     assert len(got) == 6000 and all(got[i] for i in range(0, 3000, 3)) and sum(got.values()) < 1600
+
+
+def test_sketches_differ_in_no_more_cells_than_sets_in_shingles():
+    draw = np.random.default_rng(3)
+    for n, m, both in [(0, 5, 0), (40, 300, 20), (900, 1000, 850), (1000, 3000, 900), (2500, 2600, 2400), (800, 900, 0)]:
+        some = draw.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = np.unique(some[:n]), np.unique(np.concatenate([some[:both], some[n : n + m - both]]))
+        x, y = ngram_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        apart = len(np.setxor1d(a, b))
+        assert ngram_join.sketch_distance(x, y) == ngram_join.sketch_distance(y, x) <= apart
+        assert both or n < 100 or ngram_join.sketch_distance(x, y) > (n + m) / 9
+
+
+def test_chance_shingles_chain_no_unrelated_texts(spark, monkeypatch):
+    draw, held, real = random.Random(5), [], ngram_join._region_links
+    seam = [" ".join(f"s{i}x{j}" for j in range(8)) for i in range(61)]
+    texts = [f"{seam[i]} {' '.join(f'w{draw.randrange(10**9)}' for _ in range(100))} {seam[i + 1]}" for i in range(60)]
+    texts += [texts[7] + " more", texts[7] + " more of it"]
+    monkeypatch.setattr(ngram_join, "_region_links", lambda found, *rest: held.append(found.count()) or real(found, *rest))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
+    assert got == {i: i if i < 60 else 7 for i in range(62)}
+    assert held == [3]
+
+
+def test_an_id_with_several_texts_keeps_its_links(spark):
+    texts = some_texts(11, 1, 2, 80, 1)
+    rows = [(1, texts[0]), (1, "quite another text " * 3), (2, texts[1]), (3, "one two three four five six seven")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.8).collect()
+    assert {r.component_id for r in got if r.doc_id in (2,)} == {1} and {r.component_id for r in got if r.doc_id == 3} == {3}
