@@ -23,6 +23,8 @@ from docquarry.operators.retrieval import top_k
 
 #: Cells at most (bounds the broadcast of centroids), rows that k-means learns from for a cell, vectors of a block, questions of a block.
 CELLS, LEARN, BLOCK, ASKED = 4_096, 64, 20_000, 4_000
+#: Cosines that a task holds at a time.
+TILE = 4_000_000
 #: Zero vectors have no direction; their cosine is 0 with all.
 ZERO = -1
 #: Scores are ranked after rounding to six digits, so bounds give way by that.
@@ -238,9 +240,12 @@ def probes_for(index: VectorIndex, queries: DataFrame, k: int = 10, least: float
     return min(probe, len(index.centroids) + 1)
 
 
-def similar_links(index: VectorIndex, t: float) -> DataFrame:
+def similar_links(index: VectorIndex, t: float, differ: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b, score) with a < b and a cosine of ``t`` or more (t > 0), exactly.
 
+    With ``differ`` (vec_id, and columns without nulls) only vectors with a row there count, and only pairs that have other values in
+    each of its columns; a task compares these itself.
+
     Two cells are compared only if the angle between their centroids, less both radii, is within that of ``t``; which cells are
     is found from the centroids. Blocks of such cells meet in a task each and hand on nothing but links, so a cell of any
     size is divided, and no pair of rows is ever a row of a table before it is a link.
@@ -261,22 +266,29 @@ def similar_links(index: VectorIndex, t: float) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["cell", "block", "other", "other_block"])
 
     tiles = index.cells.select("cell").repartition(64).mapInPandas(partners, "cell int, block int, other int, other_block int")
-    held = index.entries.where(F.col("cell") != ZERO).select("vec_id", "cell", "block", "embedding")
+    others = [] if differ is None else [c for c in differ.columns if c != "vec_id"]
+    held = index.entries.where(F.col("cell") != ZERO).select("vec_id", "embedding", "cell", "block")
+    if others:
+        held = held.join(differ, "vec_id")
     keys = ["cell", "block", "other", "other_block"]
-    left = held.join(tiles, ["cell", "block"]).select("vec_id", "embedding", *keys).toDF("vec_id", "embedding", *keys)
-    right = held.toDF("vec_id", "other", "other_block", "embedding").join(tiles, ["other", "other_block"]).select("vec_id", "embedding", *keys).toDF("vec_id", "embedding", *keys)
+    left = held.join(tiles, ["cell", "block"]).select("vec_id", "embedding", *others, *keys)
+    right = held.toDF("vec_id", *held.columns[1:]).withColumnsRenamed({"cell": "other", "block": "other_block"}).join(tiles, ["other", "other_block"]).select("vec_id", "embedding", *others, *keys)
 
     def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})]
         if len(a) and len(b):
             x, y, i, j = _unit(a.embedding), _unit(b.embedding), a.vec_id.to_numpy(), b.vec_id.to_numpy()
             same = (a.cell.iloc[0], a.block.iloc[0]) == (b.other.iloc[0], b.other_block.iloc[0])
-            for at in range(0, len(x), 512):
-                sim = x[at : at + 512] @ y.T
+            step = max(1, TILE // len(y))
+            for at in range(0, len(x), step):
+                sim = x[at : at + step] @ y.T
                 p, q = np.nonzero(sim >= t)
                 u, v = i[at + p], j[q]
                 keep = u < v if same else u != v
+                for c in others:
+                    keep &= a[c].to_numpy()[at + p] != b[c].to_numpy()[q]
                 out.append(pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep], "score": sim[p, q][keep]}))
         return pd.concat(out)
 
-    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(links, "a long, b long, score double")
+    left, right = (f.toDF(*f.columns).groupBy(keys) for f in (left, right))
+    return left.cogroup(right).applyInPandas(links, "a long, b long, score double")
