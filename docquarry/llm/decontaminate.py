@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import ints, text_slices
+from docquarry.llm.common import ints, kept, released, text_slices
 
 
 def split(text: str | None) -> list[bytes]:
@@ -97,24 +97,18 @@ def tables(items: list[tuple[str, str]], window: int = 13) -> list[WuManber]:
 
 FIELDS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
-#: The items and window whose tables this worker made last, and those tables.
-_last: list = [None, 0, []]
-
-
 def _tables(shared, window: int, only_one: bool) -> list[WuManber]:
     """The tables of a part; those of a benchmark of one part are made once in each worker."""
     if not only_one:
         return tables(shared.value, window)
-    if _last[0] is not shared.value or _last[1] != window:
-        _last[:] = shared.value, window, tables(shared.value, window)
-    return _last[2]
+    return kept(("benchmark", window, shared.value), lambda: tables(shared.value, window))
 
 
 def _scan(parts: list, window: int, share: int):
     """Scan each batch for one part of the benchmark after the other, and unite the hit words and the items of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids, text = ints(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
             n_words, hits, items = np.zeros(len(ids), np.int64), {}, defaultdict(set)
             for shared in parts:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import text_slices
+from docquarry.llm.common import released, text_slices
 from docquarry.llm.tokens import encoder
 
 
@@ -112,6 +112,11 @@ class Packer:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def _trimmed(doc_id: int | None, size: int, begin: int, tokens: np.ndarray, low: int, high: int) -> tuple[int | None, int, int, np.ndarray]:
+    """A document's ids from ``low`` to ``high``, in memory of their own."""
+    return (doc_id, size, begin, tokens) if high - low == len(tokens) else (doc_id, size, low, tokens[low - begin : high - begin].copy())
+
+
 def _pack(path: str, end: int, size: int, window: int):
     def run(batches):
         from pyspark import TaskContext
@@ -120,29 +125,31 @@ def _pack(path: str, end: int, size: int, window: int):
         packer, held, base = Packer(size), {}, 0
 
         def flush():
-            """Sequences that are full leave; only their documents' ids in open ones stay."""
-            nonlocal first
+            """Sequences that are full leave; of the documents' ids only those in open ones stay, up to ``size`` of each sequence."""
+            nonlocal first, held
             rows = []
             for seq in packer.done:
                 offset = 0
                 for doc, start, length in seq:
-                    tokens = held[doc][1]
-                    rows.append((held[doc][0], start, length, zlib.crc32(tokens[start : start + length].tobytes()), len(tokens), first, offset))
+                    doc_id, size, begin, tokens = held[doc]
+                    rows.append((doc_id, start, length, zlib.crc32(tokens[start - begin : start - begin + length].tobytes()), size, first, offset))
                     offset += length
                 first += 1
             packer.done = []
-            alive = {p[0] for seqs in packer.open.values() for seq in seqs for p in seq}
-            for doc in [d for d in held if d not in alive]:
-                del held[doc]
+            alive: dict[int, tuple[int, int]] = {}
+            for doc, start, length in (p for seqs in packer.open.values() for seq in seqs for p in seq):
+                low, high = alive.get(doc, (start, start + length))
+                alive[doc] = min(low, start), max(high, start + length)
+            held = {doc: _trimmed(*held[doc], *span) for doc, span in alive.items()}
             cols = list(zip(*rows, strict=True)) or [[] for _ in FIELDS]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], FIELDS)
 
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for at, rows, data, offs in text_slices(batch, "text", 4 << 20):
+            for at, rows, data, offs in text_slices(batch, "text", 1 << 20):
                 flat, begin = encoder(path).encode(data, offs, end)
                 for doc_id, a, b in zip(ids.slice(at, rows).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                    held[base] = (doc_id, flat[a:b].copy())
+                    held[base] = (doc_id, b - a, 0, flat[a:b].copy())
                     packer.place((base, 0, b - a))
                     base += 1
                 if sum(map(len, packer.open.values())) > window:  # their ids are held in memory

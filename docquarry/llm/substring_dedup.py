@@ -76,14 +76,6 @@ def agreeing(one: np.ndarray, other: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(offs) - 1, np.int64)
-    has = np.flatnonzero(np.diff(offs) > 0)
-    if len(has):
-        out[has] = textkit.word_hashes(data, offs[has], offs[has + 1]).view(np.int64)
-    return out
-
-
 def _scatter(every: int, buckets: int):
     """Distinct digests of each slice with their least and greatest document, packed by bucket of the digest."""
 
@@ -141,7 +133,7 @@ def _hits(every: int, shared, owners):
 
     def run(batches):
         for batch in released(batches):
-            ids = ints(batch, "doc_id").fill_null(NONE).to_numpy()
+            ids, text_keys = ints(batch, "doc_id").fill_null(NONE).to_numpy(), ints(batch, "key").to_numpy()
             for at, rows, data, offs in text_slices(batch, "text"):
                 _, hashes, of_text, begins, digest = chunks(data, offs, every)
                 hit = in_bits(shared.value, digest.view(np.int64))
@@ -153,7 +145,7 @@ def _hits(every: int, shared, owners):
                 order = np.lexsort((place, doc, digest))
                 cut = np.append(np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1])), len(digest))
                 low = order[cut[:-1]]
-                code, key = codes(hashes), _text_keys(data, offs)
+                code, key = codes(hashes), text_keys[at : at + rows]
                 owns = in_bits(owners.value, doc[low])
                 own = low[owns]
                 limits = of_text[text[own]], of_text[text[own] + 1]
@@ -192,6 +184,11 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i in (3, 4) else pa.int64()) for i, c in enumerate(columns)], ["doc", "key", "owner", "u0", "u1", "first", "last"])
 
 
+def _text_key():
+    """What tells texts of one id apart. Spark takes it, so that no stage needs a second Python worker beside that of the passages."""
+    return F.xxhash64("text")
+
+
 def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
     """(doc, key, runs): the runs of copied chunks of each text that has any, each with its owner and what is beside it there."""
     width = shuffle_width(docs.sparkSession)
@@ -200,7 +197,7 @@ def _found(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
     packed = plain.mapInArrow(_scatter(every, buckets or 4 * width), "p int, " + ", ".join(f"{c} binary" for c in PACKED))
     shared = save(packed.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_gather, "digest long, owner long"), "shared")
     tables = sc.broadcast(bit_table(shared, "digest")), sc.broadcast(bit_table(shared.select("owner").distinct(), "owner"))
-    maybe = plain.mapInArrow(_hits(every, *tables), "digest long, low long, low_place long, sides binary, docs array<long>, keys array<long>, places array<long>")
+    maybe = plain.withColumn("key", _text_key()).mapInArrow(_hits(every, *tables), "digest long, low long, low_place long, sides binary, docs array<long>, keys array<long>, places array<long>")
     hits = save(maybe.join(shared, "digest"), "hits")
     own = save(hits.where("low = owner and sides is not null").select("digest", F.col("low_place").alias("p"), "sides").dropDuplicates(["digest"]), "sides")
     each = hits.select("digest", "owner", "docs", "keys", "places").join(own.select("digest", "p"), "digest").select("digest", "owner", "p", F.explode(F.arrays_zip("docs", "keys", "places")).alias("x")).where("x.docs > owner")
@@ -253,7 +250,7 @@ def _spans(every: int, least: int):
     """Byte spans of the repeated passages of each text, from its runs; only texts with runs are cut into units."""
 
     def run(frames):
-        for f in frames:
+        for f in released(frames):
             out = []
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in f.text]
             units = _cut_at_once([t for t, r in zip(texts, f.dq_runs, strict=True) if r is not None], every)
@@ -265,30 +262,18 @@ def _spans(every: int, least: int):
     return run
 
 
-def _keyed(batches):
-    for batch in batches:
-        keys = [_text_keys(data, offs) for _, _, data, offs in text_slices(batch, "text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=[*batch.schema.names, "dq_text_key"])
-
-
 def _matched(docs: DataFrame, every: int, buckets: int | None) -> DataFrame:
     """``docs`` with the runs of each row (dq_runs); rows that repeat share them. Texts of documents without runs are not shuffled."""
     found = _found(docs, every, buckets).select(F.col("doc").alias("dq_doc"), F.col("key").alias("dq_key"), F.col("runs").alias("dq_runs"))
     named = docs.withColumn("dq_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))))
     maybe = maybe_in(named, found.select(F.col("dq_doc").alias("dq_id")).distinct(), "dq_id")
     some = maybe.where("dq_maybe").drop("dq_maybe").select(*docs.columns, "dq_id")
-    keyed = some.mapInArrow(_keyed, _with_key(some))
+    keyed = some.withColumn("dq_text_key", _text_key())
     held = keyed.join(found, (keyed["dq_id"] == found["dq_doc"]) & (keyed["dq_text_key"] == found["dq_key"]), "left").select(*docs.columns, "dq_runs")
     rest = maybe.where("not dq_maybe").select(*docs.columns, F.lit(None).cast(held.schema["dq_runs"].dataType).alias("dq_runs"))
     return held.unionByName(rest)
 
 
-def _with_key(docs: DataFrame):
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return StructType([*docs.schema.fields, StructField("dq_text_key", LongType())])
-
-
 def passages(docs: DataFrame, every: int = 4, least: int = 46, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, span_starts, span_ends, first_docs.
 
@@ -313,7 +298,7 @@ def cut(docs: DataFrame, every: int = 4, least: int = 46, buckets: int | None =
     spans = _spans(every, least)
 
     def run(frames):
-        for f in frames:
+        for f in released(frames):
             texts, keep = [], []
             for s in spans(iter([f[["doc_id", "text", "dq_runs"]]])):
                 for text, starts, ends in zip(f.text, s.span_starts, s.span_ends, strict=True):

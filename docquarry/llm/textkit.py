@@ -13,6 +13,8 @@ BYTE_CODE = _constants(256, 11)
 PLACE = _constants(1, 12)[0]
 GEAR = _constants(256, 13).astype(np.uint32)
 STEP = _constants(64, 14)
+#: Bytes of words hashed at once (a longer word is hashed alone): each takes some 50 bytes meanwhile.
+BLOCK = 1 << 18
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,11 +57,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    first = np.cumsum(size) - size
-    index = np.arange(int(size.sum())) + np.repeat(starts - first, size)
-    place = index - np.repeat(starts, size)
+    upto = np.cumsum(size)
     powers = np.cumprod(np.full(int(size.max()), PLACE, np.uint64))
-    return mix(np.add.reduceat(BYTE_CODE[data[index]] * powers[place], first) + size.astype(np.uint64))
+    sums = np.zeros(len(size), np.uint64)
+    at = 0
+    while at < len(size):
+        before = int(upto[at] - size[at])
+        end = max(at + 1, int(np.searchsorted(upto, before + BLOCK, "right")))
+        part = size[at:end]
+        first = upto[at:end] - part - before
+        place = np.arange(int(upto[end - 1]) - before) - np.repeat(first, part)
+        sums[at:end] = np.add.reduceat(BYTE_CODE[data[place + np.repeat(starts[at:end], part)]] * powers[place], first)
+        at = end
+    return mix(sums + size.astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

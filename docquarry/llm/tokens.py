@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 from docquarry.llm import textkit
+from docquarry.llm.common import kept
 
 SPACE = 32
 #: Characters that never join an ASCII letter before them into one token (the apostrophe does).
@@ -21,7 +21,7 @@ LETTER[65:91] = LETTER[97:123] = True
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Pieces that one call to the library encodes.
-CALL = 20_000
+CALL = 5_000
 
 
 class Memo:
@@ -192,6 +192,6 @@ def _careful(text: str) -> list[int]:
     return places
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """One encoder for all tasks of a worker, with the pieces it has encoded."""
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -12,14 +12,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import drop, ints, released, save, text_slices
+from docquarry.llm.common import drop, ints, kept, released, save, text_slices
 
 WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’"
@@ -138,10 +137,9 @@ class Lexicon:
         return np.append(np.log1p(out[:5]), 10 * out[:3].sum() / n)
 
 
-@lru_cache(maxsize=1)
-def _lexicon(words: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
+def _lexicon(words: list[str], stems: list[str]) -> Lexicon:
     """One lexicon for all tasks of a worker, with the words it has looked up."""
-    return Lexicon(list(words), list(stems))
+    return kept(("lexicon", words, stems), lambda: Lexicon(words, stems))
 
 
 def _in_fold(folds: int, held: int):
@@ -224,7 +222,7 @@ def _score(shared, first: str = "doc_id"):
 
     def run(batches):
         words, stems, weights = shared.value
-        lexicon = _lexicon(tuple(words), tuple(stems))
+        lexicon = _lexicon(words, stems)
         for batch in released(batches):
             ids, text = ints(batch, first), batch.column(batch.schema.get_field_index("text"))
             for at, rows, _, _ in text_slices(batch, "text"):
