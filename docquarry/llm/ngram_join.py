@@ -6,12 +6,14 @@ two sets of Jaccard similarity t or more are at most (1 - t) / (1 + t) * (|A| +
 1. *Rings.* The empty set is the first pivot, D(A, {}) = |A|. Sizes fall into rings; by the
    triangle inequality a set can only reach the ring below, and boundary sets are replicated there.
 2. *Cells or prefixes.* From similarity 0.85 on, every ring cuts the shingle space into more cells than a
-   linked pair can differ in, so such a pair has equal traces in some cell; the region of (ring, cell, trace) holds both.
+   linked pair can differ in, so such a pair has equal traces in some cells; the region of (ring, cell, trace) holds both.
+   Where that is g cells or more, the g - 1 with the fewest shingles, which unrelated texts share most, are left out.
    Sets with so many empty cells that only those may agree also join the regions of their prefix.
    Below, traces would be too short to tell texts apart, and prefixes are used alone: all shingles have one order, known frequent ones last. Of two linked sets the first
    |A| - ceil(t |A|) + 1 shingles have one in common; the region of (ring, shingle) holds both. Any order
    is exact; this one keeps passages that many documents share out of the prefixes. A region of few sets names its
-   pairs; those that sizes and sketches show to be apart do not merge regions, so a chance shingle chains nothing.
+   pairs, a larger one (a crowd) is searched by sketches within a task; sets that sizes and sketches show to be apart
+   do not merge regions, so a chance shingle or trace chains nothing. Of copies only one joins regions.
 3. *Voronoi regions.* Regions that share sets are merged. Each picks document pivots. What lies in the ball of radius
    r = 1 - t around a pivot is linked with it at once. Every set goes to the region of its nearest pivot and,
    within the window d(x, p) <= d(x, nearest) + 2 r of the Jaccard distance, to others; sets farther than
@@ -37,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import textkit
-from docquarry.llm.common import clean, components, drop, give_back, ints, maybe_in, released, save, shuffle_width, text_slices
+from docquarry.llm.common import bit_table, clean, components, drop, give_back, in_bits, ints, maybe_in, released, save, shuffle_width, text_slices
 
 RING = 1.5
 #: Similarity from which regions come from cells: their traces hold about five shingles there, at 0.8 only two.
 CELLS_FROM = 0.85
 #: Rows of a table of region names and counts up to which it is broadcast (some 20 MB); beyond, it is joined by a shuffle.
 LIGHT = 200_000
-#: Sets of a prefix region up to which its pairs are named; a larger one keeps its sets together.
-FEW = 16
+#: Sets of a region up to which its pairs are named, and up to which a larger one is searched; beyond, it keeps its sets together.
+FEW, CROWD = 16, 20_000
+#: What ``_gather`` hands on: a pair to be tried, a sure edge, a set (b) of a crowd (a).
+TRY, SURE, MEMBER = 0, 1, 2
 
 
 def _rings(t: float, longest: int = 1 << 40) -> np.ndarray:
@@ -171,6 +175,11 @@ def _cell_keys(sets: np.ndarray, begin: np.ndarray, t: float, lows: np.ndarray)
     salt = textkit.mix((ring[of[head]] * (1 << 32) + cell[head] - base[of[head]]).astype(np.uint64) + textkit.STEP[54])
     keys, owner = textkit.mix(trace ^ salt), which[of[head]]
     full = np.bincount(of[head], minlength=len(which))
+    # linked sets agree in cells - diff or more, of which no more are empty than either has; the last of these in one order is in both
+    spare = np.maximum(0, cells - diff - 1 - (cells - full))
+    order = np.lexsort((keys, np.diff(np.append(head, len(value))), of[head]))
+    kept = order[np.arange(len(head)) - np.repeat(np.cumsum(full) - full, full) >= spare[of[head]]]
+    keys, owner = keys[kept], owner[kept]
     prefixes, owners = [], []
     for i in np.flatnonzero(cells - full >= cells - diff):
         k = n[i] - math.ceil(t * n[i] - 1e-9) + 1
@@ -179,8 +188,11 @@ def _cell_keys(sets: np.ndarray, begin: np.ndarray, t: float, lows: np.ndarray)
     return np.concatenate([keys, *prefixes]), np.concatenate([owner, *owners])
 
 
-def _scatter(n: int, t: float, buckets: int, shared):
-    """Region keys, packed by bucket of the key: 8 bytes a key and 4 a reference instead of a row each."""
+def _scatter(n: int, t: float, buckets: int, shared, firsts):
+    """Region keys, packed by bucket of the key: 8 bytes a key and 4 a reference instead of a row each.
+
+    Of copies only the representative has keys; ``firsts`` is a bit table of those, which may let others through.
+    """
     lows = _rings(t)
 
     def run(batches):
@@ -188,11 +200,12 @@ def _scatter(n: int, t: float, buckets: int, shared):
             ids = ints(batch, "doc_id")
             known = ~np.asarray(ids.is_null())
             ids = ids.fill_null(0).to_numpy()
+            known &= in_bits(firsts.value, ids)
             for at, rows, data, offs in text_slices(batch, "text", 4 << 20):
                 sets, begin = textkit.shingle_sets(data, offs, n)
                 one, two = textkit.set_digests(sets, begin)
                 keep, named = np.zeros(rows, bool), np.flatnonzero(known[at : at + rows])
-                if len(named):  # one of equal sets is enough, of the rows with an id: the digests join the others
+                if len(named):  # one of equal sets is enough: the digests join the others
                     keep[named[np.unique(np.stack([one, two])[:, named], axis=1, return_index=True)[1]]] = True
                 keys, owner = _cell_keys(sets, begin, t, lows) if t >= CELLS_FROM else _prefix_keys(sets, begin, t, lows, shared.value)
                 live = keep[owner]
@@ -212,11 +225,11 @@ def _scatter(n: int, t: float, buckets: int, shared):
     return run
 
 
-def _gather(few: int):
-    """Edges that keep each region together; a bucket's packed keys are sorted at once.
+def _gather(few: int, crowd: int):
+    """Rows (a, b, kind) that keep each region together; a bucket's packed keys are sorted at once.
 
-    Those of a region of up to ``few`` documents are all of its pairs, to be tried one by one (``sure`` is false); of a larger
-    one, from its least document to the others.
+    Those of a region of up to ``few`` documents are all of its pairs, to be tried one by one; of one of up to ``crowd``, its
+    members; of a larger one, sure edges from its least document to the others.
     """
 
     def close(keys: list, ids: list) -> pa.RecordBatch:
@@ -225,20 +238,19 @@ def _gather(few: int):
         k, d = k[order], d[order]
         once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
         k, d = k[once], d[once]
-        head = np.concatenate([[True], k[1:] != k[:-1]])
-        begin, of = np.flatnonzero(head), np.cumsum(head) - 1
-        small = (np.diff(np.append(begin, len(k))) <= few)[of]
-        least = d[begin][of]
-        star = ~small & (least != d)
-        a, b, sure = [least[star]], [d[star]], [np.ones(int(star.sum()), bool)]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(begin, len(k)))
+        held, least = np.repeat(count, count), np.repeat(d[begin], count)
+        star, member, small = (held > crowd) & (least != d), (held > few) & (held <= crowd), held <= few
+        a, b, kind = [least[star], k[member].view(np.int64)], [d[star], d[member]], [np.full(int(star.sum()), SURE), np.full(int(member.sum()), MEMBER)]
         for step in range(1, few):
             at = np.flatnonzero(small[:-step] & (k[step:] == k[:-step]))
-            a, b, sure = [*a, d[at]], [*b, d[at + step]], [*sure, np.zeros(len(at), bool)]
-        a, b, sure = map(np.concatenate, (a, b, sure))
-        order = np.lexsort((~sure, b, a))
-        a, b, sure = a[order], b[order], sure[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sure[new])], ["a", "b", "sure"])
+            a, b, kind = [*a, d[at]], [*b, d[at + step]], [*kind, np.full(len(at), TRY)]
+        a, b, kind = map(np.concatenate, (a, b, kind))
+        order = np.lexsort((b, a, kind))
+        a, b, kind = a[order], b[order], kind[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])])[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(kind[new], pa.int32())], ["a", "b", "kind"])
 
     def run(batches):
         keys, ids, bucket = [], [], None
@@ -269,13 +281,89 @@ def _apart(t: float):
     return run
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Sketches, as rows of words, of half as many cells."""
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:]
+
+
+def crowd_forest(size: np.ndarray, drawn: list[bytes], t: float) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of those sets whose sizes and sketches allow a similarity of ``t``."""
+    share, m = (1 - t) / (1 + t), len(size)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    words = np.array([len(drawn[i]) // 8 for i in order])  # ascending, as sizes are
+    lengths, first = np.unique(words, return_index=True)
+    last = np.append(first[1:], m)
+    tables = [np.frombuffer(b"".join(drawn[i] for i in order[a:b]), np.uint64).reshape(b - a, w) for a, b, w in zip(first, last, lengths, strict=True)]
+    low, high = np.searchsorted(size, t * size - 1e-6), np.searchsorted(size, (size + 1e-6) / t, "right")
+    half = [None] * len(tables)  # each with half its cells, made when it is asked for
+    open_, found, left = np.ones(m, bool), [], m
+    for start in range(m):
+        if not open_[start]:
+            continue
+        open_[start], left, queue = False, left - 1, [start]
+        while queue and left:
+            x = queue.pop()
+            mine = int(np.searchsorted(lengths, words[x]))
+            row = tables[mine][x - first[mine]][None]
+            for c in range(max(0, mine - 1), min(len(lengths), mine + 2)):  # linked sets have sketches of one length or of twice that
+                a, b = max(first[c], low[x]), min(last[c], high[x])
+                at = a + np.flatnonzero(open_[a:b]) if a < b else np.zeros(0, np.int64)
+                if not len(at):
+                    continue
+                if lengths[c] > words[x]:
+                    half[c] = _folded(tables[c]) if half[c] is None else half[c]
+                    apart = half[c][at - first[c]] ^ row
+                else:
+                    apart = tables[c][at - first[c]] ^ (row if lengths[c] == words[x] else _folded(row))
+                near = at[np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= share * (size[at] + size[x]) + 1e-6]
+                open_[near] = False
+                left -= len(near)
+                queue += near.tolist()
+                found += [(int(order[x]), int(order[y])) for y in near]
+    return found
+
+
+def _crowds(t: float):
+    """Edges of ``crowd_forest`` of each crowd, a run of rows (crowd, doc_id, size, sketch); one without a sketch meets all others."""
+
+    def close(parts: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(parts)
+        ids, size = rows.column("doc_id").to_numpy(), rows.column("size").fill_null(0).to_numpy()
+        drawn = rows.column("sketch").to_pylist()
+        clear = np.array([x is not None for x in drawn])
+        one = np.flatnonzero(clear)
+        found = [(one[x], one[y]) for x, y in crowd_forest(size[one], [drawn[i] for i in one], t)] if len(one) else []
+        found += [(x, y) for x in np.flatnonzero(~clear) for y in range(len(ids)) if y != x]
+        a, b = (ids[[int(p[i]) for p in found]] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        parts, key = [], None
+        for batch in released(batches):
+            rows = pa.Table.from_batches([batch])
+            crowd = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], crowd[1:] != crowd[:-1]])) if len(crowd) else np.zeros(0, np.int64)
+            for at, end in zip(cut, np.append(cut[1:], len(crowd)), strict=True):
+                if parts and crowd[at] != key:
+                    yield close(parts)
+                    parts = []
+                key = crowd[at]
+                parts.append(rows.slice(at, end - at))
+        if parts:
+            yield close(parts)
+
+    return run
+
+
 def possible(near: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The edges (a, b) of ``near(a, b, sure)`` that are sure or whose sets can be linked, by ``sets(doc_id, n_shingles, sketch)``.
+    """The edges (a, b) of ``near(a, b, kind)`` that are sure, or whose sets can be linked by ``sets(doc_id, n_shingles, sketch)``, and those of crowds.
 
     An id that comes with several texts has no one sketch; its pairs all stay.
     """
-    open_ = near.where("not sure").select("a", "b")
-    ends = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).distinct()
+    open_, members = near.where(F.col("kind") == TRY).select("a", "b").distinct(), near.where(F.col("kind") == MEMBER).select(F.col("a").alias("crowd"), F.col("b").alias("doc_id"))
+    ends = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).unionByName(members.select("doc_id")).distinct()
     of = F.struct("n_shingles", "sketch")
     known = sets.where("n_shingles > 0").join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(of).alias("x"), F.max(of).alias("y"))
     one = F.col("x") == F.col("y")
@@ -285,7 +373,11 @@ def possible(near: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     close = F.coalesce(F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-6, F.lit(True))
     pairs = open_.join(sized("a"), "a").join(sized("b"), "b").where(close | F.col("n_a").isNull() | F.col("n_b").isNull())
     pairs = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)), "s_a", "s_b")
-    return near.where("sure").select("a", "b").unionByName(pairs.mapInArrow(_apart(t), "a long, b long")).distinct()
+    crowds = members.join(known, "doc_id").select("crowd", "doc_id", "size", "sketch").repartition(shuffle_width(near.sparkSession), "crowd").sortWithinPartitions("crowd")
+    edges = near.where(F.col("kind") == SURE).select("a", "b").unionByName(pairs.mapInArrow(_apart(t), "a long, b long")).unionByName(crowds.mapInArrow(_crowds(t), "a long, b long"))
+    out = save(edges.distinct(), "possible")
+    drop(known)
+    return out
 
 
 def search(members: list[np.ndarray], t: float, only: tuple[int, int] | None = None) -> list[tuple[int, int]]:
@@ -558,17 +650,16 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8, most: int = 1000, buckets:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * shuffle_width(docs.sparkSession)
-    few = FEW if t < CELLS_FROM else 1  # in cells, sets agree in several shingles at once
-    sets = save(profiles(docs, n, few > 1), "sets")
+    sets = save(profiles(docs, n, True), "sets")
     with_words = sets.where("n_shingles > 0")
     rep = save(with_words.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, n)) if t < CELLS_FROM else None
-    packed = docs.mapInArrow(_scatter(n, t, buckets, hot), "p int, keys binary, refs binary, docs binary")
-    near = packed.repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p").mapInArrow(_gather(few), "a long, b long, sure boolean")
-    near = save(near.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near")
-    if few > 1:
-        tried, near = near, save(possible(near, sets, t), "possible")
-        drop(tried)
+    firsts = docs.sparkSession.sparkContext.broadcast(bit_table(rep, "rep"))
+    packed = docs.mapInArrow(_scatter(n, t, buckets, hot, firsts), "p int, keys binary, refs binary, docs binary")
+    near = packed.repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p").mapInArrow(_gather(FEW, CROWD), "a long, b long, kind int")
+    tried = save(near, "near")
+    near = possible(tried, sets, t)
+    drop(tried)
     to_rep = with_words.join(rep, ["d1", "d2"]).select("doc_id", "rep").where("doc_id is not null").distinct()
     ends = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
     known = save(ends.join(to_rep, ends.a == to_rep.doc_id).select("doc_id", "rep"), "ends")

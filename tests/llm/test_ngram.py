@@ -108,3 +108,78 @@ def test_an_id_with_several_texts_keeps_its_links(spark):
     rows = [(1, texts[0]), (1, "quite another text " * 3), (2, texts[1]), (3, "one two three four five six seven")]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.8).collect()
     assert {r.component_id for r in got if r.doc_id in (2,)} == {1} and {r.component_id for r in got if r.doc_id == 3} == {3}
+
+
+def regions_of(spark, monkeypatch, texts, n, t):
+    """The sets of all regions, and the component of each text."""
+    held, real = [], ngram_join._region_links
+    monkeypatch.setattr(ngram_join, "_region_links", lambda found, *rest: held.append(found.count()) or real(found, *rest))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, t).collect()}
+    return sum(held), got
+
+
+def test_linked_sets_meet_in_a_cell_though_some_are_left_out():
+    draw = np.random.default_rng(4)
+    for t in (0.85, 0.9, 0.95):
+        lows = ngram_join._rings(t)
+        for n in [5, 12, 30, 60, 90, 130, 200, 333, 500, 800] * 12:
+            apart = int((1 - t) * n)  # |A| = n, |B| = n - apart: as far from one another as linked sets can be
+            a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            drop = int(draw.integers(0, apart + 1))
+            new = (apart - drop) // 2
+            b = np.unique(np.concatenate([draw.permutation(a)[drop + new :], draw.integers(0, 2**63, new, dtype=np.uint64)]))
+            if len(np.intersect1d(a, b)) < t * len(np.union1d(a, b)):
+                continue
+            keys, owner = ngram_join._cell_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), t, lows)
+            assert len(np.intersect1d(keys[owner == 0], keys[owner == 1])), (t, n, drop, new)
+
+
+@pytest.mark.parametrize("t", [0.8, 0.9])
+def test_crowd_forest_spans_what_sketches_allow(t):
+    texts = some_texts(3, 6, 20, 300, 9) + some_texts(4, 30, 1, 900, 0)
+    sets = coded([shingles(x, 3) for x in texts])
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    size, drawn = np.diff(begin), ngram_join.sketches(np.concatenate(sets), begin)
+
+    def roots(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [min(x, y) if v in (x, y) else v for v in root]
+        return root
+
+    share = (1 - t) / (1 + t)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if min(size[i], size[j]) >= t * max(size[i], size[j]) - 1e-6 and ngram_join.sketch_distance(drawn[i], drawn[j]) <= share * (size[i] + size[j]) + 1e-6]
+    found = ngram_join.crowd_forest(size, drawn, t)
+    assert roots(found) == roots(near) and len(found) == len(sets) - len(set(roots(near)))
+
+
+def test_a_crowd_with_a_rare_shingle_in_common_is_no_region(spark, monkeypatch):
+    draw = random.Random(6)
+    texts = [f"{' '.join(f'w{draw.randrange(10**9)}' for _ in range(100))} the very same eight words in all of these" for _ in range(40)]
+    texts += [texts[7] + " more", texts[7] + " more of it"]
+    monkeypatch.setattr(ngram_join, "frequent", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    held, got = regions_of(spark, monkeypatch, texts, 5, 0.8)
+    assert got == {i: i if i < 40 else 7 for i in range(42)}
+    assert held == 3
+
+
+def test_copies_count_once_in_a_region(spark, monkeypatch):
+    draw = random.Random(8)
+    seam = [" ".join(f"s{i}x{j}" for j in range(8)) for i in range(14)]
+    once = [f"{seam[i]} {' '.join(f'w{draw.randrange(10**9)}' for _ in range(100))} {seam[i + 1]} {seam[i + 2]}" for i in range(12)]
+    monkeypatch.setattr(ngram_join, "frequent", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    held, got = regions_of(spark, monkeypatch, once * 20, 5, 0.8)
+    assert got == {i: i % 12 for i in range(240)}
+    assert held == 0
+
+
+def test_a_common_passage_makes_no_region_of_cells(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"v{i}" for i in range(60)]
+    passage = " ".join(words)
+    texts = [f"{passage} {' '.join(f'w{draw.randrange(10**9)}' for _ in range(90))}" for _ in range(60)]
+    texts += [texts[7] + " more", texts[7] + " more of it"]
+    held, got = regions_of(spark, monkeypatch, texts, 3, 0.9)
+    assert got == {i: i if i < 60 else 7 for i in range(62)}
+    assert held == 3
