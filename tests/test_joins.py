@@ -74,3 +74,26 @@ def test_escalated_questions(spark):
     old = spark.createDataFrame([(" a fox? ",), ("",), (None,)], "text string")
     assert sorted(r.qid for r in strategies.escalated(asked, old).collect()) == [1, 2, 4]
     assert strategies.escalated(asked, old.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_contained_terms_are_found_by_either_path(spark, most):
+    draw = random.Random(12)
+    letters = "abcé中😀 "
+    texts = [(i, "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 2, 3, 20, 300])))) for i in range(80)]
+    terms = [(i, "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 2, 3, 4, 5])))) for i in range(60)] + [(60, texts[7][1]), (61, texts[7][1])]
+    a, b = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term_id long, term string")
+    want = sorted((i, j) for i, x in texts for j, y in terms if x and y and y in x)
+    assert sorted(tuple(r) for r in contains.contained(a, b, most).collect()) == want
+
+
+def test_rows_of_a_frequent_term_are_dealt_and_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(contains, "MADE", 50)
+    texts = [(i, "hot pot" if i % 2 else "pot") for i in range(40)]
+    terms = [(i, "pot" if i % 2 else "hot pot") for i in range(30)]
+    a, b = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term_id long, term string")
+    got = contains.either_way(a, b)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, j) for i in range(40) for j in range(30)]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    twice = contains.either_way(a.unionByName(spark.createDataFrame([(1, "pot"), (1, "hot")], "id long, text string")), b)
+    assert sorted(tuple(r) for r in twice.collect()) == [(i, j) for i in range(40) for j in range(30)]
