@@ -183,3 +183,14 @@ def test_a_common_passage_makes_no_region_of_cells(spark, monkeypatch):
     held, got = regions_of(spark, monkeypatch, texts, 3, 0.9)
     assert got == {i: i if i < 60 else 7 for i in range(62)}
     assert held == 3
+
+
+def test_keep_first_of_copies_with_a_passage_in_common(spark, monkeypatch):
+    draw, held, real = random.Random(10), [], ngram_join._region_links
+    once = [f"{' '.join(f'w{draw.randrange(10**9)}' for _ in range(80))} the same words stand at the end of all" for _ in range(25)]
+    once[20] = once[3] + " now"
+    monkeypatch.setattr(ngram_join, "frequent", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(ngram_join, "_region_links", lambda found, *rest: held.append(found.count()) or real(found, *rest))
+    kept = ngram_join.keep_first(spark.createDataFrame(list(enumerate(once * 3)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(25) if i != 20]
+    assert held == [2]
